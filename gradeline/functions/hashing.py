@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed values of the 32-bit mixer: multiplier, mask, and the odd constant that spreads seeds.
@@ -11,17 +11,22 @@ MASK = 4294967295
 GOLDEN = 2654435769
 
 
-def mix32(x: Column) -> Column:
-    """A well-mixed 32-bit value from a non-negative BIGINT below 2**32."""
-    x = (x.bitwiseXOR(F.shiftright(x, 16)) * MIX).bitwiseAND(F.lit(MASK))
-    x = (x.bitwiseXOR(F.shiftright(x, 16)) * MIX).bitwiseAND(F.lit(MASK))
-    return x.bitwiseXOR(F.shiftright(x, 16))
-
-
-def draw32(seed: int, a: Column, b: Column) -> Column:
-    """A 32-bit draw for the pair ``(a, b)``."""
-    start = (a * GOLDEN + seed).bitwiseAND(F.lit(MASK))
-    return mix32(mix32(start).bitwiseXOR(b.cast("bigint")))
+def with_draw(df: DataFrame, out: str, seed: int, a: Column, b: Column) -> DataFrame:
+    """Add a well-mixed 32-bit value for the pair ``(a, b)`` of small non-negative integers.
+
+    The steps are separate projections, so each intermediate value is computed once.
+    """
+    df = df.withColumn(out, (a * GOLDEN + seed).bitwiseAND(F.lit(MASK)))
+    for stage in range(2):
+        for _ in range(2):
+            x = F.col(out)
+            df = df.withColumn(out, x.bitwiseXOR(F.shiftright(x, 16)) * MIX)
+            df = df.withColumn(out, F.col(out).bitwiseAND(F.lit(MASK)))
+        x = F.col(out)
+        df = df.withColumn(out, x.bitwiseXOR(F.shiftright(x, 16)))
+        if stage == 0:
+            df = df.withColumn(out, F.col(out).bitwiseXOR(b.cast("bigint")))
+    return df
 
 
 def text_hash32(c: Column) -> Column:

@@ -43,7 +43,8 @@ def cells(bank: DataFrame, scored: DataFrame, systems) -> DataFrame:
     The join key (qid, parser) is unique on both sides, so no hot question or system can load one
     task.
     """
-    return across_systems(bank, systems).join(scored, ["qid", "parser"], "left")
+    own = [c for c in scored.columns if c == "qid" or c not in bank.columns]
+    return across_systems(bank, systems).join(scored.select(*own), ["qid", "parser"], "left")
 
 
 def field_outcomes(bank: DataFrame, scored: DataFrame, systems) -> DataFrame:
@@ -52,7 +53,11 @@ def field_outcomes(bank: DataFrame, scored: DataFrame, systems) -> DataFrame:
     A stored error wins over a stored answer. A null gold is right only when the key is present
     with an explicit null; a key left out does not earn it.
     """
-    rows = cells(bank, scored.withColumn("has_row", F.lit(True)), systems)
+    stored = scored.select(
+        "qid", "parser", "error", "has_answer", "is_object", "field_matches", "null_keys",
+        F.lit(True).alias("has_row"),
+    )
+    rows = cells(bank, stored, systems)
     rows = rows.withColumn(
         "scorable",
         F.coalesce(
