@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeline.functions.prefix import prefix_sums
 from gradeline.functions.ratio import count_if, share
 
 # Token guess per cell of a dry run.
@@ -123,37 +124,15 @@ def transcriber_row_cost(rows: DataFrame, entries: DataFrame) -> DataFrame:
     )
 
 
-def running_total(
-    df: DataFrame, by: list[str], order: list[str], value: str, slice_col: Column
-) -> DataFrame:
-    """Running sum of ``value`` per ``by`` in ``order``, without one task per group.
-
-    ``slice_col`` is a coarse, order-preserving cut of the first order column (a day, an hour).
-    Sums run inside each slice and are shifted by the totals of the slices before it, so a hot
-    group spreads over its slices.
-    """
-    rows = df.withColumn("_s", slice_col)
-    inner = Window.partitionBy(*by, "_s").orderBy(*order).rowsBetween(
-        Window.unboundedPreceding, 0
-    )
-    rows = rows.withColumn("_in", F.sum(value).over(inner))
-    totals = rows.groupBy(*by, "_s").agg(F.sum(value).alias("_t"))
-    before = Window.partitionBy(*by).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(
-        *by, "_s", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before")
-    )
-    return rows.join(totals, [*by, "_s"]).withColumn(
-        "running", F.coalesce("_in", F.lit(0)) + F.col("_before")
-    ).drop("_s", "_in", "_before")
-
-
 def spend_ledger(rows: DataFrame, by: list[str], cap: float) -> DataFrame:
     """First row whose running cost passes ``cap``; an unknown cost stops the run where it stands.
 
     ``rows`` has ``ts``, ``row_id`` and ``cost``. ``reason`` is ``cap``, ``unknown cost`` or
     ``within cap``.
     """
-    ledger = running_total(rows, by, ["ts", "row_id"], "cost", F.to_date("ts"))
+    ledger = prefix_sums(
+        rows, by, [("_day", F.to_date("ts"))], ["ts", "row_id"], {"running": "cost"}
+    )
     unknown = F.col("cost").isNull()
     stop = unknown | (F.col("running") > cap)
     at = F.struct("ts", "row_id")

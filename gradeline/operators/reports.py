@@ -186,11 +186,13 @@ def pareto(points: DataFrame, slices: int = 256) -> DataFrame:
     """Mark points that no other point beats: lower x or equal, higher y or equal, one strictly.
 
     A point is on the frontier when its y is the best at its x and beats every y at smaller x.
-    Points are cut to the best y per x before anything is ordered, x is sliced by range, and only
-    the slices' maxima are ordered in one place.
+    Points are cut to the best y per x before anything is ordered, x is sliced evenly between its
+    ends, and only the slices' maxima are ordered in one place.
     """
     best = points.groupBy("x").agg(F.max("y").alias("_best"))
-    ranged = best.repartitionByRange(slices, "x").withColumn("_s", F.spark_partition_id())
+    ends = points.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
+    at = F.try_divide(F.col("x") - ends["lo"], ends["hi"] - ends["lo"])
+    ranged = best.withColumn("_s", F.floor(F.coalesce(at, F.lit(0.0)) * slices))
     inner = Window.partitionBy("_s").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
     ranged = ranged.withColumn("_in", F.max("_best").over(inner))
     tops = ranged.groupBy("_s").agg(F.max("_best").alias("_top"), F.min("x").alias("_x"))

@@ -28,4 +28,4 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from gradeline.plans import accuracy, reporting, statistics, types  # noqa: F401
+    from gradeline.plans import accuracy, page_layout, reporting, statistics, types  # noqa: F401
