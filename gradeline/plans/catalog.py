@@ -28,4 +28,12 @@ def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
 
 def load_all() -> None:
     """Import every module that registers queries."""
-    from gradeline.plans import accuracy, documents, page_layout, reporting, statistics, types  # noqa: F401
+    from gradeline.plans import (  # noqa: F401
+        accuracy,
+        documents,
+        intake,
+        page_layout,
+        reporting,
+        statistics,
+        types,
+    )

@@ -41,7 +41,7 @@ def predictions(spark, sf):
     f = f.where((q + ln + r) % 11 != 0)
     x = (F.col("pk") % 40) * 20 + (F.col("pk") * (r + 1)) % 120
     w = 100 + 3 * F.col("qty")
-    w1 = F.floor(w * 3 / 5)
+    w1 = F.floor(w * 9 / 20)
     part = lambda i, px, pw: F.struct(
         F.lit(i).alias("part"), px.cast("int").alias("px"), pw.cast("int").alias("pw")
     )
@@ -75,7 +75,7 @@ IOU_SQL = lambda x, w: (
 LINES = {
     "placed": """SELECT q AS page_id, ln, r, 'proc' || r AS processor, (pk % 40) * 20 AS x,
         100 + 3 * qty AS w, (pk % 40) * 20 + (pk * (r + 1)) % 120 AS px,
-        (100 + 3 * qty) * 3 // 5 AS w1, sk % 9 AS c, CASE WHEN (sk % 9 + ln + r) % 13 = 0
+        (100 + 3 * qty) * 9 // 20 AS w1, sk % 9 AS c, CASE WHEN (sk % 9 + ln + r) % 13 = 0
           THEN (sk % 9 + 1) % 9 ELSE sk % 9 END AS pc, ((pk * 37 + r) % 100) / 100 AS conf,
         CASE WHEN (q + ln + r) % 11 = 0 THEN 0 WHEN (q + r) % 5 = 0 THEN 2 ELSE 1 END AS n_pred
       FROM (SELECT *, unnest(range(0, 3)) AS r FROM facts)""",
