@@ -97,7 +97,8 @@ def score_fields(bank: DataFrame, answers: DataFrame) -> DataFrame:
     joined = answers.where("has_answer").withColumn("amap", answer_map(F.col("answer"))).join(
         gold, "qid"
     )
-    carry = [c for c in answers.columns if c not in ("qid", "parser", "answer")]
+    made = {"qid", "parser", "answer", "is_object", "field_matches", "null_keys", "match"}
+    carry = [c for c in answers.columns if c not in made]
     flat = joined.select("qid", "parser", *carry, "amap", F.explode("fields").alias("field"))
     flat = flat.select(
         "qid", "parser", *carry,
