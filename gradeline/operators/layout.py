@@ -371,8 +371,8 @@ def ignored_counts(matched: DataFrame) -> DataFrame:
     )
 
 
-def greedy_flags(pairs: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
-    """Hit or miss of every prediction at every IoU threshold, matched within its page."""
+def greedy_hits(pairs: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
+    """Per prediction an array of hits, one flag per IoU threshold, matched within its page."""
     slim = pairs.select(
         "page_id", "processor",
         F.transform(
@@ -398,24 +398,30 @@ def greedy_flags(pairs: DataFrame, thresholds: list[float] = THRESHOLDS) -> Data
             )
 
     page_type = pairs.schema["page_id"].dataType.simpleString()
-    flags = slim.mapInPandas(
+    return slim.mapInPandas(
         run,
         f"page_id {page_type}, processor string, class string, idx int, confidence double, "
         "hits array<boolean>",
     )
+
+
+def greedy_flags(pairs: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
+    """:func:`greedy_hits` with one row per (prediction, threshold)."""
     limits = F.array(*[F.lit(t) for t in thresholds])
-    return flags.select(
+    return greedy_hits(pairs, thresholds).select(
         "page_id", "processor", "class", "idx", "confidence",
         F.inline(F.arrays_zip(limits.alias("threshold"), F.col("hits").alias("hit"))),
     )
 
 
 def average_precision(
-    flags: DataFrame, truth: DataFrame, page_part: Column | None = None
+    hits: DataFrame, truth: DataFrame, thresholds: list[float] = THRESHOLDS,
+    page_part: Column | None = None,
 ) -> DataFrame:
-    """11-point interpolated AP per (processor, class, threshold).
+    """11-point interpolated AP per (processor, class, threshold), from :func:`greedy_hits`.
 
-    Predictions are walked by falling confidence, ties by page and index. Confidence is cut into
+    Predictions are walked by falling confidence, ties by page and index; the walk is the same for
+    every threshold, so one row carries all of them until the sums are done. Confidence is cut into
     bands, then values, then page parts, so that a class whose predictions all carry the same
     confidence still spreads out. ``page_part`` orders pages among ties before the page id does; it
     defaults to a hash bucket, as any fixed page order serves. A class without truth or without
@@ -423,19 +429,29 @@ def average_precision(
     """
     if page_part is None:
         page_part = F.pmod(F.xxhash64("page_id"), F.lit(64))
-    group = ["processor", "class", "threshold"]
-    rows = flags.withColumn("tp", F.col("hit").cast("bigint")).withColumn("one", F.lit(1))
+    group = ["processor", "class"]
+    n = len(thresholds)
+    rows = hits.select(
+        *group, "page_id", "idx", "confidence", F.lit(1).alias("one"),
+        *[F.col("hits")[i].cast("int").alias(f"h{i}") for i in range(n)],
+    )
     levels = [
         ("_band", -F.floor(F.col("confidence") * 100)),
         ("_value", -F.col("confidence")),
         ("_part", page_part),
     ]
-    walked = prefix_sums(rows, group, levels, ["page_id", "idx"], {"ctp": "tp", "cn": "one"})
+    sums = {"cn": "one"} | {f"c{i}": f"h{i}" for i in range(n)}
+    walked = prefix_sums(rows, group, levels, ["page_id", "idx"], sums)
     n_gt = truth.groupBy(F.col("kind").alias("class")).agg(F.count("*").alias("n_gt"))
-    curve = walked.join(n_gt, "class").select(
-        *group, (F.col("ctp") / F.col("n_gt")).alias("recall"),
+    steps = F.array(*[
+        F.struct(F.lit(t).alias("threshold"), F.col(f"c{i}").alias("ctp"))
+        for i, t in enumerate(thresholds)
+    ])
+    curve = walked.join(n_gt, "class").select(*group, "n_gt", "cn", F.inline(steps)).select(
+        *group, "threshold", (F.col("ctp") / F.col("n_gt")).alias("recall"),
         (F.col("ctp") / F.col("cn")).alias("precision"),
     )
+    group = [*group, "threshold"]
     points = [i * 0.1 for i in range(11)]
     best = curve.groupBy(*group).agg(
         *[F.max(F.when(F.col("recall") >= t, F.col("precision"))).alias(f"_{i}")
@@ -443,12 +459,14 @@ def average_precision(
     )
     total = sum((F.coalesce(F.col(f"_{i}"), F.lit(0.0)) for i in range(11)), F.lit(0.0))
     scored = best.select(*group, (total / 11).alias("ap"))
-    seen = flags.select(*group).distinct()
-    # Classes that have truth but no prediction, for every processor and threshold in use.
-    grid = flags.select("processor", "threshold").distinct().withColumn(
-        "class", F.explode(n_gt.agg(F.collect_set("class")).scalar())
+    # Every class seen on either side, for every processor and threshold.
+    classes = hits.select("class").unionByName(truth.select(F.col("kind").alias("class")))
+    names = classes.agg(F.collect_set("class")).scalar()
+    every = (
+        hits.select("processor").distinct()
+        .withColumn("class", F.explode(names))
+        .withColumn("threshold", F.explode(F.array(*[F.lit(t) for t in thresholds])))
     )
-    every = seen.unionByName(grid.select(*group)).distinct()
     return every.join(scored, group, "left").join(n_gt, "class", "left").select(
         *group, F.coalesce("ap", F.lit(0.0)).alias("ap"),
         F.coalesce("n_gt", F.lit(0)).alias("n_gt"),

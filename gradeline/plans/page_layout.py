@@ -390,7 +390,7 @@ def greedy_flags(spark, sf):
 def mean_ap(spark, sf):
     rows = pairs(spark, sf)
     ap = lay.average_precision(
-        lay.greedy_flags(rows), truth(spark, sf), F.floor(F.col("page_id") / 1000)
+        lay.greedy_hits(rows), truth(spark, sf), page_part=F.floor(F.col("page_id") / 1000)
     )
     return lay.mean_ap(ap)[1].withColumns(R6("map", "map50", "map75"))
 
