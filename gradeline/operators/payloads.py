@@ -40,7 +40,7 @@ TEXTRACT_CLASSES = {
     "TABLE_FOOTER": "table_footer",
 }
 # Block types of the run-based vendor.
-EXTEND_CLASSES = {
+RUN_CLASSES = {
     "text": "text", "heading": "heading", "section_heading": "section_heading",
     "header": "header", "footer": "footer", "page_number": "page_number", "figure": "figure",
     "barcode": "figure", "table": "table", "table_head": "table", "key_value": "key_value",
@@ -305,7 +305,7 @@ def textract_blocks(
     return rows_of(df, keys, blocks)
 
 
-def extend_blocks(df: DataFrame, payload: str, keys: list[str]) -> DataFrame:
+def run_blocks(df: DataFrame, payload: str, keys: list[str]) -> DataFrame:
     """Chunk blocks with type, details and confidence fallbacks; rows without a page drop."""
     chunk = f"""array<struct<blocks:array<struct<id:string,type:string,content:string,
       confidence:double,score:double,bounding_box:{BOX},
@@ -319,8 +319,8 @@ def extend_blocks(df: DataFrame, payload: str, keys: list[str]) -> DataFrame:
     def kind(x: Column) -> Column:
         d = x["details"]
         return (
-            F.when(look_up(EXTEND_CLASSES, x["type"]).isNotNull(),
-                   look_up(EXTEND_CLASSES, x["type"]))
+            F.when(look_up(RUN_CLASSES, x["type"]).isNotNull(),
+                   look_up(RUN_CLASSES, x["type"]))
             .when((d["type"] == "figure_details") & (F.coalesce(d["image_url"], F.lit("")) != ""),
                   "figure")
             .when(d["type"] == "table_details", "table")

@@ -422,7 +422,7 @@ def chunks(arr):
 
 
 @query(
-    "N04_extend",
+    "N04_run_payload",
     with_relations(
         "facts",
         f"""SELECT q AS page_id, row_number() OVER (PARTITION BY q ORDER BY ln) - 1 AS idx,
@@ -431,7 +431,7 @@ def chunks(arr):
            FROM facts WHERE sk % 9 < 8 OR ln % 2 = 1""",
     ),
 )
-def extend(spark, sf):
+def run_payload(spark, sf):
     names = ["text", "heading", "section_heading", "header", "footer", "page_number", "barcode",
              "table_head", "table_cell"]
 
@@ -447,7 +447,7 @@ def extend(spark, sf):
         )
 
     df = payload_of(page_lines(spark, sf), make, chunks)
-    return pay.extend_blocks(df, "payload", ["page_id"]).select(
+    return pay.run_blocks(df, "payload", ["page_id"]).select(
         "page_id", F.col("idx").cast("bigint").alias("idx"), "kind", "confidence"
     )
 
