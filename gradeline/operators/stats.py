@@ -218,21 +218,29 @@ def pairwise_separability(
 
 
 def beats_majority(
-    outcomes: DataFrame, majority: DataFrame, *, iters: int = ITERATIONS, seed: int = 0,
-    alpha: float = ALPHA,
+    outcomes: DataFrame, majority: DataFrame, *, name: str = "majority",
+    iters: int = ITERATIONS, seed: int = 0, alpha: float = ALPHA,
 ) -> DataFrame:
-    """``yes``, ``no``, ``not separable`` or ``insufficient clusters`` per system."""
+    """``yes``, ``no``, ``not separable`` or ``insufficient clusters`` per system.
+
+    ``majority`` is the predictor's leg, called ``name``. One batch of draws serves all systems; the
+    predictor's value reaches them through a window over the legs of an iteration.
+    """
+    check_parameters(iters, alpha)
     cols = ["parser", "qid", "key", "doc", "status"]
     rows = outcomes.select(*cols).unionByName(majority.select(*cols))
-    base = majority.select(F.col("parser").alias("b")).distinct()
-    pairs = outcomes.select(F.col("parser").alias("a")).distinct().withColumn(
-        "b", base.scalar()
+    acc = resample(rows, [], iters=iters, seed=seed).select(
+        "parser", "it", "n_docs", share(F.col("c"), F.col("n")).alias("acc")
+    )
+    base = F.max(F.when(F.col("parser") == name, F.col("acc"))).over(Window.partitionBy("it"))
+    delta = F.col("acc") - F.col("base")
+    point = [at_plain(delta).alias("delta"), F.max("n_docs").alias("n_docs")]
+    ci = interval(
+        acc.withColumn("base", base).where(F.col("parser") != name), ["parser"], delta, alpha, point
     )
-    ci = paired_delta_ci(rows, pairs, iters=iters, seed=seed, alpha=alpha)
     v = verdict(F.col("n_docs"), F.col("lo"), F.col("hi"))
-    return ci.select(
-        F.col("a").alias("parser"), "delta", "n_docs", "lo", "hi",
-        F.when(v == "a ahead", "yes").when(v == "b ahead", "no").otherwise(v).alias("verdict"),
+    return ci.withColumn(
+        "verdict", F.when(v == "a ahead", "yes").when(v == "b ahead", "no").otherwise(v)
     )
 
 
