@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -32,11 +33,14 @@ def local_session(cpus: str = "8", app: str = "gradeline") -> SparkSession:
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder under the cluster's shared ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only where it is unset (tests on one machine) is a
-    temporary folder made and the setting filled in.
+    The setting is read from the session. Only where it is unset and the master is one machine
+    (tests) is a temporary folder made and the setting filled in; a cluster must name its folder,
+    as executors do not see each other's disks.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
