@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeline.llm import mixing, packing, tokens
-from gradeline.llm.common import table
+from gradeline.llm import language, mixing, packing, quality, secrets, tokens
+from gradeline.llm.common import held_out, table
 
 
 def word_vocabulary() -> str:
@@ -16,6 +16,24 @@ def word_vocabulary() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.fit(docs, table(spark, sf_dir, "labels"))
+    rated = quality.score(docs, model)
+    return rated.select("doc_id", held_out().alias("held_out"), "score", "predicted")
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = language.fit(docs)
+    told = language.identify(docs.select("doc_id", "text"), model)
+    return told.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_languages")
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_vocabulary())
 
@@ -31,6 +49,8 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op7_best_fit_packing, op9_token_counts, op10_source_mixing)
+    f.__name__: f for f in (
+        op1_quality_scores, op4_secret_scan, op8_language_mixture, op7_best_fit_packing, op9_token_counts, op10_source_mixing,
+    )
 }
 ORACLES: dict[str, str] = {"op10_source_mixing": mixing.ORACLE}
