@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeline.llm import language, mixing, packing, quality, secrets, tokens
+from gradeline.llm import language, minhash, mixing, packing, quality, secrets, tokens
 from gradeline.llm.common import held_out, table
 
 
@@ -34,6 +34,10 @@ def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_languages")
 
 
+def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.duplicate_classes(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
 def op7_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), word_vocabulary())
 
@@ -50,7 +54,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality_scores, op4_secret_scan, op8_language_mixture, op7_best_fit_packing, op9_token_counts, op10_source_mixing,
+        op1_quality_scores, op4_secret_scan, op6_minhash_dedup, op8_language_mixture, op7_best_fit_packing, op9_token_counts, op10_source_mixing,
     )
 }
-ORACLES: dict[str, str] = {"op10_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op6_minhash_dedup": minhash.ORACLE, "op10_source_mixing": mixing.ORACLE}
