@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gradeline.llm import language, minhash, mixing, packing, quality, secrets, tokens
+from gradeline.llm import embed_dedup, language, minhash, mixing, packing, quality, secrets, tokens
 from gradeline.llm.common import held_out, table
 
 
@@ -23,6 +23,10 @@ def op1_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.report(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -54,7 +58,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality_scores, op4_secret_scan, op6_minhash_dedup, op8_language_mixture, op7_best_fit_packing, op9_token_counts, op10_source_mixing,
+        op1_quality_scores, op3_embedding_dedup, op4_secret_scan, op6_minhash_dedup, op8_language_mixture, op7_best_fit_packing, op9_token_counts, op10_source_mixing,
     )
 }
-ORACLES: dict[str, str] = {"op6_minhash_dedup": minhash.ORACLE, "op10_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op3_embedding_dedup": embed_dedup.ORACLE, "op6_minhash_dedup": minhash.ORACLE, "op10_source_mixing": mixing.ORACLE}
