@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from gradeline.llm import embed_dedup, language, minhash, mixing, packing, quality, secrets, tokens
+from gradeline.llm import embed_dedup, language, minhash, mixing, neighbours, packing, quality, secrets, tokens
 from gradeline.llm.common import held_out, table
 
 
@@ -38,6 +39,11 @@ def op8_language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return told.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "n_languages")
 
 
+def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op6_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.duplicate_classes(table(spark, sf_dir, "documents"), width=4, percent=80)
 
@@ -58,7 +64,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality_scores, op3_embedding_dedup, op4_secret_scan, op6_minhash_dedup, op8_language_mixture, op7_best_fit_packing, op9_token_counts, op10_source_mixing,
+        op1_quality_scores, op3_embedding_dedup, op4_secret_scan, op5_nearest_neighbours, op6_minhash_dedup, op8_language_mixture, op7_best_fit_packing, op9_token_counts, op10_source_mixing,
     )
 }
 ORACLES: dict[str, str] = {"op3_embedding_dedup": embed_dedup.ORACLE, "op6_minhash_dedup": minhash.ORACLE, "op10_source_mixing": mixing.ORACLE}
