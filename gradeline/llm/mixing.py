@@ -27,8 +27,9 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
 
     Sources in code point order, null last, take the weights in turn. Resharing what exceeds
     ``most`` times a source's size until nothing does ends where every source has
-    min(cap, level * weight) for one level; the level is read off the sources in order of
-    cap / weight. Windows here run over one row per source.
+    min(cap, level * weight) for one level. In order of cap / weight, that is the level left by
+    capping the sources before the first one that needs no cap, and the largest of those that fit.
+    Windows here run over one row per source.
     """
     by = sizes.groupBy(*KEY).agg(F.sum("size").alias("source_size"))
     everything = Window.partitionBy()
@@ -45,7 +46,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     })
     level = (F.col("total") - F.col("capped")) / (F.col("heavy") - F.col("spent"))
     by = by.withColumn("level", level)
-    by = by.withColumn("level", F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
+    by = by.withColumn("level", F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(everything))
     target = F.least("cap", F.coalesce(F.col("level") * F.col("weight"), F.col("cap")))
     return by.select(*KEY, "source_size", target.alias("target"))
 
@@ -78,32 +79,51 @@ def thresholds(sizes: DataFrame, budgets: DataFrame, levels: int = 4) -> DataFra
     return budgets.join(done, KEY, "left").select(*KEY, F.coalesce("threshold", whole).alias("threshold"))
 
 
+def _planned(docs: DataFrame, sizes: DataFrame, weights: tuple[int, ...], share: float, most: int) -> DataFrame:
+    """``docs`` (with KEY, size and hash) joined to source_size and target, and copies."""
+    goal = written(targets(sizes, weights, share, float(most)), "targets")
+    base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
+    goal = goal.withColumn("base", base.cast("long"))
+    budgets = goal.select(*KEY, (F.col("target") - F.col("base") * F.col("source_size")).alias("budget"))
+    goal = written(goal.join(thresholds(sizes, budgets), KEY), "plan")
+    times = F.least(F.col("base") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0), F.lit(most))
+    copies = F.when(F.col("size") > 0, times).otherwise(F.lit(1)).cast("int")
+    return docs.join(goal, KEY).withColumn("copies", copies)
+
+
+def sized(docs: DataFrame) -> list[Column]:
+    return [
+        F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_source"),
+        word_count(F.col("text")).alias("size"), id_hash().alias("hash"),
+    ]
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
-    """Per row of ``docs`` (doc_id, text, source): size, source_size, target and taken.
+    """Per row of ``docs`` (doc_id, text, source): size, source_size, target, copies and taken.
 
     Every document is taken as often as its source's target covers the whole source, and once more
     when its hash lies below the source's threshold, never more than ``most`` times. Null texts
-    have size 0. Rows that repeat a doc_id share its hash and are taken together. Sizes are counted
-    once and written, so the levels read a narrow table; a hot source only ever meets sums.
+    have size 0; documents of size 0 are taken once and count nothing. Rows that repeat a doc_id
+    share its hash and are taken together. Sizes are counted once and written, so the levels read
+    a narrow table; a hot source only ever meets sums.
     """
-    sizes = written(docs.select(
-        "doc_id", F.col("source").isNull().alias("_none"), F.coalesce("source", F.lit("")).alias("_source"),
-        word_count(F.col("text")).alias("size"), id_hash().alias("hash"),
-    ), "sizes")
-    goal = written(targets(sizes, weights, share, float(most)), "targets")
-    base = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
-    goal = goal.withColumn("base", base.cast("long"))
-    budgets = goal.select(*KEY, (F.col("target") - F.col("base") * F.col("source_size")).alias("budget"))
-    limit = written(thresholds(sizes, budgets), "thresholds")
-    times = F.col("base") + F.when(F.col("hash") < F.col("threshold"), 1).otherwise(0)
-    taken = F.col("size") * F.least(times, F.lit(most))
-    return sizes.join(goal, KEY).join(limit, KEY).select(
+    sizes = written(docs.select("doc_id", *sized(docs)), "sizes")
+    plan = _planned(sizes, sizes, weights, share, most)
+    return plan.select(
         "doc_id", F.when(~F.col("_none"), F.col("_source")).alias("source"), "size", "source_size", "target",
-        F.when(F.col("size") > 0, F.least(times, F.lit(most))).otherwise(F.lit(1)).cast("int").alias("copies"),
-        taken.cast("long").alias("taken"),
+        "copies", (F.col("size") * F.col("copies")).cast("long").alias("taken"),
     )
 
 
+def resample(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, most: int = 2) -> DataFrame:
+    """The rows of ``docs``, each as often as ``mix`` takes it, with its columns unchanged."""
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), *sized(docs))
+    sizes = written(docs.select(*sized(docs)), "sizes")
+    plan = _planned(rows, sizes, weights, share, most).where("copies > 0")
+    plan = plan.select("_row", F.explode(F.array_repeat(F.lit(0), F.col("copies"))).alias("_copy"))
+    return plan.select(*[F.col("_row")[c].alias(c) for c in docs.columns])
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
@@ -116,7 +136,7 @@ o AS (SELECT *, cap / weight AS ratio, sum(source_size) OVER () * 1.5::DOUBLE AS
         coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS capped,
         coalesce(sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS spent
       FROM w),
-l AS (SELECT min((total - capped) / (heavy - spent)) FILTER ((total - capped) / (heavy - spent) <= ratio) AS level FROM o),
+l AS (SELECT max((total - capped) / (heavy - spent)) FILTER ((total - capped) / (heavy - spent) <= ratio) AS level FROM o),
 t AS (SELECT source, source_size, least(cap, coalesce(level * weight, cap)) AS target FROM o, l),
 b AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS base FROM t),
 c AS (SELECT d.doc_id, d.size, d.h, b.source_size, b.target, b.base, b.target - b.base * b.source_size AS budget,
