@@ -36,6 +36,10 @@ CLASSES = (24, 32, 48, 96)
 STEP, STEPS = 0.05, 400
 
 
+#: What takes the place of a secret.
+MARK = "[SECRET]"
+
+
 def located(text: Column, pattern: str) -> Column:
     """Leftmost matches that do not overlap: array of (start, end, word) in code points.
 
@@ -239,17 +243,17 @@ def report(docs: DataFrame, text: str = "text", rate: float = 0.05) -> DataFrame
     )
 
 
-def redact(docs: DataFrame, text: str = "text", mark: str = "[SECRET]", rate: float = 0.05) -> DataFrame:
+def redact(docs: DataFrame, text: str = "text", mark: str = MARK, rate: float = 0.05) -> DataFrame:
     """``docs`` with every span found in ``text`` replaced by ``mark``; spans that meet become one."""
-    marked = scan(docs, text, rate)
+    marked = scan(docs.select(F.struct(*docs.columns).alias("_row"), F.col(text).alias("_text")), "_text", rate)
     state = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         fresh = x["start"] >= acc["at"]
-        piece = F.when(fresh, F.concat(F.substring(text, acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
+        piece = F.when(fresh, F.concat(F.substring("_text", acc["at"] + 1, x["start"] - acc["at"]), F.lit(mark))).otherwise(F.lit(""))
         return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.concat(acc["out"], piece).alias("out"))
 
     walked = F.aggregate("_spans", state, step)
-    clean = F.concat(walked["out"], F.substring(F.col(text), walked["at"] + 1, F.char_length(text)))
-    new = F.when(F.size("_spans") > 0, clean).otherwise(F.col(text))
-    return marked.withColumn(text, new).select(*docs.columns)
+    clean = F.concat(walked["out"], F.substring(F.col("_text"), walked["at"] + 1, F.char_length("_text")))
+    new = F.when(F.size("_spans") > 0, clean).otherwise(F.col("_text"))
+    return marked.select(*[new.alias(c) if c == text else F.col("_row")[c].alias(c) for c in docs.columns])
