@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeline.llm import embed_dedup, language, minhash, mixing, neighbours, packing, quality, secrets, tokens
+from gradeline.llm import embed_dedup, language, minhash, mixing, neighbours, packing, quality, secrets, substring, tokens
 from gradeline.llm.common import held_out, table
 
 
@@ -24,6 +24,11 @@ def op1_quality_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rated.select("doc_id", held_out().alias("held_out"), "score", "predicted")
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring.remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op3_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
 
@@ -64,7 +69,7 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_quality_scores, op3_embedding_dedup, op4_secret_scan, op5_nearest_neighbours, op6_minhash_dedup, op8_language_mixture, op7_best_fit_packing, op9_token_counts, op10_source_mixing,
+        op1_quality_scores, op2_substring_dedup, op3_embedding_dedup, op4_secret_scan, op5_nearest_neighbours, op6_minhash_dedup, op8_language_mixture, op7_best_fit_packing, op9_token_counts, op10_source_mixing,
     )
 }
-ORACLES: dict[str, str] = {"op3_embedding_dedup": embed_dedup.ORACLE, "op6_minhash_dedup": minhash.ORACLE, "op10_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {"op2_substring_dedup": substring.ORACLE, "op3_embedding_dedup": embed_dedup.ORACLE, "op6_minhash_dedup": minhash.ORACLE, "op10_source_mixing": mixing.ORACLE}
