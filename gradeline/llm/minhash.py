@@ -159,7 +159,8 @@ def _across(members: DataFrame, sketches: DataFrame, flips: int) -> DataFrame:
             n = rows.num_rows
             ids, roots = rows.column("id").to_numpy(), rows.column("root").to_numpy()
             part, lo, hi = (rows.column(c).to_numpy() for c in ("part", "lo", "hi"))
-            sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().reshape(n, -1)
+            # Unsigned: numpy counts the bits of the absolute value of signed integers.
+            sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, -1)
             starts = np.flatnonzero(group_starts(rows, ["key", "lo", "hi"]))
             found = []
             for s, e in zip(starts, [*starts[1:], n]):
