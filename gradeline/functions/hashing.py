@@ -29,6 +29,17 @@ def with_draw(df: DataFrame, out: str, seed: int, a: Column, b: Column) -> DataF
     return df
 
 
-def text_hash32(c: Column) -> Column:
-    """First 32 bits of the MD5 of a string as BIGINT."""
-    return F.conv(F.substring(F.md5(c), 1, 8), 16, 10).cast("bigint")
+def text_hash32(c: Column, word: int = 0) -> Column:
+    """One 32-bit word of the MD5 of a string as BIGINT."""
+    return F.conv(F.substring(F.md5(c), 1 + 8 * word, 8), 16, 10).cast("bigint")
+
+
+#: Bits of the second word that leave room for an iteration number in a draw.
+SECOND = (1 << 30) - 1
+
+
+def with_cluster_draw(df: DataFrame, out: str, seed: int, it: Column, cluster: str) -> DataFrame:
+    """Add a 32-bit draw of (iteration, cluster); 62 bits tell the clusters apart."""
+    df = df.withColumn(f"{out}a", text_hash32(F.col(cluster), 1).bitwiseAND(F.lit(SECOND)) + it)
+    df = with_draw(df, out, seed, F.col(f"{out}a"), text_hash32(F.col(cluster)))
+    return df.drop(f"{out}a")

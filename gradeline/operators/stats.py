@@ -11,14 +11,18 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeline.functions.hashing import text_hash32, with_draw
+from gradeline.functions.hashing import with_cluster_draw
 from gradeline.functions.ratio import count_if, share
 
-# Fixed value: paired verdicts need at least this many documents.
+# Paired verdicts need at least this many documents; resamples; error level.
 MIN_CLUSTERS = 20
 ITERATIONS = 2000
 ALPHA = 0.05
-INDEX_BUCKETS = 1024
+#: 32-bit upper ends of the Poisson distribution of mean 1, by value.
+POISSON = [
+    math.floor(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)))
+    for k in range(12)
+]
 
 
 def check_parameters(iters: int, alpha: float) -> None:
@@ -36,26 +40,6 @@ def per_cluster(outcomes: DataFrame, by: list[str], cluster: str = "doc") -> Dat
     )
 
 
-def dense_index(df: DataFrame, by: list[str], key: str) -> DataFrame:
-    """Number the rows of each group 0, 1, ... by (hash bucket of key, key); adds ``idx``, ``size``.
-
-    Ranks are taken inside hash buckets and shifted by the sizes of the buckets before, so no task
-    sorts a whole group; the bucket table has at most ``INDEX_BUCKETS`` rows per group.
-    """
-    rows = df.withColumn("_b", F.pmod(text_hash32(F.col(key)), F.lit(INDEX_BUCKETS)))
-    inner = Window.partitionBy(*by, "_b").orderBy(key)
-    rows = rows.withColumn("_r", F.row_number().over(inner) - 1)
-    sizes = rows.groupBy(*by, "_b").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy(*by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = sizes.select(
-        *by, "_b",
-        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"),
-        F.sum("_n").over(Window.partitionBy(*by)).alias("size"),
-    )
-    rows = rows.join(sizes, [*by, "_b"])
-    return rows.withColumn("idx", F.col("_before") + F.col("_r")).drop("_b", "_r", "_before")
-
-
 PLAIN = -1
 
 
@@ -75,36 +59,29 @@ def spread(df: DataFrame) -> DataFrame:
 def resample(
     outcomes: DataFrame, by: list[str], *, iters: int, seed: int, cluster: str = "doc"
 ) -> DataFrame:
-    """Draw documents with replacement, ``iters`` times per group, and add up every leg's sums.
-
-    Draw ``j`` of iteration ``it`` picks document ``(h * size) >> 32`` with ``h`` a 32-bit hash of
-    (seed, it, j): no generator state, so any task can make any draw and every run agrees.
-    Iteration ``PLAIN`` takes every document once and yields the point estimate. All legs of a
-    group share the draws over the union of their documents, which pairs them for free; a document
-    that a leg lacks adds nothing to it.
-
-    Draws are made where the documents are, meet the picked document by its dense number (Spark
-    broadcasts the document table while its measured size allows and shuffles beyond), and are
-    summed per (leg, iteration) before the shuffle, which carries tasks x legs x iterations rows.
+    """Resample documents ``iters`` times per group and add up every leg's sums.
+
+    In each iteration a document counts as often as a Poisson draw of mean 1 says, a pure hash of
+    (seed, iteration, document). So no join and no document numbers are needed, weights are made
+    and summed where the document lies, any two legs see the same weights whatever else is in the
+    batch, and only tasks x legs x iterations sums are shuffled. Iteration ``PLAIN`` takes every
+    document once and yields the point estimate. An iteration that draws none of a leg's documents
+    has no row for it.
     """
     docs = per_cluster(outcomes, [*by, "parser"], cluster)
     wide = docs.groupBy(*by, cluster).agg(
         F.collect_list(F.struct("parser", "n", "c")).alias("legs")
     )
-    numbered = dense_index(wide, by, cluster).select(*by, "idx", "size", "legs")
-    slots = spread(numbered.select(*by, "size", F.col("idx").alias("_j")))
-    draws = slots.withColumn("it", F.explode(iterations(iters, PLAIN)))
-    draws = with_draw(draws, "_h", seed, F.greatest("it", F.lit(0)), F.col("_j"))
-    drawn = F.shiftright(F.col("_h") * F.col("size"), 32)
-    draws = draws.select(
-        *by, "it", "size", F.when(F.col("it") == PLAIN, F.col("_j")).otherwise(drawn).alias("idx")
-    )
-    # Every draw has its document. The outer form tells Spark that only the document side may be
-    # broadcast; the draws' size is not known to it before they are made.
-    picked = draws.join(numbered.select(*by, "idx", "legs"), [*by, "idx"], "left")
-    return picked.select(*by, "it", "size", F.inline_outer("legs")).groupBy(*by, "parser", "it").agg(
-        F.sum("n").alias("n"), F.sum("c").alias("c"), F.max("size").alias("n_docs")
-    )
+    draws = spread(wide).withColumn("it", F.explode(iterations(iters, PLAIN)))
+    draws = with_cluster_draw(draws, "_h", seed, F.greatest("it", F.lit(0)), cluster)
+    times = sum(((F.col("_h") >= t).cast("bigint") for t in POISSON), F.lit(0).cast("bigint"))
+    draws = draws.withColumn("_w", F.when(F.col("it") == PLAIN, F.lit(1)).otherwise(times))
+    # Weights of zero are dropped after the sums: a filter on the weight itself would be pushed
+    # below the steps of the draw and repeat them many times over.
+    return draws.select(*by, "it", "_w", F.inline("legs")).groupBy(*by, "parser", "it").agg(
+        F.sum(F.col("_w") * F.col("n")).alias("n"), F.sum(F.col("_w") * F.col("c")).alias("c"),
+        count_if(F.col("_w") > 0).alias("n_docs"),
+    ).where("n_docs > 0")
 
 
 def interval(
@@ -128,17 +105,13 @@ def cluster_bootstrap_ci(
     outcomes: DataFrame, by: list[str] = (), *, iters: int = ITERATIONS, seed: int = 0,
     alpha: float = ALPHA,
 ) -> DataFrame:
-    """Interval of each leg's accuracy over all fields, documents resampled within ``by``.
-
-    Legs are expected to cover the same documents, as :func:`~gradeline.operators.cells
-    .field_outcomes` guarantees.
-    """
+    """Interval of each leg's accuracy over all fields, documents resampled within ``by``."""
     check_parameters(iters, alpha)
     stats = resample(outcomes, list(by), iters=iters, seed=seed)
     acc = share(F.col("c"), F.col("n"))
     point = [
         at_plain(acc).alias("acc"), at_plain(F.col("n")).alias("n"),
-        F.max("n_docs").alias("n_docs"),
+        at_plain(F.col("n_docs")).alias("n_docs"),
     ]
     return interval(stats, [*by, "parser"], acc, alpha, point)
 
@@ -165,26 +138,33 @@ def paired_clusters(outcomes: DataFrame, pairs: DataFrame, by: list[str]) -> Dat
     return both.fillna(0, ["na", "ca", "nb", "cb"])
 
 
+def pair_sizes(outcomes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """Documents in the union of both legs of each pair."""
+    both = paired_clusters(outcomes, pairs.select("a", "b"), [])
+    return both.groupBy("a", "b").agg(F.count("*").alias("n_docs"))
+
+
 def paired_delta_ci(
     outcomes: DataFrame, pairs: DataFrame, *, iters: int = ITERATIONS, seed: int = 0,
     alpha: float = ALPHA,
 ) -> DataFrame:
     """Interval of accuracy(a) - accuracy(b) with the same drawn documents on both legs.
 
-    All pairs read one batch of draws; what is paired is one row per (leg, iteration).
+    All pairs read one batch of draws; what is paired is one row per (leg, iteration). ``n_docs``
+    is each pair's own union of documents.
     """
     check_parameters(iters, alpha)
     named = pairs.select(F.explode(F.array("a", "b")).alias("parser")).distinct()
     rows = outcomes.join(named, "parser", "left_semi")
     acc = resample(rows, [], iters=iters, seed=seed).select(
-        "parser", "it", "n_docs", share(F.col("c"), F.col("n")).alias("acc")
+        "parser", "it", share(F.col("c"), F.col("n")).alias("acc")
     )
-    a = acc.select(F.col("parser").alias("a"), "it", "n_docs", F.col("acc").alias("acc_a"))
+    a = acc.select(F.col("parser").alias("a"), "it", F.col("acc").alias("acc_a"))
     b = acc.select(F.col("parser").alias("b"), "it", F.col("acc").alias("acc_b"))
     stats = a.join(pairs, "a").join(b, ["b", "it"])
     delta = F.col("acc_a") - F.col("acc_b")
-    point = [at_plain(delta).alias("delta"), F.max("n_docs").alias("n_docs")]
-    return interval(stats, ["a", "b"], delta, alpha, point)
+    ci = interval(stats, ["a", "b"], delta, alpha, [at_plain(delta).alias("delta")])
+    return ci.join(pair_sizes(rows, pairs), ["a", "b"]).select("a", "b", "delta", "n_docs", "lo", "hi")
 
 
 def verdict(n_docs: Column, lo: Column, hi: Column) -> Column:
@@ -230,14 +210,17 @@ def beats_majority(
     cols = ["parser", "qid", "key", "doc", "status"]
     rows = outcomes.select(*cols).unionByName(majority.select(*cols))
     acc = resample(rows, [], iters=iters, seed=seed).select(
-        "parser", "it", "n_docs", share(F.col("c"), F.col("n")).alias("acc")
+        "parser", "it", share(F.col("c"), F.col("n")).alias("acc")
     )
     base = F.max(F.when(F.col("parser") == name, F.col("acc"))).over(Window.partitionBy("it"))
     delta = F.col("acc") - F.col("base")
-    point = [at_plain(delta).alias("delta"), F.max("n_docs").alias("n_docs")]
     ci = interval(
-        acc.withColumn("base", base).where(F.col("parser") != name), ["parser"], delta, alpha, point
+        acc.withColumn("base", base).where((F.col("parser") != name) & F.col("base").isNotNull()),
+        ["parser"], delta, alpha, [at_plain(delta).alias("delta")],
     )
+    legs = outcomes.select(F.col("parser").alias("a"), F.lit(name).alias("b")).distinct()
+    sizes = pair_sizes(rows, legs).select(F.col("a").alias("parser"), "n_docs")
+    ci = ci.join(sizes, "parser").select("parser", "delta", "n_docs", "lo", "hi")
     v = verdict(F.col("n_docs"), F.col("lo"), F.col("hi"))
     return ci.withColumn(
         "verdict", F.when(v == "a ahead", "yes").when(v == "b ahead", "no").otherwise(v)
@@ -424,11 +407,8 @@ def permutation_test(
     check_parameters(iters, ALPHA)
     keys = ["a", "b"]
     docs = paired_clusters(outcomes, pairs, []).withColumn("d", F.col("ca") - F.col("cb"))
-    moved = docs.where("d <> 0").withColumn("_t", text_hash32(F.col("doc")))
-    flips = spread(moved).withColumn(
-        "it", F.explode(iterations(iters))
-    )
-    flips = with_draw(flips, "_h", seed, F.col("it"), F.col("_t"))
+    flips = spread(docs.where("d <> 0")).withColumn("it", F.explode(iterations(iters)))
+    flips = with_cluster_draw(flips, "_h", seed, F.col("it"), "doc")
     signed = F.when(F.col("_h").bitwiseAND(F.lit(65536)) == 0, F.col("d")).otherwise(-F.col("d"))
     stats = flips.groupBy(*keys, "it").agg(F.sum(signed).alias("s"))
     observed = docs.groupBy(*keys).agg(

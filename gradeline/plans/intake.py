@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gradeline.operators import layout as lay
-from gradeline.operators import metrics, reports, stats
+from gradeline.operators import metrics, reports
 from gradeline.plans import relations as rel
 from gradeline.plans.accuracy import R6, SQL_BUCKET_MAP, SQL_BUCKETS, buckets
 from gradeline.plans.catalog import query
@@ -13,7 +13,6 @@ from gradeline.plans.page_layout import (
     SIDES, pairs, predictions, prf_sql, truth, with_lines,
 )
 from gradeline.plans.relations import SYSTEMS, with_relations
-from gradeline.plans.statistics import boolean_outcomes
 from gradeline.session import work_folder
 from gradeline.sources import files as src
 from gradeline.streaming import live
@@ -59,6 +58,11 @@ def load_bank(spark, sf):
     ).drop("gold")
 
 
+def null_error():
+    """Rows whose error key is there and holds null: still an error."""
+    return F.col("error").isNull() & (F.col("q") % 37 == 5)
+
+
 def answer_texts(spark, sf):
     """Stored rows as JSON documents; some are torn or lack their keys."""
     a = rel.answers(spark, sf).join(
@@ -72,7 +76,8 @@ def answer_texts(spark, sf):
     row = F.concat(
         F.lit('{"qid": "'), "qid", F.lit('"'),
         F.when(F.col("q") % 31 != 0, text("parser", quote(F.col("parser")))).otherwise(""),
-        text("domain", quote(F.col("domain"))), text("error", quote(F.col("error"))),
+        text("domain", quote(F.col("domain"))),
+        F.when(null_error(), F.lit(', "error": null')).otherwise(text("error", quote(F.col("error")))),
         F.when(F.col("has_answer"), text("answer", F.to_json("answer"))).otherwise(""),
     )
     return a.select(
@@ -87,7 +92,8 @@ SQL_READABLE = "SELECT * FROM rows WHERE q % 31 <> 0 AND q % 29 <> 0"
     "S02_load_answers",
     with_relations(
         "rows",
-        "SELECT qid, parser, has_answer, has_answer AND NOT junk AS is_object, error FROM readable",
+        """SELECT qid, parser, has_answer, has_answer AND NOT junk AS is_object,
+             CASE WHEN error IS NULL AND q % 37 = 5 THEN '' ELSE error END AS error FROM readable""",
         readable=SQL_READABLE,
     ),
 )
@@ -283,22 +289,12 @@ def two_strict_counts(spark, sf):
     )
 
 
-@query("B03_separable", None)
-def separable(spark, sf):
-    """Which legs' checkbox accuracy differs from the first leg's, by sign of the interval."""
-    pairs_ = spark.createDataFrame([(SYSTEMS[0], s) for s in SYSTEMS[1:]], "a string, b string")
-    ci = stats.paired_delta_ci(boolean_outcomes(spark, sf), pairs_, iters=200)
-    return ci.select("a", "b", stats.separable(F.col("lo"), F.col("hi")).alias("separable"))
-
-
 @query(
     "R01_row_metrics",
     None,
 )
 def row_metrics(spark, sf):
-    return reports.row_metrics(
-        rel.bank(spark, sf), rel.scored(spark, sf), SYSTEMS, iters=200
-    )
+    return reports.row_metrics(rel.bank(spark, sf), rel.scored(spark, sf), SYSTEMS)
 
 
 # -- streaming ---------------------------------------------------------------------------------

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gradeline.functions.hashing import GOLDEN, MASK, MIX
+from gradeline.functions.hashing import GOLDEN, MASK, MIX, SECOND
 from gradeline.operators import metrics, stats
 from gradeline.plans import relations as rel
 from gradeline.plans.accuracy import R6, SQL_PAIRED, outcomes, paired_legs
@@ -29,19 +29,18 @@ def sql_draws(source: str, a: str, b: str, keep: str, seed: int = 0) -> str:
 HASH = "CAST('0x' || substr(md5({0}), 1, 8) AS BIGINT)"
 
 
+HASH2 = f"(CAST('0x' || substr(md5({{0}}), 9, 8) AS BIGINT) & {SECOND})"
+SQL_WEIGHT = " + ".join(f"CAST(h >= {t} AS INT)" for t in stats.POISSON)
+
+
 def sql_resample(docs: str, by: str, sums: list[str], iters: int = ITERS) -> dict[str, str]:
-    """Tables for resampled sums from ``docs`` (by, doc, sums)."""
-    on = " AND ".join(f"d.{k.strip()} = n.{k.strip()}" for k in by.split(","))
-    dby = ", ".join(f"d.{k.strip()}" for k in by.split(","))
+    """Tables for resampled sums from ``docs`` (by, doc, sums): Poisson weights by document."""
     return {
-        "numbered": f"""SELECT *, row_number() OVER (PARTITION BY {by} ORDER BY
-            {HASH.format('doc')} % 1024, doc) - 1 AS idx,
-            count(*) OVER (PARTITION BY {by}) AS size FROM {docs}""",
-        "slots": f"SELECT {by}, idx AS j, size, unnest(range(0, {iters})) AS it FROM numbered",
-        "draws": sql_draws("slots", "it", "j", f"{by}, it, size"),
-        "stats": f"""SELECT {dby}, d.it, {', '.join(f'sum({s}) AS {s}' for s in sums)}
-            FROM draws d JOIN numbered n ON {on} AND n.idx = ((d.h * d.size) >> 32)
-            GROUP BY {dby}, d.it""",
+        "slots": f"""SELECT {by}, {', '.join(sums)}, {HASH.format('doc')} AS t,
+            {HASH2.format('doc')} AS t2, unnest(range(0, {iters})) AS it FROM {docs}""",
+        "draws": sql_draws("slots", "(it + t2)", "t", f"{by}, it, {', '.join(sums)}"),
+        "stats": f"""SELECT {by}, it, {', '.join(f'sum(w * {s}) AS {s}' for s in sums)}
+            FROM (SELECT *, {SQL_WEIGHT} AS w FROM draws) WHERE w > 0 GROUP BY {by}, it""",
     }
 
 
@@ -90,14 +89,15 @@ def sql_pairs(legs: str, pairs: str) -> dict[str, str]:
     }
 
 
-DELTA = f"{share_sql('ca', 'na')} - {share_sql('cb', 'nb')}"
+DELTA = f"{share_sql('x.c', 'x.n')} - {share_sql('y.c', 'y.n')}"
 SQL_DELTA = f"""SELECT p.a, p.b, round(delta, 6) AS delta, n_docs, lo, hi FROM
    (SELECT a, b, {share_sql('sum(ca)', 'sum(na)')} - {share_sql('sum(cb)', 'sum(nb)')} AS delta,
       count(*) AS n_docs FROM paired GROUP BY a, b) p
    JOIN (SELECT a, b, round(quantile_cont({DELTA}, 0.025), 6) AS lo,
-      round(quantile_cont({DELTA}, 0.975), 6) AS hi FROM stats GROUP BY a, b) s
+      round(quantile_cont({DELTA}, 0.975), 6) AS hi
+      FROM pairs JOIN stats x ON x.parser = a JOIN stats y ON y.parser = b AND y.it = x.it
+      GROUP BY a, b) s
    ON s.a = p.a AND s.b = p.b"""
-PAIR_SUMS = ["na", "ca", "nb", "cb"]
 
 
 @query(
@@ -108,7 +108,7 @@ PAIR_SUMS = ["na", "ca", "nb", "cb"]
         **sql_pairs(
             CHECKBOX_DOCS, f"SELECT '{SYSTEMS[0]}' AS a, '{SYSTEMS[3]}' AS b"
         ),
-        **sql_resample("paired", "a, b", PAIR_SUMS),
+        **sql_resample("legs_docs", "parser", ["n", "c"]),
     ),
 )
 def paired_delta(spark, sf):
@@ -134,7 +134,7 @@ SQL_SECTION_PAIRS = f"""SELECT x.section, x.parser AS a, y.parser AS b FROM
            FROM ({SQL_DELTA}) d JOIN section_pairs q ON q.a = d.a AND q.b = d.b""",
         section_pairs=SQL_SECTION_PAIRS,
         **sql_pairs(CHECKBOX_DOCS, "SELECT a, b FROM section_pairs"),
-        **sql_resample("paired", "a, b", PAIR_SUMS),
+        **sql_resample("legs_docs", "parser", ["n", "c"]),
     ),
 )
 def pairwise_separability(spark, sf):
@@ -161,7 +161,7 @@ def pairwise_separability(spark, sf):
               FROM gold WHERE checkbox AND kind = 'bool' GROUP BY doc""",
             "SELECT DISTINCT parser AS a, 'majority' AS b FROM fields",
         ),
-        **sql_resample("paired", "a, b", PAIR_SUMS),
+        **sql_resample("legs_docs", "parser", ["n", "c"]),
     ),
 )
 def beats_majority(spark, sf):
@@ -236,12 +236,12 @@ def icc(spark, sf):
 
 
 def samples(spark, sf):
-    """Five repeats per field for two direct legs; a repeat now and then flips the verdict."""
-    rows = outcomes(spark, sf).where(F.col("parser").isin(SYSTEMS[0], SYSTEMS[1]))
+    """Five repeats per field of every leg; a repeat now and then flips the verdict."""
+    rows = outcomes(spark, sf)
     q = F.substring("qid", 2, 20).cast("bigint")
     ln = F.substring("key", 2, 5).cast("bigint")
     s = F.col("sample_index")
-    p = F.when(F.col("parser") == SYSTEMS[0], 0).otherwise(1)
+    p = F.array_position(F.array(*[F.lit(x) for x in SYSTEMS]), F.col("parser")) - 1
     flip = (q + ln * 3 + s * 7 + p) % 9 == 0
     rows = rows.withColumn("sample_index", F.explode(F.sequence(F.lit(0), F.lit(4))))
     ok = (F.col("status") == "correct") != flip
@@ -252,7 +252,7 @@ def samples(spark, sf):
 SQL_SAMPLES = """SELECT parser, qid, key, s, ok, CASE WHEN ok THEN 'gold' ELSE 'alt' || (s % 2) END
     AS value
   FROM (SELECT *, (status = 'correct') <> ((q + ln * 3 + s * 7 + p) % 9 = 0) AS ok
-        FROM (SELECT *, unnest(range(0, 5)) AS s FROM fields WHERE p < 2))"""
+        FROM (SELECT *, unnest(range(0, 5)) AS s FROM fields))"""
 SQL_AGREEMENT = """SELECT parser, qid, key, CAST(sum(v) AS BIGINT) AS k, max(v) / sum(v) AS agreement,
     max_by(r, (v, value)) > 0 AS modal_ok
   FROM (SELECT parser, qid, key, value, count(*) AS v, count(*) FILTER (WHERE ok) AS r
@@ -328,9 +328,9 @@ SQL_DIRECT_PAIRS = "SELECT * FROM (VALUES " + ", ".join(
         observed="""SELECT a, b, CAST(sum(ca - cb) AS BIGINT) AS observed, count(*) AS n_docs,
           count(*) FILTER (WHERE ca <> cb) AS n_moved FROM paired GROUP BY a, b""",
         slots=f"""SELECT p.a, p.b, o.observed AS obs, ca - cb AS d, {HASH.format('doc')} AS t,
-          unnest(range(0, {ITERS})) AS it FROM paired p JOIN observed o ON o.a = p.a AND o.b = p.b
+          {HASH2.format('doc')} AS t2, unnest(range(0, {ITERS})) AS it FROM paired p JOIN observed o ON o.a = p.a AND o.b = p.b
           WHERE ca <> cb""",
-        flips=sql_draws("slots", "it", "t", "a, b, obs, d, it"),
+        flips=sql_draws("slots", "(it + t2)", "t", "a, b, obs, d, it"),
     ),
 )
 def permutation_holm(spark, sf):
@@ -394,10 +394,27 @@ def random_effects(spark, sf):
                 FROM stats GROUP BY parser, domain) s USING (parser, domain)""",
         docs="""SELECT parser, domain, doc, count(*) AS n,
           count(*) FILTER (WHERE status = 'correct') AS c FROM fields GROUP BY 1, 2, 3""",
-        **sql_resample("docs", "parser, domain", ["n", "c"], 200),
+        **sql_resample("docs", "parser, domain", ["n", "c"]),
     ),
 )
 def breakdown_ci(spark, sf):
-    return stats.cluster_bootstrap_ci(
-        outcomes(spark, sf), ["domain"], iters=200
-    ).withColumns(R6("acc", "lo", "hi"))
+    return stats.cluster_bootstrap_ci(outcomes(spark, sf), ["domain"]).withColumns(R6("acc", "lo", "hi"))
+
+
+@query(
+    "B03_separable",
+    with_relations(
+        "fields",
+        f"SELECT a, b, lo > 0 OR hi < 0 AS separable FROM ({SQL_DELTA})",
+        **sql_pairs(
+            CHECKBOX_DOCS,
+            "SELECT * FROM (VALUES " + ", ".join(f"('{SYSTEMS[0]}', '{x}')" for x in SYSTEMS[1:]) + ") v(a, b)",
+        ),
+        **sql_resample("legs_docs", "parser", ["n", "c"]),
+    ),
+)
+def separable(spark, sf):
+    """Which legs' checkbox accuracy differs from the first leg's, by sign of the interval."""
+    pairs = spark.createDataFrame([(SYSTEMS[0], s) for s in SYSTEMS[1:]], "a string, b string")
+    ci = stats.paired_delta_ci(boolean_outcomes(spark, sf), pairs)
+    return ci.select("a", "b", stats.separable(F.round("lo", 6), F.round("hi", 6)).alias("separable"))
