@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeline.llm.common import (
-    arrow_bounds, block_jobs, components, group_starts, mix64, pair_index, pieces, uint64, written,
+    arrow_bounds, block_jobs, components, group_starts, mix64, pieces, uint64, written,
 )
 
 #: MinHash values are cut into bands: two sets of similarity 0.8 miss all of them 3 times in a million.
@@ -125,16 +125,19 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary")).mapInArrow(make, "id long, s binary")
 
 
+def alike(x: bytes, y: bytes, percent: int) -> bool:
+    """Whether two whole sets have at least ``percent`` similarity."""
+    x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    at = np.minimum(np.searchsorted(x, y), len(x) - 1)
+    shared = int((x[at] == y).sum())
+    return 100 * shared >= percent * (len(x) + len(y) - shared)
+
+
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole sets have at least ``percent`` similarity."""
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-                shared = int((x[at] == y).sum())
-                keep.append(100 * shared >= percent * (len(x) + len(y) - shared))
+            keep = [alike(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
             yield pa.RecordBatch.from_arrays(batch.columns[:2], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     one = pairs.join(sets.select(F.col("id").alias("a"), F.col("s").alias("x")), "a")
@@ -148,31 +151,76 @@ def _flips(a: str, b: str):
     )
 
 
-def _across(members: DataFrame, sketches: DataFrame, flips: int) -> DataFrame:
-    """Pairs (a, b) of members of a bucket in different components that sketches do not rule out."""
-    jobs = block_jobs(members, ["key"], "id", BLOCK).join(sketches, "id")
-    jobs = jobs.select("key", "lo", "hi", "part", "id", "root", "sketch")
-    jobs = jobs.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi", "id")
-
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in pieces(batches, ["key", "lo", "hi"], 4 * BLOCK):
-            n = rows.num_rows
-            ids, roots = rows.column("id").to_numpy(), rows.column("root").to_numpy()
-            part, lo, hi = (rows.column(c).to_numpy() for c in ("part", "lo", "hi"))
-            # Unsigned: numpy counts the bits of the absolute value of signed integers.
-            sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, -1)
-            starts = np.flatnonzero(group_starts(rows, ["key", "lo", "hi"]))
-            found = []
-            for s, e in zip(starts, [*starts[1:], n]):
-                for i in range(s, e - 1):
-                    j = np.arange(i + 1, e)
-                    j = j[(roots[j] != roots[i]) & ((lo[i] == hi[i]) | (part[j] != part[i]))]
-                    far = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1)
-                    found += [(min(ids[i], ids[k]), max(ids[i], ids[k])) for k in j[far <= flips]]
-            out = np.unique(np.array(found, np.int64).reshape(-1, 2), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(out[:, 1]), pa.array(out[:, 0])], ["a", "b"])
+JOB = ["key", "lo", "hi"]
+
+
+def _candidates(rows: pa.Table, flips: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each job in ``rows``: row numbers i, j of the pairs in different components that sketches
+    do not rule out, and how many bits tell them apart."""
+    n = rows.num_rows
+    roots, part, lo, hi = (rows.column(c).to_numpy() for c in ("root", "part", "lo", "hi"))
+    # Unsigned: numpy counts the bits of the absolute value of signed integers.
+    sketch = rows.column("sketch").combine_chunks().flatten().to_numpy().view(np.uint64).reshape(n, -1)
+    starts = np.flatnonzero(group_starts(rows, JOB))
+    for s, e in zip(starts, [*starts[1:], n]):
+        left, right, apart = [], [], []
+        for i in range(s, e - 1):
+            j = np.arange(i + 1, e)
+            j = j[(roots[j] != roots[i]) & ((lo[i] == hi[i]) | (part[j] != part[i]))]
+            far = np.bitwise_count(sketch[j] ^ sketch[i]).sum(axis=1)
+            near = far <= flips
+            left.append(np.full(int(near.sum()), i))
+            right.append(j[near])
+            apart.append(far[near])
+        if left:
+            yield np.concatenate(left), np.concatenate(right), np.concatenate(apart)
+
+
+def _across(members: DataFrame, sketches: DataFrame, sets: DataFrame, flips: int, percent: int) -> DataFrame:
+    """Confirmed links (a, b) that join all components whose members share a bucket and are alike.
+
+    A first pass over sketches tells which members of a job have a candidate in another component.
+    Only those bring their sets to the job, where candidates are confirmed, nearest first, until
+    both sides are joined. So a job sends fewer links than it has members.
+    """
+    jobs = written(block_jobs(members, ["key"], "id", BLOCK), "jobs")
 
-    return jobs.mapInArrow(compare, "a long, b long").distinct()
+    def dealt(rows: DataFrame) -> DataFrame:
+        return rows.repartition(*JOB).sortWithinPartitions(*JOB, "id")
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in pieces(batches, JOB, 4 * BLOCK):
+            use = np.zeros(rows.num_rows, bool)
+            for i, j, _ in _candidates(rows, flips):
+                use[i] = use[j] = True
+            yield from rows.select([*JOB, "id"]).filter(pa.array(use)).to_batches()
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in pieces(batches, JOB, BLOCK):
+            ids, roots, packed = rows.column("id").to_pylist(), rows.column("root").to_pylist(), rows.column("s")
+            found = []
+            for left, right, apart in _candidates(rows, flips):
+                lead: dict[int, int] = {}
+
+                def top(r: int) -> int:
+                    while r in lead:
+                        r = lead[r]
+                    return r
+
+                for k in np.argsort(apart, kind="stable"):
+                    i, j = int(left[k]), int(right[k])
+                    x, y = top(roots[i]), top(roots[j])
+                    if x != y and alike(packed[i].as_py(), packed[j].as_py(), percent):
+                        lead[max(x, y)] = min(x, y)
+                        found.append((max(ids[i], ids[j]), min(ids[i], ids[j])))
+            links = np.array(found, np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(links[:, 0]), pa.array(links[:, 1])], ["a", "b"])
+
+    seen = dealt(jobs.join(sketches, "id").select(*JOB, "part", "id", "root", "sketch"))
+    asked = seen.mapInArrow(ask, "key long, lo int, hi int, id long")
+    brought = jobs.join(asked, [*JOB, "id"]).join(sketches, "id").join(sets, "id")
+    brought = dealt(brought.select(*JOB, "part", "id", "root", "sketch", "s"))
+    return brought.mapInArrow(join, "a long, b long").distinct()
 
 
 def duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, rounds: int = 2) -> DataFrame:
@@ -183,7 +231,8 @@ def duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, rounds
     one member of each of its buckets and confirms the one with the nearest sketch, which joins
     most of a group by as many pairs as it has members. Then all pairs that share a bucket but not
     a component are compared by sketches in bounded blocks, and those not ruled out are confirmed
-    on whole sets. So no pair is left out, and no group is expanded into all its pairs.
+    on whole sets there, nearest first, until their components are joined. So no link is left out
+    that would join two components, and no group is sent as pairs.
 
     Null and blank texts have no shingles and link with nothing. Rows with a null id take no part:
     their component is null and they are kept. Rows that repeat an id and text share a component.
@@ -216,9 +265,10 @@ def duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, rounds
             near = near.join(sketches.select(F.col("id").alias("b"), F.col("sketch").alias("y")), "b")
             near = near.withColumn("far", _flips("x", "y")).where(F.col("far") <= flips)
             pairs = near.groupBy("a").agg(F.min_by("b", F.struct("far", "b")).alias("b"))
+            new = confirmed(pairs, sets, percent)
         else:
-            pairs = _across(members, sketches, flips)
-        new = written(confirmed(pairs, sets, percent), f"confirmed-{turn}")
+            new = _across(members, sketches, sets, flips, percent)
+        new = written(new, f"confirmed-{turn}")
         links = new if links is None else links.unionByName(new)
         if turn == rounds and new.isEmpty():
             break
