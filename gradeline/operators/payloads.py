@@ -128,8 +128,24 @@ def block(kind: Column, bbox: Column, *, id=None, confidence=None, text=None, or
     )
 
 
+def last_entries(entries: Column, key: str) -> Column:
+    """Entries (structs) with keys that differ; of a repeated key the last one stays.
+
+    The array is sorted by key and place once, then each entry is compared with the one after it.
+    """
+    placed = F.array_sort(F.transform(entries, lambda e, i: F.struct(e[key].alias("k"), i.alias("i"))))
+    after = F.zip_with(placed, F.slice(placed, F.lit(2), F.greatest(F.size(placed) - 1, F.lit(0))), lambda a, b: F.struct(
+        a["k"].alias("k"), a["i"].alias("i"), b["k"].alias("next")))
+    kept = F.filter(after, lambda e: e["k"].isNotNull() & ~e["k"].eqNullSafe(e["next"]))
+    return F.transform(kept, lambda e: F.get(entries, e["i"]))
+
+
 def coco_blocks(df: DataFrame, payload: str, keys: list[str]) -> DataFrame:
-    """Annotations with their category's class; both envelope spellings."""
+    """Annotations with their category's class; both envelope spellings.
+
+    Of a repeated category id the last name holds. An annotation without four box values is no
+    block.
+    """
     ann = "array<struct<id:bigint,category_id:bigint,bbox:array<double>>>"
     p = F.from_json(
         payload,
@@ -144,13 +160,14 @@ def coco_blocks(df: DataFrame, payload: str, keys: list[str]) -> DataFrame:
             c["id"], F.coalesce(look_up(COCO_CLASSES, c["name"]), c["name"]).alias("kind")
         ),
     )
-    df = df.withColumns({"_c": F.map_from_entries(named), "_m": marks})
+    df = df.withColumns({"_n": named, "_m": marks})
+    df = df.withColumn("_c", F.map_from_entries(last_entries(F.col("_n"), "id")))
     kept = F.filter(
         F.transform(
             "_m",
             lambda a: F.struct(F.element_at("_c", a["category_id"]).alias("k"), a.alias("a")),
         ),
-        lambda e: F.coalesce(e["k"] != "", F.lit(False)),
+        lambda e: F.coalesce((e["k"] != "") & (F.size(e["a"]["bbox"]) >= 4), F.lit(False)),
     )
     blocks = F.transform(
         kept,
@@ -437,13 +454,23 @@ def dots_blocks(df: DataFrame, reply: str, keys: list[str]) -> DataFrame:
     )
     cut = F.from_json(F.regexp_extract(t, r"(?s)\[.*\]", 0), f"array<{DOTS_ELEMENT}>")
     found = (
-        F.when(t.startswith("{"), F.coalesce(
-            inside["layout"], inside["blocks"], inside["elements"], inside["items"], cut))
-        .when(t.startswith("["), F.coalesce(whole, cut)).otherwise(cut)
-    )
-    at = lambda e: F.coalesce(e["bbox"], e["box"])
+        F.when(t.startswith("["), F.coalesce(whole, cut)).otherwise(cut)
+    )
+    # An object under other keys: its first list of objects.
+    lists = F.transform(
+        F.filter(F.map_values(F.from_json(t, "map<string,string>")), lambda v: v.startswith("[")),
+        lambda v: F.from_json(v, f"array<{DOTS_ELEMENT}>"),
+    )
+    listed = F.get(F.filter(lists, lambda a: F.exists(a, lambda e: e.isNotNull())), F.lit(0))
+    found = F.when(t.startswith("{"), F.coalesce(
+        inside["layout"], inside["blocks"], inside["elements"], inside["items"], listed, cut
+    )).otherwise(found)
+    # Empty values fall through to the next spelling.
+    at = lambda e: F.when(F.size(e["bbox"]) > 0, e["bbox"]).otherwise(e["box"])
     name = lambda e: F.translate(
-        F.lower(F.trim(F.coalesce(e["category"], e["type"], e["label"], F.lit("Text")))), "- ", "__"
+        F.lower(F.trim(F.coalesce(
+            *[F.nullif(e[c], F.lit("")) for c in ("category", "type", "label")], F.lit("Text")
+        ))), "- ", "__"
     )
     numbered = F.transform(found, lambda e, i: F.struct(e.alias("e"), (i + 1).alias("n")))
     kept = F.filter(numbered, lambda x: F.coalesce(F.size(at(x["e"])), F.lit(0)) >= 4)
@@ -588,7 +615,9 @@ def textract_markdown(df: DataFrame, payload: str, out: str = "markdown") -> Dat
     df = df.withColumn("_b", F.from_json(payload, TEXTRACT_SCHEMA)["Blocks"])
     df = df.withColumns(
         {
-            "_ids": F.map_from_entries(F.transform("_b", lambda b: F.struct(b["Id"], b))),
+            "_ids": F.map_from_entries(
+                F.transform(last_entries(F.col("_b"), "Id"), lambda b: F.struct(b["Id"], b))
+            ),
             "_in": lines_in_tables(F.col("_b")),
         }
     )
@@ -618,7 +647,9 @@ def textract_markdown(df: DataFrame, payload: str, out: str = "markdown") -> Dat
     tables = F.filter("_b", lambda b: b["BlockType"] == "TABLE")
     df = df.withColumn(
         "_md",
-        F.map_from_entries(F.transform(tables, lambda t: F.struct(t["Id"], table(t).alias("md")))),
+        F.map_from_entries(
+            F.transform(last_entries(tables, "Id"), lambda t: F.struct(t["Id"], table(t).alias("md")))
+        ),
     )
     layouts = F.filter("_b", lambda b: b["BlockType"].startswith("LAYOUT_"))
 

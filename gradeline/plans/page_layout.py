@@ -251,18 +251,19 @@ def recovery(spark, sf):
 @query(
     "L12_adjusted_blocks",
     with_lines(
-        """SELECT processor, count(*) FILTER (WHERE n_pred > 0) AS n_lines,
-             (sum(n_pred) - sum(healed::INT))::BIGINT AS n_pred,
+        """SELECT processor, 'pred' AS side, count(*) FILTER (WHERE n_pred > 0) AS n_lines,
+             (sum(n_pred) - sum(healed::INT))::BIGINT AS n_blocks,
              sum(healed::INT)::BIGINT AS n_merged,
              coalesce(sum(CASE WHEN healed THEN w ELSE 0 END), 0)::BIGINT AS merged_width
-           FROM lines GROUP BY processor"""
+           FROM lines GROUP BY processor
+           UNION ALL SELECT processor, 'gt', count(*), count(*), 0, 0 FROM lines GROUP BY processor"""
     ),
 )
 def adjusted_blocks(spark, sf):
-    b = lay.adjusted_blocks(lay.recover_matches(pairs(spark, sf))).where("side = 'pred'")
-    return b.groupBy("processor").agg(
+    b = lay.adjusted_blocks(lay.recover_matches(pairs(spark, sf)))
+    return b.groupBy("processor", "side").agg(
         F.count_distinct(F.struct("page_id", F.col("bbox.y"))).alias("n_lines"),
-        F.count("*").alias("n_pred"), F.count_if("merged").alias("n_merged"),
+        F.count("*").alias("n_blocks"), F.count_if("merged").alias("n_merged"),
         F.coalesce(F.sum(F.when(F.col("merged"), F.col("bbox.w"))), F.lit(0)).cast("bigint")
         .alias("merged_width"),
     )
@@ -291,6 +292,25 @@ def data_set_score(spark, sf):
     )
 
 
+@query(
+    "L13_class_scores",
+    with_lines(
+        f"""SELECT processor, class, {prf_sql('st', 'sf', 'sn', 'strict_')},
+             {prf_sql('jt', 'jf', 'jn', 'adjusted_')}
+           FROM (SELECT processor, class, sum(t) AS st, sum(p) - sum(t) AS sf, sum(g) - sum(t) AS sn,
+             sum(t) + sum(s) AS jt, sum(p) - sum(t) - 2 * sum(s) AS jf,
+             sum(g) - sum(t) - sum(s) AS jn FROM sides GROUP BY processor, class
+             HAVING sum(g) > 0)""",
+        sides=SIDES,
+    ),
+)
+def class_scores(spark, sf):
+    names = [f"{v}_{m}" for v in ("strict", "adjusted") for m in PRF]
+    return lay.data_set_score(pairs(spark, sf), ["processor"])["classes"].withColumns(
+        R6(*names)
+    ).select("processor", "class", *names)
+
+
 @query(
     "L14_structural_errors",
     with_lines(
@@ -489,10 +509,10 @@ def pareto_inputs(spark, sf):
 @query(
     "L22_rescore",
     with_lines(
-        """SELECT processor, count(*) FILTER (WHERE gt_type = 'table') AS n_gt,
-             sum((hit AND same AND gt_type = 'table')::INT)::BIGINT AS strict_tp,
-             sum((healed AND same AND gt_type = 'table')::INT)::BIGINT AS splits_resolved
-           FROM lines GROUP BY processor""",
+        """SELECT processor, gt_type AS class, count(*) AS n_gt,
+             sum((hit AND same)::INT)::BIGINT AS strict_tp,
+             sum((healed AND same)::INT)::BIGINT AS splits_resolved
+           FROM lines GROUP BY processor, gt_type""",
     ),
 )
 def rescore(spark, sf):
@@ -504,8 +524,8 @@ def rescore(spark, sf):
     unknown = known.withColumns({c: F.lit(None).cast("int") for c in ("width", "height")})
     dims = lay.page_dims(unknown, known)
     rows = lay.page_pairs(t, predictions(spark, sf), PROCESSORS, dims)
-    return lay.data_set_score(rows, ["processor"])["classes"].where("class = 'table'").select(
-        "processor", "n_gt", "strict_tp", "splits_resolved"
+    return lay.data_set_score(rows, ["processor"])["classes"].select(
+        "processor", "class", "n_gt", "strict_tp", "splits_resolved"
     )
 
 

@@ -294,7 +294,7 @@ def condition_hash(spark, sf):
     "T15_strip_code_fence",
     """SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN trim(text, chr(32) || chr(9) || chr(10) || chr(13))
          WHEN 1 THEN text || chr(10) || '```' ELSE '```py' || chr(10) || 'x' END AS text
-       FROM documents WHERE length(trim(text)) > 0""",
+       FROM documents""",
 )
 def strip_code_fence(spark, sf):
     t = F.col("text")
@@ -302,8 +302,7 @@ def strip_code_fence(spark, sf):
         F.col("doc_id") % 3, F.concat(F.lit("```Markdown \n"), t, F.lit("\n```\n")),
         F.concat(t, F.lit("\n```")), F.lit("```py\nx"),
     )
-    docs = rel.table(spark, sf, "documents").where(F.length(F.trim(t)) > 0)
-    return docs.select("doc_id", tx.strip_code_fence(fenced).alias("text"))
+    return rel.table(spark, sf, "documents").select("doc_id", tx.strip_code_fence(fenced).alias("text"))
 
 
 @query(
