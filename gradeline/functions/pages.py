@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 
+# Fixed value: cost added to a pair of unlike types.
 TYPE_PENALTY = 0.25
 
 

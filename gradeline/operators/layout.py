@@ -19,6 +19,7 @@ from gradeline.functions import pages as pg
 from gradeline.functions.prefix import prefix_sums
 from gradeline.functions.ratio import f1, long_sum, precision, recall, share
 
+# Least overlap of a match, gap of adjacent boxes as a share of the page, AP thresholds.
 IOU = 0.5
 GAP = 0.02
 THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(10)]

@@ -361,6 +361,30 @@ def ignored_counts(spark, sf):
     )
 
 
+IGNORE_MODES = ["disabled", "exclude_matching", "include_exclude_metrics"]
+
+
+@query(
+    "L16_ignore_modes",
+    with_lines(
+        f"""SELECT mode, count(*) FILTER (WHERE mode <> 'exclude_matching' OR gt_type <> 'footer') AS n_blocks,
+             count(*) FILTER (WHERE mode = 'include_exclude_metrics' AND gt_type = 'footer') AS n_ignored
+           FROM lines, (SELECT unnest({IGNORE_MODES}) AS mode) WHERE processor = '{PROCESSORS[0]}'
+           GROUP BY mode"""
+    ),
+)
+def ignore_modes(spark, sf):
+    t = truth(spark, sf)
+    counted = [
+        lay.ignore_blocks(t, mode, ["footer"]).agg(
+            F.lit(mode).alias("mode"), F.count("*").alias("n_blocks"),
+            F.count_if("ignore").alias("n_ignored"),
+        )
+        for mode in IGNORE_MODES
+    ]
+    return counted[0].unionByName(counted[1]).unionByName(counted[2])
+
+
 AP_SQL = {
     "preds": """SELECT page_id, processor, pred_type AS class, ln * 2 AS idx, conf, same,
         CASE n_pred WHEN 1 THEN vu ELSE vl END AS v, NULL AS before FROM lines WHERE n_pred > 0
