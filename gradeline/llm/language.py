@@ -124,8 +124,12 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", ident: str = "d
     ids = ids.withColumn("_h", F.xxhash64(ident))
     rank = F.row_number().over(Window.partitionBy(lang).orderBy("_h"))
     cut = ids.select(lang, "_h").withColumn("_r", rank).where(F.col("_r") <= per_language)
-    cut = cut.groupBy(lang).agg(F.max("_h").alias("_cut"))
-    sample = ids.join(cut, lang).where("_h <= _cut").select(lang, lowered(F.col(text)).alias("text"))
+    cuts = cut.groupBy(lang).agg(F.max("_h").alias("_cut")).collect()
+    if not cuts:
+        return LanguageModel([], np.zeros((BUCKETS, 0), np.float32))
+    # One number per language: a lookup in the scan, where a join would shuffle texts by language.
+    last = F.create_map(*[F.lit(x) for r in cuts for x in (r[lang], r["_cut"])])
+    sample = ids.where(F.col("_h") <= F.element_at(last, F.col(lang))).select(lang, lowered(F.col(text)).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
