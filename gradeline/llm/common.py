@@ -15,7 +15,7 @@ from gradeline.session import work_folder
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Bounds of what one Arrow batch brings into a Python worker.
-BATCH_ROWS, BATCH_BYTES = 2000, 16 << 20
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 
 def arrow_bounds(spark: SparkSession) -> None:

@@ -65,7 +65,7 @@ class OpenBins:
 class WordIds:
     """Identifiers of texts by the ``tokenizers`` library, remembered for words already met."""
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 250_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)

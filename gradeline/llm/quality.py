@@ -42,7 +42,7 @@ def _unit(word: bytes) -> int:
 
 @lru_cache(maxsize=1)
 def _units() -> Bounded:
-    return Bounded(_unit, 600_000)
+    return Bounded(_unit, 300_000)
 
 
 def units(data: bytes) -> tuple[np.ndarray, int, int]:

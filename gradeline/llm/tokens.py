@@ -99,7 +99,7 @@ class WordVocabulary:
     chunks. Special strings inside a text are taken whole, as the library does by default.
     """
 
-    def __init__(self, path: str, limit: int = 600_000):
+    def __init__(self, path: str, limit: int = 400_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
