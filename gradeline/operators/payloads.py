@@ -323,7 +323,12 @@ def textract_blocks(
 
 
 def run_blocks(df: DataFrame, payload: str, keys: list[str]) -> DataFrame:
-    """Chunk blocks with type, details and confidence fallbacks; rows without a page drop."""
+    """Chunk blocks with type, details and confidence fallbacks; rows without a page drop.
+
+    Adds page_number, page_width and page_height to each block: the rounded size that the last block
+    of its page to state both gives, else 0. A block without a reading order has its place among
+    the blocks kept of its page.
+    """
     chunk = f"""array<struct<blocks:array<struct<id:string,type:string,content:string,
       confidence:double,score:double,bounding_box:{BOX},
       details:struct<type:string,image_url:string,confidence:double,score:double>,
@@ -356,14 +361,39 @@ def run_blocks(df: DataFrame, payload: str, keys: list[str]) -> DataFrame:
         x["confidence"], x["score"], x["metadata"]["confidence"], x["metadata"]["score"],
         F.nullif(x["details"]["confidence"], F.lit(0.0)), x["details"]["score"], F.lit(1.0),
     )
+    df = df.withColumn("_k", kept)
+
+    def sides(x: Column) -> Column:
+        p = x["metadata"]["page"]
+        return F.struct(page(x).alias("page"), F.rint(p["width"]).cast("int").alias("w"), F.rint(p["height"]).cast("int").alias("h"))
+
+    # As in the source, a block states its page's size even if it is dropped later for want of a box.
+    stated = F.filter(
+        F.transform(F.filter(every, lambda x: kind(x).isNotNull() & page(x).isNotNull()), sides),
+        lambda x: x["w"].isNotNull() & x["h"].isNotNull(),
+    )
+    df = df.withColumn("_d", last_entries(stated, "page"))
+    side = lambda x, n: F.coalesce(F.get(F.filter("_d", lambda d: d["page"] == page(x)), F.lit(0))[n], F.lit(0))
+    # The place of a block in its page: pages are sorted once, and a page begins where its number first stands.
+    pages = F.array_sort(F.transform("_k", lambda x, i: F.struct(page(x).alias("p"), i.alias("i"))))
+    df = df.withColumn("_s", pages)
+    df = df.withColumn("_n", F.transform("_s", lambda x: x["p"]))
+    ranks = F.array_sort(F.transform("_s", lambda x, j: F.struct(
+        x["i"].alias("i"), (j + 1 - F.array_position(F.col("_n"), x["p"])).cast("int").alias("place"))))
+    df = df.withColumn("_r", ranks)
     blocks = F.transform(
-        kept,
-        lambda x: block(
-            kind(x), box_ltrb(*[x["bounding_box"][n] for n in ("left", "top", "right", "bottom")]),
-            id=x["id"], confidence=conf(x), text=x["content"], order=x["metadata"]["reading_order"],
+        "_k",
+        lambda x, i: F.struct(
+            page(x).alias("page_number"), side(x, "w").alias("page_width"), side(x, "h").alias("page_height"),
+            block(
+                kind(x), box_ltrb(*[x["bounding_box"][n] for n in ("left", "top", "right", "bottom")]),
+                id=x["id"], confidence=conf(x), text=x["content"],
+                order=F.coalesce(x["metadata"]["reading_order"], F.get(F.col("_r"), i)["place"]),
+            ).alias("b"),
         ),
     )
-    return rows_of(df, keys, blocks)
+    return df.select(*keys, F.posexplode(blocks).alias("idx", "x")).select(
+        *keys, "idx", "x.b.*", "x.page_number", "x.page_width", "x.page_height")
 
 
 def paddle_blocks(df: DataFrame, payload: str, keys: list[str]) -> DataFrame:

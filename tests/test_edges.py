@@ -30,6 +30,23 @@ def test_textract_repeated_block_id(spark):
     assert pay.textract_markdown(payloads(spark, page), "payload").count() == 1
 
 
+def test_run_blocks_of_two_pages(spark):
+    def entry(i, page, order=None, box=True):
+        size = {"number": page, "width": 100.4 * page, "height": 200.6} if page < 3 else {"number": page}
+        meta = {"page": size, **({} if order is None else {"reading_order": order})}
+        at = {"left": 1, "top": 2, "right": 5, "bottom": 9}
+        return {"id": str(i), "type": "text", "metadata": meta, **({"bounding_box": at} if box else {})}
+
+    one = [entry(0, 2), entry(1, 1), entry(2, 2, box=False), entry(3, 2), entry(4, 1, 7), entry(5, 3), {"id": "6", "type": "text", "metadata": {"page_number": 1}, "bounding_box": {"left": 0, "top": 0, "right": 1, "bottom": 1}}]
+    df = payloads(spark, {"chunks": [{"blocks": one[:2]}, {"blocks": one[2:]}]}, {"chunks": [{"blocks": [entry(0, 1, box=False), {**one[6], "id": "9"}]}]})
+    out = pay.run_blocks(df, "payload", ["page_id"]).collect()
+    got = [(r.page_id, r.id, r.page_number, r.page_width, r.page_height, r.reading_order) for r in sorted(out, key=lambda r: (r.page_id, r.idx))]
+    assert got == [
+        (0, "0", 2, 201, 201, 0), (0, "1", 1, 100, 201, 0), (0, "3", 2, 201, 201, 1), (0, "4", 1, 100, 201, 7),
+        (0, "5", 3, 0, 0, 0), (0, "6", 1, 100, 201, 2), (1, "9", 1, 100, 201, 0),
+    ]
+
+
 def test_dots_fallbacks(spark):
     box = [0, 0, 10, 10]
     replies = [
