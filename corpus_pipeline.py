@@ -19,8 +19,13 @@ LEAST_SHARE = 0.4
 
 
 def one_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents go whose text is null, has no letter, or has no language with enough of its words."""
+    """Documents go whose text is null, has no letter, or has no language with enough of its words.
+
+    If no row outside the held-out ids has a language to learn from, all documents with a letter stay.
+    """
     model = language.fit(docs)
+    if not model.languages:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
     kept = docs.select(F.struct(*docs.columns).alias("row"), F.col("text"))
     kept = language.identify(kept, model).where((F.col("lang_pred") != language.UNKNOWN) & (F.col("score") >= LEAST_SHARE))
     return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])

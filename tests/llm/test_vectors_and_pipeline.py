@@ -156,6 +156,14 @@ def test_pipeline_stage_by_stage(spark, sf):
     assert corpus_pipeline.run(spark, sf).count() == packed.count()
 
 
+def test_documents_stay_when_no_language_is_known(spark, odd_docs, no_docs):
+    docs = odd_docs.withColumn("lang", F.lit(None).cast("string"))
+    out = corpus_pipeline.one_language(spark, docs, "")
+    want = [r.doc_id for r in docs.collect() if any(c.isalpha() for c in r.text or "")]
+    assert out.columns == docs.columns and len(want) > 10
+    assert sorted(map(str, want)) == sorted(str(r.doc_id) for r in out.collect())
+
+
 def test_pipeline_on_odd_and_empty_tables(spark, odd_docs, no_docs, tmp_path):
     for name, docs in (("odd", odd_docs), ("none", no_docs)):
         path = f"{tmp_path}/{name}"
