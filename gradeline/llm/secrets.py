@@ -32,6 +32,8 @@ ENCODINGS = (
 )
 #: Upper bounds of the length classes within which false discoveries are controlled.
 CLASSES = (24, 32, 48, 96)
+#: Ordinary words: runs of letters too short for a candidate that are no part of a longer run of key letters.
+PLAIN = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z]{{1,{LEAST - 1}}}+(?![A-Za-z0-9+/_=-])"
 #: Steps of the -log10 of the combined p-value in the histograms, and the largest step.
 STEP, STEPS = 0.05, 400
 
@@ -94,13 +96,14 @@ def upper_tail(z: Column) -> Column:
     return 1 / (1 + F.exp(F.lit(1.5976) * z + F.lit(0.070566) * z * z * z))
 
 
-def battery(found: Column) -> Column:
+def battery(found: Column, plain: bool = False) -> Column:
     """Randomness tests of each candidate (start, end, word) for its inferred encoding.
 
     Adds encoding, class (of length) and step, the -log10 of the combined p-value in steps: 0 for
     a string that looks drawn evenly from its alphabet, larger the less it does. The tests are
     chi-squared over the alphabet (Wilson-Hilferty), runs about the alphabet's middle, and lag-one
-    serial correlation; their p-values are combined by Fisher's method.
+    serial correlation; their p-values are combined by Fisher's method. ``plain`` is for words of small
+    letters only, whose sums string functions give at less cost.
     """
     def encode(x: Column) -> Column:
         word = x["word"]
@@ -113,7 +116,7 @@ def battery(found: Column) -> Column:
     def digits(x: Column) -> Column:
         body = F.regexp_replace(x["word"], F.lit("=+$"), F.lit(""))
         body = F.when(x["encoding"] == "letters", F.lower(body)).otherwise(body)
-        places = F.transform(F.split(body, "(?!^)"), lambda c: F.greatest(F.instr(x["letters"], c) - 1, F.lit(0)))
+        places = F.transform(F.split(body, ""), lambda c: F.greatest(F.instr(x["letters"], c) - 1, F.lit(0)))
         return F.struct(*[x[c].alias(c) for c in ("start", "end", "word", "encoding")],
                         F.char_length(x["letters"]).cast("double").alias("a"), places.alias("v"))
 
@@ -132,24 +135,52 @@ def battery(found: Column) -> Column:
                         n.alias("n"), squares.alias("squares"), high.alias("high"), turns.alias("turns"),
                         total.alias("total"), power.alias("power"), (cross + ends).alias("cross"))
 
-    def tests(x: Column) -> Column:
+    def counted(x: Column) -> Column:
+        word, letters = x["word"], ENCODINGS[2][2]
+        n = F.char_length(word)
+        half = F.translate(word, letters, "0" * 13 + "1" * 13)
+        turns = sum((n - F.char_length(F.replace(half, F.lit(t), F.lit("")))) / 2 for t in ("01", "10"))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), word.alias("word"), n.cast("double").alias("n"),
+                        F.array(*[(n - F.char_length(F.replace(word, F.lit(c), F.lit("")))).cast("double") for c in letters]).alias("c"),
+                        turns.alias("turns"), F.transform(F.split(word, ""), lambda c: (F.ascii(c) - 97).cast("double")).alias("v"))
+
+    def letter_sums(x: Column) -> Column:
+        c, v = [x["c"][i] for i in range(26)], x["v"]
+        cross = F.aggregate(F.sequence(F.lit(0), F.size(v) - 2), F.lit(0.0), lambda acc, i: acc + F.get(v, i) * F.get(v, i + 1))
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["word"].alias("word"), F.lit("letters").alias("encoding"),
+                        F.lit(26.0).alias("a"), x["n"].alias("n"), sum(k * k for k in c).alias("squares"),
+                        sum(c[13:]).alias("high"), x["turns"].alias("turns"), sum(i * k for i, k in enumerate(c)).alias("total"),
+                        sum(i * i * k for i, k in enumerate(c)).alias("power"),
+                        (cross + F.element_at(v, 1) * F.element_at(v, -1)).alias("cross"))
+
+    # Several stages, as an expression that is used again inside a lambda is evaluated again.
+    def parts(x: Column) -> Column:
         n, a = x["n"], x["a"]
-        free = a - 1
-        chi = F.greatest(a / n * x["squares"] - n, F.lit(1e-9))
-        z_chi = (F.pow(chi / free, F.lit(1 / 3)) - (1 - F.lit(2 / 9) / free)) / F.sqrt(F.lit(2 / 9) / free)
         even = 2 * x["high"] * (n - x["high"])
+        vary = x["power"] - x["total"] * x["total"] / n
+        return F.struct(*[x[c].alias(c) for c in ("start", "end", "word", "encoding", "n", "high", "turns")],
+                        (F.lit(2 / 9) / (a - 1)).alias("u"), even.alias("even"), vary.alias("vary"),
+                        F.pow(F.greatest(a / n * x["squares"] - n, F.lit(1e-9)) / (a - 1), F.lit(1 / 3)).alias("root"),
+                        (x["cross"] - x["total"] * x["total"] / n).alias("joint"))
+
+    def scores(x: Column) -> Column:
+        n, even = x["n"], x["even"]
+        z_chi = (x["root"] - (1 - x["u"])) / F.sqrt(x["u"])
         spread = F.sqrt(F.greatest(even * (even - n) / (n * n * (n - 1)), F.lit(1e-9)))
         z_runs = F.when((x["high"] > 0) & (x["high"] < n), F.abs(x["turns"] - even / n) / spread).otherwise(F.sqrt(n))
-        vary = x["power"] - x["total"] * x["total"] / n
-        serial = F.when(vary > 0, (x["cross"] - x["total"] * x["total"] / n) / vary).otherwise(F.lit(1.0))
+        serial = F.when(x["vary"] > 0, x["joint"] / x["vary"]).otherwise(F.lit(1.0))
         z_serial = F.abs(serial + 1 / n) * F.sqrt(n)
-        floor = F.lit(1e-30)
-        fisher = -2 * (
-            F.log(F.greatest(upper_tail(F.least(z_chi, F.lit(12.0))), floor))
-            + F.log(F.greatest(F.least(2 * upper_tail(F.least(z_runs, F.lit(12.0))), F.lit(1.0)), floor))
-            + F.log(F.greatest(F.least(2 * upper_tail(F.least(z_serial, F.lit(12.0))), F.lit(1.0)), floor))
-        )
-        half = fisher / 2
+        return F.struct(*[x[c].alias(c) for c in ("start", "end", "word", "encoding")],
+                        F.array(*[F.least(z, F.lit(12.0)) for z in (z_chi, z_runs, z_serial)]).alias("z"))
+
+    def fisher(x: Column) -> Column:
+        # One-sided for chi-squared, two-sided for the others.
+        tails = F.transform(x["z"], lambda z, i: F.when(i == 0, upper_tail(z)).otherwise(F.least(2 * upper_tail(z), F.lit(1.0))))
+        half = F.aggregate(tails, F.lit(0.0), lambda acc, t: acc - F.log(F.greatest(t, F.lit(1e-30))))
+        return F.struct(*[x[c].alias(c) for c in ("start", "end", "word", "encoding")], half.alias("half"))
+
+    def stepped(x: Column) -> Column:
+        half = x["half"]
         tail = (half - F.log(1 + half + half * half / 2)) / F.lit(2.302585092994046)
         step = F.least(F.floor(F.greatest(tail, F.lit(0.0)) / STEP), F.lit(STEPS)).cast("int")
         return F.struct(*[x[c].alias(c) for c in ("start", "end", "word", "encoding")], step.alias("step"))
@@ -160,7 +191,7 @@ def battery(found: Column) -> Column:
             k = F.when(size <= CLASSES[i], F.lit(i)).otherwise(k)
         return F.struct(*[x[c].alias(c) for c in ("start", "end", "word", "encoding", "step")], k.alias("class"))
 
-    for stage in (encode, digits, sums, tests, classed):
+    for stage in (*((counted, letter_sums) if plain else (encode, digits, sums)), parts, scores, fisher, stepped, classed):
         found = F.transform(found, stage)
     return found
 
@@ -170,27 +201,58 @@ def candidates(text: Column) -> Column:
     return F.when(text.rlike(TOKEN), located(text, TOKEN)).otherwise(none)
 
 
-def limits(docs: DataFrame, text: str = "text", rate: float = 0.05, least: int = 20) -> dict[int, int]:
+def null_lengths(rounds: int = 16) -> list[int]:
+    """Lengths at which joined words are cut: class by class in turn, spread over each class."""
+    bounds = list(zip((LEAST, *(c + 1 for c in CLASSES)), (*CLASSES, 2 * CLASSES[-1])))
+    return [low + (2 * i + 1) * (high - low + 1) // (2 * rounds) for i in range(rounds) for low, high in bounds]
+
+
+def joined(text: Column) -> Column:
+    """Letter strings of the lengths of every class, as (start, end, word): the null of the battery.
+
+    The ordinary words of a text are joined, and cut without overlap, so that each letter is in one
+    string at most; the rest that fills no length is left out. The class to begin with follows from
+    the number of letters, so that short texts serve all classes up to their own length.
+    """
+    lengths = null_lengths()
+    k, period = len(CLASSES) + 1, sum(lengths)
+
+    def places(first: int) -> Column:
+        turned = lengths[first:] + lengths[:first]
+        return F.array(*[F.struct(F.lit(sum(turned[:i]) + 1).alias("at"), F.lit(n).alias("n")) for i, n in enumerate(turned)])
+
+    letters = F.lower(F.array_join(F.regexp_extract_all(text, F.lit(PLAIN), F.lit(0)), ""))
+    # Each struct binds what later steps use again, so that nothing runs once per part or string.
+    whole = F.transform(F.array(letters), lambda w: F.struct(
+        F.regexp_extract_all(w, F.lit(rf"[a-z]{{1,{period}}}"), F.lit(0)).alias("parts"), (F.char_length(w) % k + 1).alias("turn")))
+    parts = F.flatten(F.transform(whole, lambda w: F.transform(w["parts"], lambda part: F.struct(
+        part.alias("part"), F.char_length(part).alias("size"), w["turn"].alias("turn")))))
+    turns = F.array(*[places(i) for i in range(k)])
+    return F.flatten(F.transform(parts, lambda p: F.transform(
+        F.filter(F.element_at(turns, p["turn"]), lambda t: t["at"] + t["n"] - 1 <= p["size"]),
+        lambda t: F.struct(F.lit(0).alias("start"), t["n"].alias("end"), F.substring(p["part"], t["at"], t["n"]).alias("word")))))
+
+
+def limits(docs: DataFrame, text: str = "text", rate: float = 0.05) -> dict[int, int]:
     """For each length class the largest step at which candidates are reported.
 
-    Words of letters alone show how often text of such length passes the tests by chance. The
-    limit is the largest step at which the expected share of such words among what is reported
-    stays within ``rate``; each class has its own, as short strings pass more easily. Counts run
-    over all documents; only a histogram of classes by steps reaches the driver. A class with
-    fewer than ``least`` letter words borrows the counts of all classes.
+    Strings of letters alone show how often text of such length passes the tests by chance: words
+    of that length, and neighbouring shorter words joined. The limit is the largest step at which
+    the expected share of such strings among what is reported stays within ``rate``; each class has
+    its own, as short strings pass more easily. Counts run over all documents; only a histogram of
+    classes by steps reaches the driver. A class without letter strings, as where no text has words
+    enough for its length, reports nothing.
     """
-    found = F.explode(battery(candidates(F.coalesce(text, F.lit(""))))).alias("x")
+    body = F.coalesce(text, F.lit(""))
+    found = F.explode(F.concat(battery(candidates(body)), battery(joined(body), plain=True))).alias("x")
     rows = docs.select(found).select("x.*").groupBy("class", "step").agg(
         F.count(F.when(F.col("encoding") == "letters", 1)).alias("plain"),
         F.count(F.when(F.col("encoding") != "letters", 1)).alias("other"),
     ).collect()
     out = {}
     for k in range(len(CLASSES) + 1):
-        own = [r for r in rows if r["class"] == k]
-        plain = {s: sum(r.plain for r in own if r.step == s) for s in {r.step for r in own}}
-        if sum(plain.values()) < least:
-            plain = {s: sum(r.plain for r in rows if r.step == s) for s in {r.step for r in rows}}
-        other = {r.step: r.other for r in own}
+        plain = {r.step: r.plain for r in rows if r["class"] == k}
+        other = {r.step: r.other for r in rows if r["class"] == k}
         words, asked = sum(plain.values()), sum(other.values())
         passing, reported, best = 0, 0, -1
         for s in sorted({*plain, *other}):

@@ -387,6 +387,38 @@ def test_the_battery_finds_keys_among_words(spark):
     assert all(i % 4 == 0 for i in found) and len(found) >= 85
 
 
+@pytest.mark.parametrize("n", [40, 400])
+def test_long_keys_are_found_at_every_size(spark, n):
+    """Prose without a long word, and among its keys others of the same length that are not random."""
+    rng = random.Random(31)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = "the water over there was still in old valley when morning light began to show people walking along narrow river banks".split()
+    docs = []
+    for i in range(n):
+        key = "".join(rng.choice(letters) for _ in range(40)) if i % 2 else "/".join(rng.choice(words) for _ in range(12))[:40]
+        # Words of 20 to 24 letters, which pass easily.
+        short = "".join(rng.sample("abcdefghijklmnopqrstuvwxyz", 22))
+        docs.append((i, " ".join([*rng.choices(words, k=80), short, key, *rng.choices(words, k=80)])))
+    out = secrets.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    found = [r.doc_id for r in out if r.n_random]
+    assert all(i % 2 for i in found) and len(found) >= 0.6 * n / 2
+
+
+def test_joined_words_have_the_lengths_of_all_classes(spark):
+    rng = random.Random(5)
+    text = " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 9))) for _ in range(6000))
+    rows = spark.createDataFrame([(text + " x1y abc/def " + "q" * 30,), ("one two",), (None,)], "text string")
+    out = [r.w for r in rows.select(F.explode(secrets.joined(F.col("text"))["word"]).alias("w")).collect()]
+    whole = text.replace(" ", "")
+    assert "".join(out) == whole[: len("".join(out))] and len(whole) - len("".join(out)) < 200
+    sizes = Counter(sum(len(w) > c for c in secrets.CLASSES) for w in out)
+    assert len(sizes) == 5 and max(sizes.values()) - min(sizes.values()) <= 1
+    assert all(len(w) >= secrets.LEAST for w in out)
+    cut = secrets.joined(F.col("text"))
+    both = rows.select(secrets.battery(cut).alias("a"), secrets.battery(cut, plain=True).alias("b")).where("size(a) > 0").first()
+    assert both.a == both.b
+
+
 def test_redaction_leaves_no_span(odd_docs):
     out = secrets.redact(odd_docs)
     assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
