@@ -61,18 +61,34 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return places, rng.choice([-1.0, 1.0], size=(UNITS, SIGNS))
 
 
-def context_sums(data: bytes, places: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """Sum, for each unit of one text, of the index vectors of the units near it."""
-    total = np.zeros(UNITS * DIM)
-    seq = units(data)[0]
-    for at in range(0, len(seq), CHUNK):
-        part = seq[at : at + CHUNK + REACH]
-        for gap in range(1, REACH + 1):
-            a, b = part[:-gap][:CHUNK], part[gap:][:CHUNK]
-            for k in range(SIGNS):
-                total += np.bincount(a * DIM + places[b, k], signs[b, k], UNITS * DIM)
-                total += np.bincount(b * DIM + places[a, k], signs[a, k], UNITS * DIM)
-    return total
+def context_sums(texts: list[bytes], places: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Sum, for each unit of the texts, of the index vectors of the units near it in its text."""
+    total = np.zeros((UNITS + 1) * DIM)
+    # Rows of zeros for a unit that parts texts, so that all are gone through at once.
+    places = np.vstack([places, np.zeros((1, SIGNS), places.dtype)])
+    signs = np.vstack([signs, np.zeros((1, SIGNS))])
+    gap_units = np.full(REACH, UNITS)
+    held: list[np.ndarray] = []
+    size = 0
+
+    def add(seq: np.ndarray) -> None:
+        for at in range(0, len(seq), CHUNK):
+            part = seq[at : at + CHUNK + REACH]
+            for gap in range(1, REACH + 1):
+                a, b = part[:-gap][:CHUNK], part[gap:][:CHUNK]
+                for k in range(SIGNS):
+                    total[:] += np.bincount(a * DIM + places[b, k], signs[b, k], len(total))
+                    total[:] += np.bincount(b * DIM + places[a, k], signs[a, k], len(total))
+
+    for data in texts:
+        held += [units(data)[0], gap_units]
+        size += len(held[-2]) + REACH
+        if size >= CHUNK:
+            add(np.concatenate(held))
+            held, size = [], 0
+    if held:
+        add(np.concatenate(held))
+    return total[: UNITS * DIM]
 
 
 @dataclass
@@ -144,7 +160,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
         ident: str = "doc_id", sample: int = 10_000) -> QualityModel:
     """Learn from at most ``sample`` labelled rows whose id is not held out.
 
-    Those with the smallest id hashes are taken, so the sample does not depend on order. Executors
+    Those with the smallest id hashes are taken, so the sample does not depend on order. The word
+    vectors need no label and are summed over the whole texts of all rows of ``docs``. Executors
     sum context vectors and pool documents; the driver gets one fixed-size table of vectors and
     one row of features per sampled document. Without labelled rows every score is 0.5.
     """
@@ -158,8 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
         places, signs = index_vectors()
         total = np.zeros(UNITS * DIM)
         for batch in batches:
-            for data in batch.column(0).to_pylist():
-                total += context_sums(data, places, signs)
+            total += context_sums(batch.column(0).to_pylist(), places, signs)
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in np.split(total, PARTS)], pa.binary())],
             ["part", "sums"],
@@ -169,7 +185,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
         total = sum(np.frombuffer(x) for x in frame["sums"])
         return pd.DataFrame({"part": frame["part"].iloc[:1], "sums": [total.tobytes()]})
 
-    part = rows.select("text").mapInArrow(sums, "part int, sums binary")
+    every = docs.select(F.coalesce(text, F.lit("")).cast("binary").alias("text"))
+    part = every.mapInArrow(sums, "part int, sums binary")
     part = part.groupBy("part").applyInPandas(add, "part int, sums binary")
     found = {r.part: np.frombuffer(r.sums) for r in part.collect()}
     vectors = np.concatenate([found.get(i, np.zeros(UNITS * DIM // PARTS)) for i in range(PARTS)])

@@ -474,6 +474,19 @@ def test_quality_held_out_accuracy(spark, sf):
     assert np.allclose(again.w1, model.w1) and again.temperature == model.temperature
 
 
+def test_word_vectors_cover_rows_without_a_label(spark):
+    docs = [(i, f"red apple tree number{i} grows") for i in range(20)] + [(i, f"unheard zebra stripes pattern{i} runs") for i in range(100, 120)] + [(None, None)]
+    docs = spark.createDataFrame(docs, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    model = quality.fit(docs, labels)
+    one = quality.units(b"zebra")[0][0]
+    assert np.linalg.norm(model.vectors[one]) > 0.9
+    places, signs = quality.index_vectors()
+    texts = [r.text.encode() for r in docs.where("text IS NOT NULL").collect()]
+    alone = sum(quality.context_sums([t], places, signs) for t in texts)
+    assert np.array_equal(quality.context_sums(texts, places, signs), alone)
+
+
 def test_quality_edges(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (3, 0), (5, None), (None, 1), (7, 0)], "doc_id long, quality int")
     model = quality.fit(odd_docs, labels)
