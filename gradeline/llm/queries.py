@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gradeline.llm import embed_dedup, language, minhash, mixing, neighbours, packing, quality, secrets, substring, tokens
+from gradeline.llm import (
+    embed_dedup, exact_topk, language, minhash, mixing, neighbours, packing, quality, repair, secrets, substring, tokens,
+)
 from gradeline.llm.common import held_out, table
 
 
@@ -67,9 +69,22 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_topk.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conversations = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return repair.repair(repair.damaged(conversations), conversations)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_scores, op2_substring_dedup, op3_embedding_dedup, op4_secret_scan, op5_nearest_neighbours, op6_minhash_dedup, op8_language_mixture, op7_best_fit_packing, op9_token_counts, op10_source_mixing,
+        op12_exact_topk, op13_conversation_repair,
     )
 }
-ORACLES: dict[str, str] = {"op2_substring_dedup": substring.ORACLE, "op3_embedding_dedup": embed_dedup.ORACLE, "op6_minhash_dedup": minhash.ORACLE, "op10_source_mixing": mixing.ORACLE}
+ORACLES: dict[str, str] = {
+    "op2_substring_dedup": substring.ORACLE, "op3_embedding_dedup": embed_dedup.ORACLE, "op6_minhash_dedup": minhash.ORACLE,
+    "op10_source_mixing": mixing.ORACLE, "op12_exact_topk": exact_topk.ORACLE, "op13_conversation_repair": repair.ORACLE,
+}
