@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeline.llm import (
-    embed_dedup, exact_topk, language, minhash, mixing, neighbours, packing, quality, repair, secrets, substring, tokens,
+    embed_dedup, exact_topk, language, minhash, mixing, neighbours, packing, quality, repair, secrets, substring, token_links,
+    tokens,
 )
 from gradeline.llm.common import held_out, table
 
@@ -69,6 +70,13 @@ def op10_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    files = [public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return token_links.align(table(spark, sf_dir, "documents"), *files)
+
+
 def op12_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_topk.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10)
 
@@ -81,7 +89,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_quality_scores, op2_substring_dedup, op3_embedding_dedup, op4_secret_scan, op5_nearest_neighbours, op6_minhash_dedup, op8_language_mixture, op7_best_fit_packing, op9_token_counts, op10_source_mixing,
-        op12_exact_topk, op13_conversation_repair,
+        op11_token_alignment, op12_exact_topk, op13_conversation_repair,
     )
 }
 ORACLES: dict[str, str] = {
