@@ -106,12 +106,17 @@ def match(p: Boxes, g: Boxes, threshold: float, typed: bool):
     if threshold >= 0.5 and touch.sum(0).max() <= 1 and touch.sum(1).max() <= 1:
         pairs = zip(*np.nonzero(overlap >= threshold))
         return sorted((int(i), int(j)) for i, j in pairs), overlap
+    return assigned(p, g, overlap, threshold, typed), overlap
+
+
+def assigned(p: Boxes, g: Boxes, overlap: np.ndarray, threshold: float, typed: bool) -> list[tuple[int, int]]:
+    """Pairs of the optimal assignment that clear the threshold."""
     cost = 1.0 - overlap
     if typed:
         cost = cost + TYPE_PENALTY * (p.kind[:, None] != g.kind)
     kept = [(i, j) for i, j in assign(cost) if overlap[i, j] >= threshold
             and p.valid[i] and g.valid[j]]
-    return sorted(kept), overlap
+    return sorted(kept)
 
 
 def neighbours(b: Boxes, i: int, others: np.ndarray, reach: float) -> np.ndarray:
@@ -186,6 +191,11 @@ def recover(parts: Boxes, wholes: Boxes, free_parts, free_wholes, overlap, thres
 def match_with_recovery(p: Boxes, g: Boxes, threshold: float, reach: float, typed: bool):
     """One-to-one pairs, then predictions merged for missed truths, then truths for predictions."""
     pairs, overlap = match(p, g, threshold, typed)
+    return pairs, *recover_both(p, g, pairs, overlap, threshold, reach)
+
+
+def recover_both(p: Boxes, g: Boxes, pairs, overlap: np.ndarray, threshold: float, reach: float):
+    """Records of predictions merged for missed truths, then of truths merged for predictions."""
     used_p, used_g = {i for i, _ in pairs}, {j for _, j in pairs}
     free_p = [i for i in range(len(p)) if i not in used_p]
     free_g = [j for j in range(len(g)) if j not in used_g]
@@ -196,18 +206,25 @@ def match_with_recovery(p: Boxes, g: Boxes, threshold: float, reach: float, type
     free_p = [i for i in free_p if i not in used_p]
     free_g = [j for j in free_g if j not in used_g]
     merges = recover(g, p, free_g, free_p, overlap.T, threshold, reach)
-    return pairs, splits, merges
+    return splits, merges
 
 
 def greedy_hits(p: Boxes, g: Boxes, confidence: np.ndarray, thresholds) -> np.ndarray:
     """Hit flags [threshold, prediction]: by falling confidence, each takes its best free truth."""
-    hits = np.zeros((len(thresholds), len(p)), dtype=bool)
     if not len(p) or not len(g):
+        return np.zeros((len(thresholds), len(p)), dtype=bool)
+    return greedy_rows(iou_grid(p, g) * (p.kind[:, None] == g.kind), confidence, thresholds)
+
+
+def greedy_rows(overlap: np.ndarray, confidence: np.ndarray, thresholds) -> np.ndarray:
+    """Hit flags [threshold, row] of a matrix of overlaps within a kind."""
+    n_pred, n_gt = overlap.shape
+    hits = np.zeros((len(thresholds), n_pred), dtype=bool)
+    if not n_gt:
         return hits
-    overlap = iou_grid(p, g) * (p.kind[:, None] == g.kind)
     order = np.argsort(-confidence, kind="stable")
     for t, limit in enumerate(thresholds):
-        free = np.ones(len(g), dtype=bool)
+        free = np.ones(n_gt, dtype=bool)
         for i in order:
             row = np.where(free, overlap[i], 0.0)
             j = int(np.argmax(row))
@@ -215,3 +232,171 @@ def greedy_hits(p: Boxes, g: Boxes, confidence: np.ndarray, thresholds) -> np.nd
                 free[j] = False
                 hits[t, i] = True
     return hits
+
+
+#: Pairs of boxes whose overlap is computed at once.
+AT_ONCE = 1 << 20
+
+
+@dataclass
+class Side:
+    """Boxes of many pages, one page after another; page r owns the rows from starts[r] to starts[r + 1]."""
+
+    starts: np.ndarray
+    boxes: Boxes
+
+    @property
+    def page(self) -> np.ndarray:
+        return np.repeat(np.arange(len(self.starts) - 1), np.diff(self.starts))
+
+    def of(self, r: int) -> Boxes:
+        return self.boxes.take(slice(self.starts[r], self.starts[r + 1]))
+
+
+class Batch:
+    """Two sides of many pages. Overlaps of all pages are found together; only pages on which a box
+    overlaps two others are looked at one by one."""
+
+    def __init__(self, p: Side, g: Side):
+        self.p, self.g = p, g
+        self.n_pages = len(p.starts) - 1
+        self.page_p, self.page_g = p.page, g.page
+        found = [self._touching(a, b) for a, b in self._slices()]
+        self.i, self.j, self.v = (np.concatenate([f[k] for f in found] or [np.zeros(0, int)]) for k in range(3))
+        self.page = self.page_p[self.i]
+        self.same = p.boxes.kind[self.i] == g.boxes.kind[self.j]
+
+    def _slices(self):
+        """Ranges of predictions with a bounded number of pairs each."""
+        pairs = np.cumsum(np.diff(self.g.starts)[self.page_p])
+        a = 0
+        while a < len(pairs):
+            done = pairs[a - 1] if a else 0
+            b = max(a + 1, int(np.searchsorted(pairs, done + AT_ONCE, "right")))
+            yield a, b
+            a = b
+
+    def _touching(self, a: int, b: int):
+        page = self.page_p[a:b]
+        per = np.diff(self.g.starts)[page]
+        i = np.repeat(np.arange(a, b), per)
+        step = np.arange(len(i)) - np.repeat(np.cumsum(per) - per, per)
+        j = np.repeat(self.g.starts[page], per) + step
+        p, g = self.p.boxes, self.g.boxes
+        w = np.minimum(p.x[i] + p.w[i], g.x[j] + g.w[j]) - np.maximum(p.x[i], g.x[j])
+        h = np.minimum(p.y[i] + p.h[i], g.y[j] + g.h[j]) - np.maximum(p.y[i], g.y[j])
+        met = np.flatnonzero((w > 0) & (h > 0) & p.valid[i] & g.valid[j])
+        i, j, inter = i[met], j[met], w[met] * h[met]
+        union = p.w[i] * p.h[i] + g.w[j] * g.h[j] - inter
+        return i, j, inter / union
+
+    def overlap(self, r: int, same: bool = False) -> np.ndarray:
+        """IoU matrix of one page; of boxes of one kind only if ``same``."""
+        a, b = np.searchsorted(self.page, [r, r + 1])
+        i0, j0 = self.p.starts[r], self.g.starts[r]
+        out = np.zeros((self.p.starts[r + 1] - i0, self.g.starts[r + 1] - j0))
+        out[self.i[a:b] - i0, self.j[a:b] - j0] = np.where(self.same[a:b], self.v[a:b], 0) if same else self.v[a:b]
+        return out
+
+    def _crowded(self, among: np.ndarray, keys_p: np.ndarray, keys_g: np.ndarray, n: int) -> np.ndarray:
+        """Which of ``n`` keys have a box that touches two others, counting the touches ``among`` only."""
+        out = np.zeros(n, dtype=bool)
+        out[keys_p[np.bincount(self.i[among], minlength=len(self.page_p)) > 1]] = True
+        out[keys_g[np.bincount(self.j[among], minlength=len(self.page_g)) > 1]] = True
+        return out
+
+    def pairs(self, threshold: float, typed: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Kept pairs of all pages as rows of the two sides, in order."""
+        every = np.ones(len(self.i), dtype=bool)
+        crowded = self._crowded(every, self.page_p, self.page_g, self.n_pages)
+        if threshold < 0.5:
+            crowded[self.page] = True
+        quiet = ~crowded[self.page] & (self.v >= threshold)
+        i, j = [self.i[quiet]], [self.j[quiet]]
+        for r in np.flatnonzero(crowded):
+            kept = assigned(self.p.of(r), self.g.of(r), self.overlap(r), threshold, typed)
+            i.append(np.array([a for a, _ in kept], dtype=int) + self.p.starts[r])
+            j.append(np.array([b for _, b in kept], dtype=int) + self.g.starts[r])
+        i, j = np.concatenate(i), np.concatenate(j)
+        order = np.argsort(i, kind="stable")
+        return i[order], j[order]
+
+    def records(self, i: np.ndarray, j: np.ndarray, threshold: float, reach: np.ndarray) -> tuple[list, list]:
+        """Per page the merges of predictions and of truths that the pairs ``i``, ``j`` leave to be made."""
+        splits, merges = [[] for _ in range(self.n_pages)], [[] for _ in range(self.n_pages)]
+        among = self._free(i, j)
+        starts = np.searchsorted(self.page_p[i], np.arange(self.n_pages + 1))
+        for r in np.flatnonzero(self._crowded(among, self.page_p, self.page_g, self.n_pages)):
+            a, b = starts[r], starts[r + 1]
+            pairs = list(zip(i[a:b] - self.p.starts[r], j[a:b] - self.g.starts[r]))
+            splits[r], merges[r] = recover_both(self.p.of(r), self.g.of(r), pairs, self.overlap(r), threshold, reach[r])
+        return splits, merges
+
+    def _free(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Touches between boxes outside the pairs ``i``, ``j``."""
+        used_p, used_g = np.zeros(len(self.page_p), bool), np.zeros(len(self.page_g), bool)
+        used_p[i], used_g[j] = True, True
+        return ~used_p[self.i] & ~used_g[self.j]
+
+    def by_class(self, threshold: float, reach: np.ndarray | None = None) -> dict[str, np.ndarray]:
+        """Per (page, kind) the counts of a matching within that kind: ``page``, ``kind``, ``tp``,
+        ``n_pred``, ``n_gt`` and, if ``reach`` is given, of merges and the boxes they take."""
+        kinds = int(max(self.p.boxes.kind.max(initial=0), self.g.boxes.kind.max(initial=0))) + 1
+        key_p, key_g = self.page_p * kinds + self.p.boxes.kind, self.page_g * kinds + self.g.boxes.kind
+        keys, place = np.unique(np.concatenate([key_p, key_g]), return_inverse=True)
+        at_p, at_g, n = place[: len(key_p)], place[len(key_p) :], len(keys)
+        crowded = self._crowded(self.same, at_p, at_g, n)
+        if threshold < 0.5:
+            crowded[at_p[self.i[self.same]]] = True
+        quiet = self.same & ~crowded[at_p[self.i]] & (self.v >= threshold)
+        i, j = [self.i[quiet]], [self.j[quiet]]
+        grids: dict[int, np.ndarray] = {}
+
+        def part(k: int):
+            """Rows of one (page, kind) on both sides, and their overlaps."""
+            r = keys[k] // kinds
+            if r not in grids:
+                grids.clear()
+                grids[r] = self.overlap(r, same=True)
+            p0, g0 = self.p.starts[r], self.g.starts[r]
+            rows = np.flatnonzero(at_p[p0 : self.p.starts[r + 1]] == k)
+            cols = np.flatnonzero(at_g[g0 : self.g.starts[r + 1]] == k)
+            return rows + p0, cols + g0, grids[r][np.ix_(rows, cols)]
+
+        for k in np.flatnonzero(crowded):
+            rows, cols, overlap = part(k)
+            kept = assigned(self.p.boxes.take(rows), self.g.boxes.take(cols), overlap, threshold, False)
+            i.append(rows[[a for a, _ in kept]])
+            j.append(cols[[b for _, b in kept]])
+        i, j = np.concatenate(i), np.concatenate(j)
+        out = {
+            "page": keys // kinds, "kind": keys % kinds, "tp": np.bincount(at_p[i], minlength=n),
+            "n_pred": np.bincount(at_p, minlength=n), "n_gt": np.bincount(at_g, minlength=n),
+        }
+        if reach is not None:
+            extra = {c: np.zeros(n, dtype=int) for c in ("splits", "split_sources", "merges", "merge_sources")}
+            mate = np.full(len(at_p), -1)
+            mate[i] = j
+            for k in np.flatnonzero(self._crowded(self._free(i, j) & self.same, at_p, at_g, n)):
+                rows, cols, overlap = part(k)
+                where = {c: y for y, c in enumerate(cols)}
+                pairs = [(x, where[mate[r]]) for x, r in enumerate(rows) if mate[r] >= 0]
+                splits, merges = recover_both(
+                    self.p.boxes.take(rows), self.g.boxes.take(cols), pairs, overlap, threshold, reach[keys[k] // kinds]
+                )
+                for name, records in (("split", splits), ("merge", merges)):
+                    extra[f"{name}s"][k] = len(records)
+                    extra[f"{name}_sources"][k] = sum(len(r["sources"]) for r in records)
+            out |= extra
+        return out
+
+    def hits(self, confidence: np.ndarray, thresholds: list[float]) -> np.ndarray:
+        """Hit flags [prediction, threshold] of greedy matching by falling confidence within a kind."""
+        crowded = self._crowded(self.same, self.page_p, self.page_g, self.n_pages)
+        out = np.zeros((len(self.page_p), len(thresholds)), dtype=bool)
+        quiet = self.same & ~crowded[self.page]
+        out[self.i[quiet]] = self.v[quiet, None] >= np.array(thresholds)
+        for r in np.flatnonzero(crowded):
+            a, b = self.p.starts[r], self.p.starts[r + 1]
+            out[a:b] = greedy_rows(self.overlap(r, same=True), confidence[a:b], thresholds).T
+        return out

@@ -7,12 +7,12 @@ on it; one shuffle brings both sides of a page together for all processors at on
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from gradeline.functions import geometry as geo
 from gradeline.functions import pages as pg
@@ -23,11 +23,16 @@ from gradeline.functions.ratio import f1, long_sum, precision, recall, share
 IOU = 0.5
 GAP = 0.02
 THRESHOLDS = [round(0.5 + 0.05 * i, 2) for i in range(10)]
-PAIR = "array<struct<p:int,g:int>>"
-RECORD = (
-    "array<struct<sources:array<int>,target:int,before:double,after:double,"
-    "bbox:struct<x:int,y:int,w:int,h:int>>>"
-)
+PAIRS = pa.list_(pa.struct([("p", pa.int32()), ("g", pa.int32())]))
+BOX = pa.struct([(c, pa.int32()) for c in "xywh"])
+RECORDS = pa.list_(pa.struct([
+    ("sources", pa.list_(pa.int32())), ("target", pa.int32()), ("before", pa.float64()),
+    ("after", pa.float64()), ("bbox", BOX),
+]))
+CLASS_COUNTS = ("tp", "n_pred", "n_gt", "splits", "split_sources", "merges", "merge_sources")
+CLASSES = pa.list_(pa.struct([("class", pa.string()), *[(c, pa.int64()) for c in CLASS_COUNTS]]))
+#: What one crossing of the page kernel can return.
+RESULTS = {"matched": PAIRS, "blind": PAIRS, "splits": RECORDS, "merges": RECORDS, "classes": CLASSES}
 
 
 def _block() -> Column:
@@ -39,87 +44,116 @@ def page_pairs(
 ) -> DataFrame:
     """One row per (page, processor) with arrays ``pred`` and ``gt`` in index order.
 
-    Both sides are tagged and grouped by page once; processors are separated after the shuffle. A
+    Both sides are dealt out by page once; what a page's processors found is gathered there. A
     processor that found nothing on a page still gets its row. ``pages`` adds width and height.
     """
     g = truth.select("page_id", F.lit(None).cast("string").alias("processor"), _block().alias("b"))
     p = predictions.select("page_id", "processor", _block().alias("b"))
-    tagged = g.unionByName(p).groupBy("page_id").agg(
-        F.array_sort(F.collect_list(F.when(F.col("processor").isNull(), F.col("b")))).alias("gt"),
-        F.collect_list(
-            F.when(F.col("processor").isNotNull(), F.struct("processor", "b"))
-        ).alias("_all"),
-    )
-    rows = tagged.withColumn("processor", F.explode(F.array(*[F.lit(x) for x in processors])))
-    mine = F.filter("_all", lambda e: e["processor"] == F.col("processor"))
-    rows = rows.withColumn("pred", F.array_sort(F.transform(mine, lambda e: e["b"]))).drop("_all")
+    # Dealt by page, so that neither grouping below moves rows again.
+    dealt = g.unionByName(p).repartition("page_id")
+    lists = dealt.groupBy("page_id", "processor").agg(F.array_sort(F.collect_list("b")).alias("b"))
+    found = F.col("processor").isNotNull()
+    held = lists.groupBy("page_id").agg(
+        F.any_value(F.when(~found, F.col("b")), True).alias("gt"),
+        F.map_from_entries(F.collect_list(F.when(found, F.struct("processor", "b")))).alias("_all"),
+    )
+    none = F.array().cast(lists.schema["b"].dataType)
+    rows = held.withColumn("processor", F.explode(F.array(*[F.lit(x) for x in processors])))
+    rows = rows.select(
+        "page_id", F.coalesce("gt", none).alias("gt"), "processor",
+        F.coalesce(F.try_element_at("_all", F.col("processor")), none).alias("pred"),
+    )
     if pages is not None:
         rows = rows.join(pages.select("page_id", "width", "height"), "page_id", "left")
     return rows
 
 
-def by_class(pairs: DataFrame) -> DataFrame:
-    """One row per (page, processor, class) with both arrays cut to that class."""
-    kinds = F.array_union(
-        F.transform("pred", lambda b: b["kind"]), F.transform("gt", lambda b: b["kind"])
-    )
-    rows = pairs.withColumn("class", F.explode(kinds))
-    same = lambda b: b["kind"] == F.col("class")
-    return rows.withColumns({"pred": F.filter("pred", same), "gt": F.filter("gt", same)})
-
-
-def _slim(side: str) -> Column:
-    return F.transform(side, lambda b: F.struct(b["kind"].alias("kind"), b["bbox"].alias("bbox")))
+def _flat(side: str) -> list[Column]:
+    return [F.col(f"{side}.{c}") for c in ("kind", "bbox.x", "bbox.y", "bbox.w", "bbox.h")]
 
 
-def _with_kernel(pairs: DataFrame, columns: str, work, *extra: str) -> DataFrame:
-    """Run a per-page kernel over Arrow batches; other columns pass through unread by it."""
-    keep = [c for c in pairs.columns]
-    source = pairs.withColumns({"_p": _slim("pred"), "_g": _slim("gt")})
+def _batch(columns: list[pa.Array]) -> tuple[pg.Batch, pa.Array]:
+    """Both sides of an Arrow batch of pages as flat arrays, and the names of the kinds."""
+    sides = columns[:5], columns[5:10]
+    kinds = pa.concat_arrays([c[0].flatten().cast(pa.string()) for c in sides])
+    kinds = pc.dictionary_encode(kinds, null_encoding="encode")
+    codes, made, at = kinds.indices.to_numpy(), [], 0
+    for kind, *box in sides:
+        starts = np.concatenate([[0], np.cumsum(pc.list_value_length(kind).to_numpy())])
+        flat = [c.flatten() for c in box]
+        numbers = [pc.fill_null(c, 0).to_numpy().astype(np.float64) for c in flat]
+        valid = flat[0].is_valid().to_numpy(zero_copy_only=False)
+        made.append(pg.Side(starts, pg.Boxes(*numbers, codes[at : at + len(valid)], valid)))
+        at += len(valid)
+    return pg.Batch(*made), kinds.dictionary
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            made = [
-                work(pg.boxes(p), pg.boxes(g), *more)
-                for p, g, *more in zip(batch["_p"], batch["_g"], *[batch[c] for c in extra])
-            ]
-            out = batch[keep].copy()
-            for i, name in enumerate(names):
-                out[name] = pd.Series([m[i] for m in made], index=batch.index, dtype=object)
-            yield out
 
-    names = [c.strip().split(" ")[0] for c in columns.split(";")]
-    base = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pairs.schema.fields)
-    return source.mapInPandas(run, f"{base}, " + columns.replace(";", ","))
+def _listed(page: np.ndarray, n_pages: int, kind: pa.DataType, columns: list) -> pa.Array:
+    """Items with their pages (in order) as one list per page."""
+    fields = list(kind.value_type)
+    arrays = [c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, fields)]
+    offsets = np.searchsorted(page, np.arange(n_pages + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(arrays, fields=fields))
 
 
-def match_blocks(
-    pairs: DataFrame, *, threshold: float = IOU, typed: bool = True, out: str = "matched"
+def page_results(
+    pairs: DataFrame, *wanted: str, threshold: float = IOU, gap: float | None = None, typed: bool = True
 ) -> DataFrame:
-    """Add the kept pairs (positions in ``pred`` and ``gt``) of the optimal assignment."""
-
-    def work(p, g):
-        found, _ = pg.match(p, g, threshold, typed)
-        return ([{"p": i, "g": j} for i, j in found],)
+    """Add results of matching inside the pages, all from one pass through the page kernel.
 
-    return _with_kernel(pairs, f"{out} {PAIR}", work)
+    ``matched``: kept pairs (positions in ``pred`` and ``gt``) of the optimal assignment, with a
+    penalty on unlike kinds if ``typed``; ``blind``: the same without it; ``splits`` and ``merges``:
+    predictions merged for a truth that ``matched`` misses, and the reverse; ``classes``: counts of
+    a matching within each kind, with its merges if ``gap`` is given. ``gap`` is the widest gap of
+    adjacent boxes as a share of the page. Only flat lists of kinds and numbers travel.
+    """
+    with_records = "splits" in wanted or "merges" in wanted
+    if with_records and gap is None:
+        gap = GAP
+    result = pa.struct([(w, RESULTS[w]) for w in wanted])
+
+    def run(*columns: pa.Array) -> pa.Array:
+        batch, names = _batch(columns[:10])
+        n = batch.n_pages
+        reach = columns[10].to_numpy(zero_copy_only=False)
+        out = {}
+        if "matched" in wanted or with_records:
+            i, j = batch.pairs(threshold, typed)
+            page = batch.page_p[i]
+            if "matched" in wanted:
+                out["matched"] = _listed(page, n, PAIRS, [i - batch.p.starts[page], j - batch.g.starts[page]])
+            if with_records:
+                splits, merges = batch.records(i, j, threshold, reach)
+                out |= {"splits": pa.array(splits, RECORDS), "merges": pa.array(merges, RECORDS)}
+        if "blind" in wanted:
+            i, j = batch.pairs(threshold, False)
+            page = batch.page_p[i]
+            out["blind"] = _listed(page, n, PAIRS, [i - batch.p.starts[page], j - batch.g.starts[page]])
+        if "classes" in wanted:
+            found = batch.by_class(threshold, reach if gap is not None else None)
+            none = np.zeros(len(found["page"]), dtype=np.int64)
+            counted = [found.get(c, none) for c in CLASS_COUNTS]
+            out["classes"] = _listed(found["page"], n, CLASSES, [names.take(pa.array(found["kind"])), *counted])
+        return pa.StructArray.from_arrays([out[w] for w in wanted], fields=list(result))
+
+    kernel = F.arrow_udf(run, from_arrow_type(result))
+    reach = F.lit(0.0)
+    if gap is not None:
+        reach = F.greatest(F.coalesce("width", F.lit(1)), F.coalesce("height", F.lit(1))) * F.lit(gap)
+    rows = pairs.withColumn("_k", kernel(*_flat("pred"), *_flat("gt"), reach.cast("double")))
+    return rows.select(*pairs.columns, *[F.col(f"_k.{w}").alias(w) for w in wanted])
+
+
+def match_blocks(pairs: DataFrame, *, threshold: float = IOU, typed: bool = True) -> DataFrame:
+    """Add ``matched``: the kept pairs of the optimal assignment."""
+    return page_results(pairs, "matched", threshold=threshold, typed=typed)
 
 
 def recover_matches(
     pairs: DataFrame, *, threshold: float = IOU, gap: float = GAP, typed: bool = True
 ) -> DataFrame:
     """Add pairs plus merge records: ``splits`` (predictions for a truth), ``merges`` (reverse)."""
-    rows = pairs.withColumn(
-        "_reach", F.greatest(F.coalesce("width", F.lit(1)), F.coalesce("height", F.lit(1))) * gap
-    )
-
-    def work(p, g, reach):
-        found, splits, merges = pg.match_with_recovery(p, g, threshold, reach, typed)
-        return [{"p": i, "g": j} for i, j in found], splits, merges
-
-    return _with_kernel(
-        rows, f"matched {PAIR}; splits {RECORD}; merges {RECORD}", work, "_reach"
-    ).drop("_reach")
+    return page_results(pairs, "matched", "splits", "merges", threshold=threshold, gap=gap, typed=typed)
 
 
 def same_kind(m: Column) -> Column:
@@ -162,8 +196,15 @@ def strict_f1(pairs: DataFrame, by: list[str], *, typed: bool = True) -> DataFra
     return pooled(strict_counts(match_blocks(pairs, typed=typed), typed=typed), by)
 
 
+def class_rows(scored: DataFrame, by: list[str]) -> DataFrame:
+    """One row per page and class from the ``classes`` of :func:`page_results`."""
+    return scored.select(*by, F.inline("classes"))
+
+
 def per_class_f1(pairs: DataFrame, by: list[str]) -> DataFrame:
-    return pooled(strict_counts(match_blocks(by_class(pairs))), [*by, "class"])
+    rows = class_rows(page_results(pairs, "classes"), by)
+    tp, n_pred, n_gt = F.col("tp"), F.col("n_pred"), F.col("n_gt")
+    return pooled(rows.withColumns(counts(tp, n_pred, n_gt)), [*by, "class"])
 
 
 def recovery_counts(recovered: DataFrame) -> DataFrame:
@@ -185,7 +226,22 @@ def recovery_counts(recovered: DataFrame) -> DataFrame:
             "adjusted_tp": n_pair + n_split + n_merge,
             "adjusted_fp": n_p - used_p, "adjusted_fn": n_g - used_g,
             "splits_resolved": n_split, "merges_resolved": n_merge,
-            "misclassified": F.size(F.filter("matched", lambda m: ~same_kind(m))),
+            "misclassified": F.size(F.filter("matched", lambda m: ~same_kind(m))), "n_gt": n_g,
+        }
+    )
+
+
+def class_recovery_counts(rows: DataFrame) -> DataFrame:
+    """:func:`recovery_counts` of the rows of :func:`class_rows`."""
+    tp, n_p, n_g = F.col("tp"), F.col("n_pred"), F.col("n_gt")
+    splits, merges = F.col("splits"), F.col("merges")
+    return rows.withColumns(
+        {
+            "strict_tp": tp, "strict_fp": n_p - tp, "strict_fn": n_g - tp,
+            "adjusted_tp": tp + splits + merges,
+            "adjusted_fp": n_p - tp - F.col("split_sources") - merges,
+            "adjusted_fn": n_g - tp - splits - F.col("merge_sources"),
+            "splits_resolved": splits, "merges_resolved": merges, "misclassified": F.lit(0),
         }
     )
 
@@ -199,7 +255,7 @@ RECOVERY = [
 def recovery_sums(rows: DataFrame, by: list[str]) -> DataFrame:
     sums = rows.groupBy(*by).agg(
         *[long_sum(F.col(c)).alias(c) for c in RECOVERY], F.count("*").alias("n_pages"),
-        long_sum(F.size("gt")).alias("n_gt"),
+        long_sum(F.col("n_gt")).alias("n_gt"),
     )
     add = {}
     for v in ("strict", "adjusted"):
@@ -213,10 +269,10 @@ def recovery_sums(rows: DataFrame, by: list[str]) -> DataFrame:
 
 def data_set_score(pairs: DataFrame, by: list[str], **options) -> dict[str, DataFrame]:
     """Micro totals, the per-class table, and macro means over classes that have ground truth."""
-    micro = recovery_sums(recovery_counts(recover_matches(pairs, **options)), by)
-    classes = recovery_sums(
-        recovery_counts(recover_matches(by_class(pairs), typed=False, **options)), [*by, "class"]
-    ).where("n_gt > 0")
+    options = {"gap": GAP} | options
+    scored = page_results(pairs, "matched", "splits", "merges", "classes", **options)
+    micro = recovery_sums(recovery_counts(scored), by)
+    classes = recovery_sums(class_recovery_counts(class_rows(scored, by)), [*by, "class"]).where("n_gt > 0")
     macro = classes.groupBy(*by).agg(
         *[
             F.avg(f"{v}_{m}").alias(f"{v}_macro_{m}")
@@ -374,35 +430,19 @@ def ignored_counts(matched: DataFrame) -> DataFrame:
 
 def greedy_hits(pairs: DataFrame, thresholds: list[float] = THRESHOLDS) -> DataFrame:
     """Per prediction an array of hits, one flag per IoU threshold, matched within its page."""
-    slim = pairs.select(
-        "page_id", "processor",
-        F.transform(
-            "pred",
-            lambda b: F.struct(b["kind"].alias("kind"), b["bbox"].alias("bbox"),
-                               b["confidence"].alias("c"), b["idx"].alias("idx")),
-        ).alias("_p"),
-        _slim("gt").alias("_g"),
-    ).where(F.size("_p") > 0)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = []
-            for page, proc, p, g in zip(
-                batch["page_id"], batch["processor"], batch["_p"], batch["_g"]
-            ):
-                conf = np.array([b["c"] for b in p], dtype=float)
-                hits = pg.greedy_hits(pg.boxes(p), pg.boxes(g), conf, thresholds)
-                for i, b in enumerate(p):
-                    parts.append((page, proc, b["kind"], b["idx"], conf[i], hits[:, i].tolist()))
-            yield pd.DataFrame(
-                parts, columns=["page_id", "processor", "class", "idx", "confidence", "hits"]
-            )
+    def run(*columns: pa.Array) -> pa.Array:
+        batch, _ = _batch(columns[:10])
+        hits = batch.hits(columns[10].flatten().to_numpy(zero_copy_only=False).astype(np.float64), thresholds)
+        inner = pa.ListArray.from_arrays(np.arange(len(hits) + 1, dtype=np.int32) * len(thresholds), pa.array(hits.ravel()))
+        return pa.ListArray.from_arrays(batch.p.starts.astype(np.int32), inner)
 
-    page_type = pairs.schema["page_id"].dataType.simpleString()
-    return slim.mapInPandas(
-        run,
-        f"page_id {page_type}, processor string, class string, idx int, confidence double, "
-        "hits array<boolean>",
+    kernel = F.arrow_udf(run, "array<array<boolean>>")
+    rows = pairs.where(F.size("pred") > 0).withColumn(
+        "hits", kernel(*_flat("pred"), *_flat("gt"), F.col("pred.confidence").cast("array<double>"))
+    )
+    return rows.select("page_id", "processor", F.inline(F.arrays_zip("pred", "hits"))).select(
+        "page_id", "processor", F.col("pred.kind").alias("class"), F.col("pred.idx").cast("int").alias("idx"),
+        F.col("pred.confidence").cast("double").alias("confidence"), "hits",
     )
 
 
@@ -496,36 +536,126 @@ def confidence_present(pred: Column) -> Column:
                                                 F.lit(False)))
 
 
-def evaluate_cells(pairs: DataFrame) -> DataFrame:
-    """Per (page, processor): strict counts, structural errors, sizes and the confidence flag."""
-    rows = match_blocks(match_blocks(pairs), typed=False, out="blind")
-    rows = strict_counts(rows)
-    off = F.size(F.filter("blind", lambda m: ~same_kind(m)))
-    return rows.withColumns(
-        {
-            "misses": (F.size("gt") - F.size("blind")).cast("bigint"),
-            "hallucinations": (F.size("pred") - F.size("blind")).cast("bigint"),
-            "misclassifications": off.cast("bigint"),
-            "pred_count": F.size("pred").cast("bigint"),
-            "gt_count": F.size("gt").cast("bigint"),
-            "confidence_present": confidence_present(F.col("pred")),
-        }
-    ).drop("pred", "gt", "matched", "blind")
-
-
-def roll_up(cells: DataFrame) -> DataFrame:
-    """Processor leaderboard over fine cells; failed ones are only counted."""
-    ok = F.col("status") == "ok"
-    sums = cells.groupBy("processor").agg(
-        F.count_if(ok).alias("n_pages"), F.count_if(~ok).alias("n_errors"),
-        *[long_sum(F.when(ok, F.col(c))).alias(c) for c in (
-            "tp", "fp", "fn", "misses", "hallucinations", "misclassifications")],
-        F.avg(F.when(ok, F.col("latency_sec"))).alias("mean_latency_sec"),
-        F.sum(F.when(ok, F.col("cost_usd"))).alias("total_cost_usd"),
-        F.avg(F.when(ok, F.col("cost_usd"))).alias("mean_cost_usd"),
-        F.bool_or(ok & F.col("confidence_present")).alias("confidence_present"),
+SCORERS = ("f1", "adjacency")
+
+
+def _prf(tp: Column, fp: Column, fn: Column) -> Column:
+    tp, fp, fn = (c.cast("bigint") for c in (tp, fp, fn))
+    return F.struct(
+        tp.alias("tp"), fp.alias("fp"), fn.alias("fn"), precision(tp, fp).alias("precision"),
+        recall(tp, fn).alias("recall"), f1(tp, fp, fn).alias("f1"),
+    )
+
+
+def evaluate_cells(pairs: DataFrame, scorers: tuple[str, ...] = ("f1",)) -> DataFrame:
+    """Per (page, processor) and scorer the whole result of a cell, from one pass of the page kernel.
+
+    ``strict`` and ``adjusted`` are structs of tp, fp, fn, precision, recall and f1, ``per_class`` a
+    map of such structs, ``confusion`` a map from ``predicted|true`` kinds to counts. Scorer ``f1``
+    takes a pair of unlike kinds as an error on both sides, has no ``adjusted`` and knows every kind
+    of either side; ``adjacency`` keeps such pairs, recovers split and merged blocks, and knows
+    the kinds that the truth has. Misses, hallucinations and misclassifications do not depend on it.
+    """
+    if not set(scorers) <= set(SCORERS):
+        raise ValueError(f"unknown scorer among {scorers}")
+    wide = "adjacency" in scorers
+    wanted = ["matched", "blind", "classes", *(["splits", "merges"] if wide else [])]
+    rows = page_results(pairs, *wanted, gap=GAP if wide else None)
+    if wide:
+        rows = recovery_counts(rows)
+    n_p, n_g = F.size("pred"), F.size("gt")
+    hits = F.size(F.filter("matched", same_kind))
+    kind = lambda side, i: F.element_at(F.col(f"{side}.kind"), i + 1)
+    wrong = F.transform(
+        F.filter("blind", lambda m: ~same_kind(m)), lambda m: F.concat_ws("|", kind("pred", m["p"]), kind("gt", m["g"]))
+    )
+    confusion = F.map_from_entries(F.transform(
+        F.array_distinct(wrong),
+        lambda k: F.struct(k.alias("key"), F.size(F.filter(wrong, lambda o: o == k)).cast("bigint").alias("value")),
+    ))
+
+    def by_kind(classes: Column) -> Column:
+        return F.map_from_entries(F.transform(
+            classes, lambda c: F.struct(c["class"].alias("key"), _prf(c["tp"], c["n_pred"] - c["tp"], c["n_gt"] - c["tp"]).alias("value"))
+        ))
+
+    plain = F.struct(
+        F.lit("f1").alias("scorer"), _prf(hits, n_p - hits, n_g - hits).alias("strict"),
+        F.lit(None).cast("struct<tp:bigint,fp:bigint,fn:bigint,precision:double,recall:double,f1:double>").alias("adjusted"),
+        by_kind(F.col("classes")).alias("per_class"),
+    )
+    results = [plain] if "f1" in scorers else []
+    if wide:
+        strict, adjusted = (_prf(*[F.col(f"{v}_{c}") for c in ("tp", "fp", "fn")]) for v in ("strict", "adjusted"))
+        results.append(F.struct(
+            F.lit("adjacency").alias("scorer"), strict.alias("strict"), adjusted.alias("adjusted"),
+            by_kind(F.filter("classes", lambda c: c["n_gt"] > 0)).alias("per_class"),
+        ))
+    return rows.select(
+        "page_id", "processor",
+        (n_g - F.size("blind")).cast("bigint").alias("misses"), (n_p - F.size("blind")).cast("bigint").alias("hallucinations"),
+        F.size(wrong).cast("bigint").alias("misclassifications"), confusion.alias("confusion"),
+        n_p.cast("bigint").alias("pred_count"), n_g.cast("bigint").alias("gt_count"),
+        confidence_present(F.col("pred")).alias("confidence_present"), F.inline(F.array(*results)),
+    )
+
+
+def roll_up(cells: DataFrame, k: int = 5) -> DataFrame:
+    """Leaderboard per processor and scorer over the cells; failed ones are only counted.
+
+    Strict, adjusted and per-class counts are pooled before the ratios are taken; ``adjusted`` pools
+    the cells that have it and is NULL without any. ``top_confusions`` has the ``k`` most frequent
+    pairs of (predicted, true) kinds, ties by name. A cell sends its totals and its few named counts
+    to one aggregate that is summed in the tasks first.
+    """
+    ok = (F.col("status") == "ok") & F.col("strict").isNotNull()
+    totals = ["misses", "hallucinations", "misclassifications"]
+    named = lambda part, name, *n: F.struct(
+        F.lit(part).alias("part"), name.alias("name"), *[c.cast("bigint").alias(f"n{i}") for i, c in enumerate(n)]
+    )
+    zero = F.lit(0).cast("bigint")
+    entries = F.concat(
+        F.array(named("all", F.lit(""), zero, zero, zero)),
+        F.transform(F.map_entries("per_class"), lambda e: named("class", e["key"], e["value"]["tp"], e["value"]["fp"], e["value"]["fn"])),
+        F.transform(F.map_entries("confusion"), lambda e: named("confusion", e["key"], e["value"], zero, zero)),
+    )
+    group = ["processor", "scorer"]
+    kept = F.when(ok, entries).otherwise(F.array(named("all", F.lit(""), zero, zero, zero)))
+    rows = cells.select(
+        *group, ok.alias("ok"), "strict", "adjusted", *totals, "latency_sec", "cost_usd", "confidence_present", F.inline(kept)
+    )
+    whole = F.col("part") == "all"
+    good = whole & F.col("ok")
+    sums = rows.groupBy(*group, "part", "name").agg(
+        *[F.sum(f"n{i}").alias(f"n{i}") for i in range(3)],
+        F.count_if(good).alias("n_pages"), F.count_if(whole & ~F.col("ok")).alias("n_errors"),
+        *[long_sum(F.when(good, F.col(f"strict.{c}"))).alias(c) for c in ("tp", "fp", "fn")],
+        *[F.sum(F.when(good, F.col(f"adjusted.{c}"))).alias(f"adjusted_{c}") for c in ("tp", "fp", "fn")],
+        *[long_sum(F.when(good, F.col(c))).alias(c) for c in totals],
+        F.avg(F.when(good, F.col("latency_sec"))).alias("mean_latency_sec"),
+        F.sum(F.when(good, F.col("cost_usd"))).alias("total_cost_usd"),
+        F.avg(F.when(good, F.col("cost_usd"))).alias("mean_cost_usd"),
+        F.bool_or(good & F.col("confidence_present")).alias("confidence_present"),
+    )
+    carried = [c for c in sums.columns if c not in (*group, "part", "name", "n0", "n1", "n2")]
+    part = F.split("name", r"\|")
+    board = sums.groupBy(*group).agg(
+        *[F.any_value(F.when(whole, F.col(c)), True).alias(c) for c in carried],
+        F.collect_list(F.when(F.col("part") == "class", F.struct("name", _prf(F.col("n0"), F.col("n1"), F.col("n2"))))).alias("_class"),
+        F.array_sort(F.collect_list(F.when(
+            F.col("part") == "confusion", F.struct((-F.col("n0")).alias("less"), part[0].alias("pred"), part[1].alias("gt"))
+        ))).alias("_wrong"),
     ).where("n_pages > 0")
-    return with_prf(sums)
+    adjusted = [F.col(f"adjusted_{c}") for c in ("tp", "fp", "fn")]
+    return with_prf(board).select(
+        *group, *carried, "precision", "recall", "f1",
+        *[F.when(adjusted[0].isNotNull(), c).alias(f"adjusted_{n}") for n, c in (
+            ("precision", precision(adjusted[0], adjusted[1])), ("recall", recall(adjusted[0], adjusted[2])), ("f1", f1(*adjusted)))],
+        F.map_from_entries("_class").alias("per_class"),
+        F.transform(
+            F.slice("_wrong", 1, k), lambda c: F.struct(c["pred"], c["gt"], (-c["less"]).alias("count"))
+        ).alias("top_confusions"),
+    )
 
 
 def class_matrix(classes: DataFrame, processors: list[str], value: str = "f1") -> DataFrame:
@@ -551,7 +681,9 @@ def page_dims(pred_pages: DataFrame, gt_pages: DataFrame) -> DataFrame:
     return both.groupBy("page_id").agg(side("width"), side("height"))
 
 
-def processors_without_predictions(wanted: DataFrame, predictions: DataFrame) -> DataFrame:
-    return wanted.select("processor").join(
-        predictions.select("processor").distinct(), "processor", "left_anti"
-    )
+def processors_without_predictions(
+    wanted: DataFrame, predictions: DataFrame, by: list[str] | None = None
+) -> DataFrame:
+    """Wanted processors (within ``by``) for which no prediction is stored."""
+    keys = [*(by or []), "processor"]
+    return wanted.select(*keys).join(predictions.select(*keys).distinct(), keys, "left_anti")

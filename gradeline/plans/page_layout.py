@@ -248,6 +248,30 @@ def recovery(spark, sf):
     )
 
 
+@query(
+    "L10_merges",
+    with_lines(
+        f"""SELECT *, {prf_sql('adjusted_tp', 'adjusted_fp', 'adjusted_fn', 'adjusted_')}
+           FROM (SELECT 'whole' AS processor, sum(hit::INT)::BIGINT AS strict_tp,
+             (sum(hit::INT) + sum(healed::INT))::BIGINT AS adjusted_tp,
+             (count(*) - sum(hit::INT) - sum(healed::INT))::BIGINT AS adjusted_fp,
+             (sum(n_pred) - sum(hit::INT) - 2 * sum(healed::INT))::BIGINT AS adjusted_fn,
+             0::BIGINT AS splits_resolved, sum(healed::INT)::BIGINT AS merges_resolved,
+             sum(n_pred)::BIGINT AS n_gt FROM lines WHERE r = 1)""",
+    ),
+)
+def merges(spark, sf):
+    """The other way round: whole lines are predicted where the truth has what proc1 split."""
+    fine = predictions(spark, sf).where("processor = 'proc1'").drop("processor")
+    whole = truth(spark, sf).withColumn("processor", F.lit("whole"))
+    rows = lay.page_pairs(fine, whole, ["whole"]).withColumns({"width": F.lit(WIDTH), "height": F.lit(HEIGHT)})
+    sums = lay.recovery_sums(lay.recovery_counts(lay.recover_matches(rows)), ["processor"])
+    names = ["adjusted_tp", "adjusted_fp", "adjusted_fn"]
+    return sums.withColumns(R6(*[f"adjusted_{m}" for m in PRF])).select(
+        "processor", "strict_tp", *names, "splits_resolved", "merges_resolved", "n_gt", *[f"adjusted_{m}" for m in PRF]
+    )
+
+
 @query(
     "L12_adjusted_blocks",
     with_lines(
@@ -439,9 +463,9 @@ def mean_ap(spark, sf):
     return lay.mean_ap(ap)[1].withColumns(R6("map", "map50", "map75"))
 
 
-def cell_rows(spark, sf):
+def cell_rows(spark, sf, scorers=("f1",)):
     """Evaluated cells; a few calls failed, latency and cost depend on the page."""
-    cells = lay.evaluate_cells(pairs(spark, sf))
+    cells = lay.evaluate_cells(pairs(spark, sf), scorers)
     p, r = F.col("page_id"), F.substring("processor", 5, 1).cast("int")
     return cells.withColumns(
         {
@@ -452,6 +476,14 @@ def cell_rows(spark, sf):
     )
 
 
+def shown_classes(per_class):
+    """``class tp/fp/fn`` of a per-class map, in order."""
+    counts = lambda e: F.concat_ws("/", *[e["value"][c].cast("string") for c in ("tp", "fp", "fn")])
+    return F.array_join(
+        F.transform(F.array_sort(F.map_entries(per_class)), lambda e: F.concat_ws(" ", e["key"], counts(e))), ", "
+    )
+
+
 SQL_CELLS = """SELECT page_id, processor, r, (page_id + r) % 37 = 0 AS bad,
     ((page_id * 7 + r) % 90) / 10.0::DOUBLE AS latency_sec,
     CASE WHEN r < 2 THEN ((page_id + r) % 7) / 1000.0::DOUBLE END AS cost_usd,
@@ -459,43 +491,98 @@ SQL_CELLS = """SELECT page_id, processor, r, (page_id + r) % 37 = 0 AS bad,
     count(*) - sum((hit AND same)::INT) AS fn, count(*) - sum(hit::INT) AS misses,
     sum(n_pred) - sum(hit::INT) AS hallucinations,
     sum((hit AND NOT same)::INT) AS misclassifications, sum(n_pred) AS pred_count,
-    count(*) AS gt_count
+    count(*) AS gt_count, sum(hit::INT) AS any_tp, sum(healed::INT) AS healed
   FROM lines GROUP BY page_id, processor, r"""
+CELL_SQL = {
+    "cells_l": SQL_CELLS,
+    # Both scorers' counts of every cell; a healed line is one hit for its two predictions.
+    "scored_l": """SELECT *, 'f1' AS scorer, tp AS s_tp, fp AS s_fp, fn AS s_fn, NULL::BIGINT AS a_tp,
+        NULL::BIGINT AS a_fp, NULL::BIGINT AS a_fn FROM cells_l
+      UNION ALL SELECT *, 'adjacency', any_tp, pred_count - any_tp, gt_count - any_tp, any_tp + healed,
+        pred_count - any_tp - 2 * healed, gt_count - any_tp - healed FROM cells_l""",
+    "class_l": """SELECT page_id, processor, class, sum(t) AS t, sum(p) AS p, sum(g) AS g FROM (
+        SELECT page_id, processor, gt_type AS class, 1 AS g, 0 AS p, (hit AND same)::INT AS t FROM lines
+        UNION ALL SELECT page_id, processor, pred_type, 0, n_pred, 0 FROM lines WHERE n_pred > 0)
+      GROUP BY page_id, processor, class""",
+    "wrong_l": """SELECT page_id, processor, pred_type || '|' || gt_type AS pair, count(*) AS n FROM lines
+      WHERE hit AND NOT same GROUP BY ALL""",
+}
+CLASS_TEXT = "string_agg(class || ' ' || t || '/' || (p - t) || '/' || (g - t), ', ' ORDER BY class)"
 
 
 @query(
     "L19_evaluate_cells",
     with_lines(
-        """SELECT page_id, processor, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn,
+        f"""SELECT page_id, processor, scorer, s_tp::BIGINT AS tp, s_fp::BIGINT AS fp, s_fn::BIGINT AS fn,
+             round(coalesce(2 * s_tp / nullif(2 * s_tp + s_fp + s_fn, 0), 0), 6) AS f1,
+             a_tp::BIGINT AS adjusted_tp, a_fp::BIGINT AS adjusted_fp, a_fn::BIGINT AS adjusted_fn,
              misses::BIGINT AS misses, hallucinations::BIGINT AS hallucinations,
              misclassifications::BIGINT AS misclassifications, pred_count::BIGINT AS pred_count,
-             gt_count, true AS confidence_present FROM cells_l""",
-        cells_l=SQL_CELLS,
+             gt_count, true AS confidence_present, coalesce(confusion, '') AS confusion,
+             coalesce(CASE scorer WHEN 'f1' THEN every ELSE with_truth END, '') AS per_class
+           FROM scored_l
+           LEFT JOIN (SELECT page_id, processor, {CLASS_TEXT} AS every, {CLASS_TEXT} FILTER (WHERE g > 0) AS with_truth
+             FROM class_l GROUP BY page_id, processor) USING (page_id, processor)
+           LEFT JOIN (SELECT page_id, processor, string_agg(pair || ' ' || n, ', ' ORDER BY pair) AS confusion
+             FROM wrong_l GROUP BY page_id, processor) USING (page_id, processor)""",
+        **CELL_SQL,
     ),
 )
 def evaluate_cells(spark, sf):
-    return lay.evaluate_cells(pairs(spark, sf)).drop("width", "height")
+    cells = lay.evaluate_cells(pairs(spark, sf), lay.SCORERS)
+    wrong = F.transform(
+        F.array_sort(F.map_entries("confusion")), lambda e: F.concat_ws(" ", e["key"], e["value"].cast("string"))
+    )
+    return cells.select(
+        "page_id", "processor", "scorer", "strict.tp", "strict.fp", "strict.fn", F.round("strict.f1", 6).alias("f1"),
+        *[F.col(f"adjusted.{c}").alias(f"adjusted_{c}") for c in ("tp", "fp", "fn")],
+        "misses", "hallucinations", "misclassifications", "pred_count", "gt_count", "confidence_present",
+        F.array_join(wrong, ", ").alias("confusion"), shown_classes(F.col("per_class")).alias("per_class"),
+    )
+
+
+ADJUSTED = {"a_tp": "adjusted_tp", "a_fp": "adjusted_fp", "a_fn": "adjusted_fn"}
 
 
 @query(
     "L20_roll_up",
     with_lines(
-        f"""SELECT *, {prf_sql('tp', 'fp', 'fn')} FROM (SELECT processor,
-             count(*) FILTER (WHERE NOT bad) AS n_pages, count(*) FILTER (WHERE bad) AS n_errors, """
-        + ", ".join(
-            f"(sum({c}) FILTER (WHERE NOT bad))::BIGINT AS {c}"
-            for c in ("tp", "fp", "fn", "misses", "hallucinations", "misclassifications")
+        f"""SELECT * EXCLUDE (r_tp), {prf_sql('tp', 'fp', 'fn')},
+             CASE WHEN adjusted_tp IS NOT NULL THEN round(coalesce(adjusted_tp / nullif(adjusted_tp + adjusted_fp, 0), 0), 6) END AS adjusted_precision,
+             CASE WHEN adjusted_tp IS NOT NULL THEN round(coalesce(adjusted_tp / nullif(adjusted_tp + adjusted_fn, 0), 0), 6) END AS adjusted_recall,
+             CASE WHEN adjusted_tp IS NOT NULL THEN round(coalesce(2 * adjusted_tp / nullif(2 * adjusted_tp + adjusted_fp + adjusted_fn, 0), 0), 6) END AS adjusted_f1
+           FROM (SELECT processor, scorer, count(*) FILTER (WHERE NOT bad) AS n_pages, count(*) FILTER (WHERE bad) AS n_errors,
+             sum(s_tp) FILTER (WHERE NOT bad) AS r_tp, """
+        + ", ".join(f"(sum(s_{c}) FILTER (WHERE NOT bad))::BIGINT AS {c}" for c in ("tp", "fp", "fn"))
+        + ", " + ", ".join(f"(sum({c}) FILTER (WHERE NOT bad))::BIGINT AS {a}" for c, a in ADJUSTED.items())
+        + ", " + ", ".join(
+            f"(sum({c}) FILTER (WHERE NOT bad))::BIGINT AS {c}" for c in ("misses", "hallucinations", "misclassifications")
         )
-        + """, round(avg(latency_sec) FILTER (WHERE NOT bad), 6) AS mean_latency_sec,
+        + f""", round(avg(latency_sec) FILTER (WHERE NOT bad), 6) AS mean_latency_sec,
              round(sum(cost_usd) FILTER (WHERE NOT bad), 6) AS total_cost_usd,
              round(avg(cost_usd) FILTER (WHERE NOT bad), 6) AS mean_cost_usd,
-             true AS confidence_present FROM cells_l GROUP BY processor)""",
-        cells_l=SQL_CELLS,
+             true AS confidence_present FROM scored_l GROUP BY processor, scorer)
+           JOIN (SELECT processor, scorer, {CLASS_TEXT} AS per_class FROM (
+               SELECT processor, scorer, class, sum(t)::BIGINT AS t, sum(p)::BIGINT AS p, sum(g)::BIGINT AS g
+               FROM class_l, (VALUES ('f1'), ('adjacency')) s(scorer)
+               WHERE (page_id + substr(processor, 5)::INT) % 37 <> 0 AND (scorer = 'f1' OR g > 0) GROUP BY ALL)
+             GROUP BY ALL) USING (processor, scorer)
+           JOIN (SELECT processor, string_agg(pair || ' ' || n, ', ' ORDER BY n DESC, pred_type, gt_type) AS top_confusions FROM (
+               SELECT processor, pair, split_part(pair, '|', 1) AS pred_type, split_part(pair, '|', 2) AS gt_type, sum(n)::BIGINT AS n
+               FROM wrong_l WHERE (page_id + substr(processor, 5)::INT) % 37 <> 0 GROUP BY processor, pair
+               QUALIFY row_number() OVER (PARTITION BY processor ORDER BY sum(n) DESC, pred_type, gt_type) <= 5)
+             GROUP BY processor) USING (processor)""",
+        **CELL_SQL,
     ),
 )
 def roll_up(spark, sf):
-    return lay.roll_up(cell_rows(spark, sf)).withColumns(
-        R6(*PRF, "mean_latency_sec", "total_cost_usd", "mean_cost_usd")
+    board = lay.roll_up(cell_rows(spark, sf, lay.SCORERS))
+    wrong = F.transform(
+        "top_confusions", lambda c: F.concat(c["pred"], F.lit("|"), c["gt"], F.lit(" "), c["count"].cast("string"))
+    )
+    return board.withColumns(
+        R6(*PRF, *[f"adjusted_{m}" for m in PRF], "mean_latency_sec", "total_cost_usd", "mean_cost_usd")
+        | {"per_class": shown_classes(F.col("per_class")), "top_confusions": F.array_join(wrong, ", ")}
     )
 
 
@@ -533,13 +620,19 @@ def pareto_inputs(spark, sf):
 @query(
     "L22_rescore",
     with_lines(
-        """SELECT processor, gt_type AS class, count(*) AS n_gt,
-             sum((hit AND same)::INT)::BIGINT AS strict_tp,
-             sum((healed AND same)::INT)::BIGINT AS splits_resolved
-           FROM lines GROUP BY processor, gt_type""",
+        f"""SELECT *, {prf_sql('strict_tp', 'strict_fp', 'strict_fn', 'strict_')},
+             {prf_sql('adjusted_tp', 'adjusted_fp', 'adjusted_fn', 'adjusted_')}
+           FROM (SELECT processor, class, sum(g)::BIGINT AS n_gt, sum(t)::BIGINT AS strict_tp,
+             (sum(p) - sum(t))::BIGINT AS strict_fp, (sum(g) - sum(t))::BIGINT AS strict_fn,
+             (sum(t) + sum(s))::BIGINT AS adjusted_tp, (sum(p) - sum(t) - 2 * sum(s))::BIGINT AS adjusted_fp,
+             (sum(g) - sum(t) - sum(s))::BIGINT AS adjusted_fn, sum(s)::BIGINT AS splits_resolved
+           FROM sides GROUP BY processor, class HAVING sum(g) > 0)""",
+        sides=SIDES,
     ),
 )
 def rescore(spark, sf):
+    counts = [f"{v}_{c}" for v in ("strict", "adjusted") for c in ("tp", "fp", "fn")]
+    ratios = [f"{v}_{m}" for v in ("strict", "adjusted") for m in PRF]
     # Stored predictions know no page size; the ground truth does.
     t = truth(spark, sf)
     known = t.select("page_id").distinct().withColumns(
@@ -548,9 +641,23 @@ def rescore(spark, sf):
     unknown = known.withColumns({c: F.lit(None).cast("int") for c in ("width", "height")})
     dims = lay.page_dims(unknown, known)
     rows = lay.page_pairs(t, predictions(spark, sf), PROCESSORS, dims)
-    return lay.data_set_score(rows, ["processor"])["classes"].select(
-        "processor", "class", "n_gt", "strict_tp", "splits_resolved"
-    )
+    classes = lay.data_set_score(rows, ["processor"])["classes"].withColumns(R6(*ratios))
+    return classes.select("processor", "class", "n_gt", *counts, "splits_resolved", *ratios)
+
+
+@query(
+    "L22_missing_predictions",
+    with_lines(
+        """SELECT page_id % 7 AS wave, unnest(['proc0', 'proc1', 'proc2', 'proc3']) AS processor FROM lines
+           EXCEPT SELECT page_id % 7, processor FROM lines WHERE n_pred > 0 AND (page_id + r) % 7 <> 2"""
+    ),
+)
+def missing_predictions(spark, sf):
+    """Of each wave of pages, the processors that stored nothing: one is unknown, one skips a wave."""
+    wave = F.col("page_id") % 7
+    asked = truth(spark, sf).select(wave.alias("wave"), F.explode(F.array(*[F.lit(f"proc{i}") for i in range(4)])).alias("processor"))
+    stored = predictions(spark, sf).where((F.col("page_id") + F.substring("processor", 5, 1).cast("int")) % 7 != 2)
+    return lay.processors_without_predictions(asked.distinct(), stored.select(wave.alias("wave"), "processor"), ["wave"])
 
 
 @query(
