@@ -1,6 +1,7 @@
 """Cross-tokenizer alignment: lockstep merging of two token sequences over the same bytes.
 
-Texts are cut into lanes where both tokenizers must end a token. One NumPy state vector holds, for
+Texts are cut into pieces where both tokenizers must end a token, mostly words; of a batch the libraries
+read each distinct piece once. Runs of pieces are the lanes of the merge. One NumPy state vector holds, for
 every lane of a batch, the current token of each tokenizer and the bytes where they end. A step emits
 a link for every lane, advances the token that ends first (both at a cut), and drops finished lanes.
 
@@ -10,10 +11,13 @@ counts meet each pair once per block, however many documents share it, and come
 
 from __future__ import annotations
 
+import gc
 import hashlib
+import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -24,14 +28,14 @@ from pyspark.sql import functions as F
 from gradeline.llm.common import arrow_bounds, written
 from gradeline.llm.tokens import byte_letters
 
-#: Characters of a lane, bytes of text merged at once, bytes of text of a block.
-LANE, AT_ONCE, BLOCK = 4000, 1 << 20, 4 << 20
+#: Pieces of a lane, characters of text merged at once, characters of text of a block.
+LANE, AT_ONCE, BLOCK = 600, 4 << 20, 4 << 20
 #: Documents of a block.
 BLOCK_DOCS = 50_000
 #: Tokens beyond which a lane is cut at ends that the two sequences happen to share.
 LONG_LANE = 4096
-#: A blank between such letters starts a token of either kind.
-SAFE = re.compile(r"(?<=[A-Za-z]) (?=[A-Za-z])")
+#: A single blank between such characters starts a token of either kind.
+SAFE = re.compile(r"(?<=[^\s▁]) (?=[^\s▁])")
 #: Bits of an id in a pair's key.
 ID_BITS = 20
 
@@ -43,6 +47,8 @@ class Sides:
         import sentencepiece
         from tokenizers import Tokenizer
 
+        # A task has one core; threads of the library would only take those of other tasks.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.a = Tokenizer.from_file(path_a)
         self.a.encode_special_tokens = True
         self.b = sentencepiece.SentencePieceProcessor(model_file=path_b)
@@ -63,21 +69,30 @@ class Sides:
         #: What each token adds to a document's written groups, by its place in the group.
         self.shown = [i + mark for mark in (b",", b"|", b",", b";") for i in ids]
 
-    def lanes(self, text: str) -> list[str]:
+    def pieces(self, text: str) -> list[str]:
         """The parts of a text, each to be read with a blank before it."""
-        out, at = [], 0
-        while self.cuts and len(text) - at > LANE:
-            found = SAFE.search(text, at + LANE)
-            if not found:
-                break
-            out.append(text[at : found.start()])
-            at = found.end()
-        out.append(text[at:])
-        return out
-
-    def ids(self, lanes: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        a = self.a.encode_batch_fast([" " + t for t in lanes], add_special_tokens=False)
-        return [e.ids for e in a], self.b.encode(lanes, num_threads=1)
+        return SAFE.split(text) if self.cuts else [text]
+
+    def read(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[np.ndarray, np.ndarray]]]:
+        """Number of each piece among the distinct ones; which of these have tokens whose bytes differ from
+        a blank and the piece; for either tokenizer the ids of all distinct pieces and how many each has."""
+        coded = pa.array(pieces, pa.string()).dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        whole = [" " + p for p in distinct]
+        # Many short-lived lists: looking for cycles among them would take longer than they live.
+        gc.disable()
+        try:
+            found = [e.ids for e in self.a.encode_batch_fast(whole, add_special_tokens=False)], self.b.encode(distinct, num_threads=1)
+            odd = np.zeros(len(distinct), dtype=bool)
+            sides = []
+            for ids, known in zip(found, (self.a_bytes, self.b_bytes)):
+                flat = list(chain.from_iterable(ids))
+                if b"".join(map(known.__getitem__, flat)) != "".join(whole).encode():
+                    odd |= [b"".join([known[i] for i in own]) != p.encode() for own, p in zip(ids, whole)]
+                sides.append((np.array(flat, dtype=np.int64), np.fromiter(map(len, ids), np.int64, len(ids))))
+        finally:
+            gc.enable()
+        return coded.indices.to_numpy(), odd, sides
 
 
 @lru_cache(maxsize=2)
@@ -86,6 +101,14 @@ def sides(path_a: str, path_b: str) -> Sides:
     return Sides(path_a, path_b)
 
 
+def gathered(ids: np.ndarray, sizes: np.ndarray, number: np.ndarray, lane: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of a run of pieces, given the ids and sizes of the distinct ones, and their number per lane."""
+    size = sizes[number]
+    begin = (np.cumsum(sizes) - sizes)[number]
+    place = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+    return ids[place], np.bincount(lane, size, n).astype(np.int64)
+
+
 def merged(a_size: np.ndarray, b_size: np.ndarray, a_start: np.ndarray, b_start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Links (A place, B place) of all lanes, and which A and B tokens end at a cut.
 
@@ -143,7 +166,7 @@ class Block:
         self.counts: list[np.ndarray] = []
         self.digests: list = []
         self.started: list[bool] = []
-        self.pending: list[tuple[int, str]] = []
+        self.pending: list[tuple[int, list[str]]] = []
         self.waiting = 0
         self.keys: list[np.ndarray] = []
         self.times: list[np.ndarray] = []
@@ -155,10 +178,12 @@ class Block:
         self.counts.append(np.zeros(4, dtype=np.int64))
         self.digests.append(hashlib.sha256())
         self.started.append(False)
-        for lane in self.both.lanes(text) if text else ():
+        self.bytes += len(text or "")
+        pieces = self.both.pieces(text) if text else []
+        for at in range(0, len(pieces), LANE):
+            lane = pieces[at : at + LANE]
             self.pending.append((doc, lane))
-            self.waiting += len(lane)
-            self.bytes += len(lane)
+            self.waiting += sum(map(len, lane))
             if self.waiting >= AT_ONCE:
                 self.merge()
 
@@ -166,20 +191,19 @@ class Block:
         """Tokenize and merge the lanes gathered so far."""
         both, lanes = self.both, self.pending
         self.pending, self.waiting = [], 0
-        good_a, good_b, docs = [], [], []
-        for (doc, text), a, b in zip(lanes, *both.ids([text for _, text in lanes])) if lanes else ():
-            data = b" " + text.encode()
-            same = b"".join(map(both.a_bytes.__getitem__, a)) == data and b"".join(map(both.b_bytes.__getitem__, b)) == data
-            if same and not self.void[doc]:
-                good_a.append(np.array(a, dtype=np.int64))
-                good_b.append(np.array(b, dtype=np.int64))
-                docs.append(doc)
-            else:
-                self.void[doc] = True
-        if not docs:
+        if not lanes:
+            return
+        number, odd, sides = both.read([p for _, pieces in lanes for p in pieces])
+        lane = np.repeat(np.arange(len(lanes)), [len(pieces) for _, pieces in lanes])
+        docs = np.array([doc for doc, _ in lanes])
+        for doc in np.unique(docs[lane[odd[number]]]):
+            self.void[doc] = True
+        good = ~np.array(self.void, dtype=bool)[docs]
+        number, lane = number[good[lane]], (np.cumsum(good) - 1)[lane[good[lane]]]
+        docs = docs[good]
+        if not len(docs):
             return
-        per_a, per_b = (np.array([len(x) for x in g]) for g in (good_a, good_b))
-        a, b, docs = np.concatenate(good_a), np.concatenate(good_b), np.array(docs)
+        (a, per_a), (b, per_b) = (gathered(*side, number, lane, len(docs)) for side in sides)
         a_start, b_start = np.cumsum(per_a) - per_a, np.cumsum(per_b) - per_b
         a_size, b_size = both.a_size[a], both.b_size[b]
         link_a, link_b, last_a, last_b = merged(a_size, b_size, *shorter(a_size, b_size, a_start, b_start))

@@ -50,12 +50,14 @@ def plain_alignment(rows):
                         links.append((a[i], b[k]))
                         k += 1
                 cuts = sorted(set(ends[0]) & set(ends[1]))
-                groups, lo = [], 0
-                for cut in cuts:
-                    groups.append("|".join(
-                        ",".join(str(t) for t, e in zip(ids, es) if lo < e <= cut) for ids, es in ((a, ends[0]), (b, ends[1]))
-                    ))
-                    lo = cut
+                at = {c: n for n, c in enumerate(cuts)}
+                groups = [([], []) for _ in cuts]
+                for side, (ids, es) in enumerate(((a, ends[0]), (b, ends[1]))):
+                    n = 0
+                    for t, e in zip(ids, es):
+                        groups[n][side].append(str(t))
+                        n = at[e] + 1 if e in at else n
+                groups = ["|".join(map(",".join, g)) for g in groups]
                 found = (len(a), len(b), len(cuts), links, hashlib.sha256(";".join(groups).encode()).hexdigest())
                 seen.update(set(links))
         docs.append((ident, found))
@@ -114,12 +116,14 @@ def test_lanes_and_blocks_do_not_change_results(spark, sf, monkeypatch):
         return [list(r[c]) for c in ("n_a", "n_b", "n_groups", "n_links", "shas")], pairs, dict(zip(r["pairs"].tolist(), r["docs"].tolist()))
 
     want = records()
-    monkeypatch.setattr(token_links, "LANE", 40)
+    monkeypatch.setattr(token_links, "LANE", 4)
     monkeypatch.setattr(token_links, "AT_ONCE", 3000)
     assert records() == want
     monkeypatch.setattr(token_links, "LANE", 1 << 40)
     monkeypatch.setattr(token_links, "LONG_LANE", 16)
     assert records() == want
+    monkeypatch.setattr(both, "cuts", False)
+    assert records() == want
 
 
 def test_a_text_of_twenty_megabytes(spark):
