@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeline.functions.prefix import prefix_sums
+from gradeline.functions.prefix import join_same, medians, prefix_sums
 from gradeline.functions.ratio import count_if, share
 
 # Token guess per cell of a dry run.
@@ -76,11 +76,11 @@ def direct_cost_latency(rows: DataFrame, entries: DataFrame) -> DataFrame:
         entries.select("parser", "local", "input_per_mtok", "output_per_mtok"), "parser", "left"
     )
     cost = row_cost(F.col("usage"), F.col("input_per_mtok"), F.col("output_per_mtok"))
-    return joined.groupBy("parser").agg(
+    sums = joined.groupBy("parser").agg(
         F.count("*").alias("n"),
-        F.median("latency_sec").alias("median_latency"),
         F.sum(F.when(~F.coalesce("local", F.lit(False)), cost)).alias("cost_usd"),
     )
+    return join_same(sums, medians(rows, ["parser"], "latency_sec", "median_latency"), ["parser"], "left")
 
 
 def transcriber_cost_latency(meta: DataFrame, entries: DataFrame) -> DataFrame:
@@ -93,7 +93,6 @@ def transcriber_cost_latency(meta: DataFrame, entries: DataFrame) -> DataFrame:
         entries.select("parser", "local", priced.alias("priced")), "parser", "left"
     )
     sums = ok.groupBy("parser").agg(
-        F.median("latency_sec").alias("median_latency"),
         F.sum("cost_usd").alias("total"),
         F.coalesce(F.bool_or("priced"), F.lit(False)).alias("priced"),
         F.coalesce(F.bool_or("local"), F.lit(False)).alias("local"),
@@ -105,7 +104,8 @@ def transcriber_cost_latency(meta: DataFrame, entries: DataFrame) -> DataFrame:
         .when(F.col("total") == 0, "unrecorded")
         .otherwise("recorded")
     )
-    return sums.select(
+    middle = medians(meta.where("ok"), ["parser"], "latency_sec", "median_latency")
+    return join_same(sums, middle, ["parser"], "left").select(
         "parser", "median_latency", status.alias("cost_status"),
         F.when(status == "recorded", F.col("total")).alias("cost_usd"),
     )
@@ -130,9 +130,7 @@ def spend_ledger(rows: DataFrame, by: list[str], cap: float) -> DataFrame:
     ``rows`` has ``ts``, ``row_id`` and ``cost``. ``reason`` is ``cap``, ``unknown cost`` or
     ``within cap``.
     """
-    ledger = prefix_sums(
-        rows, by, [("_day", F.to_date("ts"))], ["ts", "row_id"], {"running": "cost"}
-    )
+    ledger = prefix_sums(rows, by, ["ts", "row_id"], {"running": "cost"})
     unknown = F.col("cost").isNull()
     stop = unknown | (F.col("running") > cap)
     at = F.struct("ts", "row_id")

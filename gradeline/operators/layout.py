@@ -396,6 +396,30 @@ def adjacent_pairs(blocks: DataFrame, pages: DataFrame, gap: float = GAP, cell:
     return near.select("page_id", "processor", "kind", "a_idx", "b_idx").distinct()
 
 
+def adjacent_groups(blocks: DataFrame, pages: DataFrame, gap: float = GAP) -> DataFrame:
+    """Groups of adjacent blocks of one type on a page: each block with the smallest idx of its group.
+
+    Within the row of a (page, processor, type): every block starts with those it touches, and a round
+    joins their lists, so chains of twice the length are covered each time and log2(n) rounds suffice.
+    """
+    keys = ["page_id", "processor", "kind"]
+    dims = pages.select("page_id", (F.greatest("width", "height") * F.lit(gap)).alias("_reach"))
+    usable = blocks.where(F.col("bbox").isNotNull())
+    held = usable.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("idx", "bbox"))).alias("_b")).join(dims, "page_id")
+    box = lambda i: F.get("_b", i)["bbox"]
+    at = F.sequence(F.lit(0), F.size("_b") - 1)
+    near = F.transform(at, lambda i: F.filter(at, lambda j: (i == j) | geo.adjacent(box(i), box(j), F.col("_reach"))))
+    held = held.withColumn("_near", near)
+    rounds = F.sequence(F.lit(0), F.ceil(F.log2(F.size("_b").cast("double"))).cast("int"))
+    reached = F.aggregate(
+        rounds, F.col("_near"),
+        lambda lists, _: F.transform(lists, lambda one: F.array_distinct(F.flatten(F.transform(one, lambda j: F.get(lists, j))))),
+    )
+    groups = F.zip_with("_b", reached, lambda b, one: F.struct(
+        b["idx"].alias("idx"), F.get("_b", F.array_min(one))["idx"].alias("group"), F.size(one).alias("size")))
+    return held.select(*keys, F.inline(groups))
+
+
 def ignore_blocks(blocks: DataFrame, mode: str, ignored: list[str]) -> DataFrame:
     """``exclude_matching`` drops ignored types, ``include_exclude_metrics`` flags them."""
     hit = F.col("kind").isin(ignored)
@@ -456,33 +480,23 @@ def greedy_flags(pairs: DataFrame, thresholds: list[float] = THRESHOLDS) -> Data
 
 
 def average_precision(
-    hits: DataFrame, truth: DataFrame, thresholds: list[float] = THRESHOLDS,
-    page_part: Column | None = None,
+    hits: DataFrame, truth: DataFrame, thresholds: list[float] = THRESHOLDS
 ) -> DataFrame:
     """11-point interpolated AP per (processor, class, threshold), from :func:`greedy_hits`.
 
     Predictions are walked by falling confidence, ties by page and index; the walk is the same for
-    every threshold, so one row carries all of them until the sums are done. Confidence is cut into
-    bands, then values, then page parts, so that a class whose predictions all carry the same
-    confidence still spreads out. ``page_part`` orders pages among ties before the page id does; it
-    defaults to a hash bucket, as any fixed page order serves. A class without truth or without
-    predictions scores 0.
+    every threshold, so one row carries all of them until the sums are done. The walk is cut at
+    quantiles of that order, so a class whose predictions all carry one confidence spreads out too.
+    A class without truth or without predictions scores 0.
     """
-    if page_part is None:
-        page_part = F.pmod(F.xxhash64("page_id"), F.lit(64))
     group = ["processor", "class"]
     n = len(thresholds)
     rows = hits.select(
         *group, "page_id", "idx", "confidence", F.lit(1).alias("one"),
         *[F.col("hits")[i].cast("int").alias(f"h{i}") for i in range(n)],
     )
-    levels = [
-        ("_band", -F.floor(F.col("confidence") * 100)),
-        ("_value", -F.col("confidence")),
-        ("_part", page_part),
-    ]
     sums = {"cn": "one"} | {f"c{i}": f"h{i}" for i in range(n)}
-    walked = prefix_sums(rows, group, levels, ["page_id", "idx"], sums)
+    walked = prefix_sums(rows, group, [F.desc("confidence"), "page_id", "idx"], sums)
     n_gt = truth.groupBy(F.col("kind").alias("class")).agg(F.count("*").alias("n_gt"))
     steps = F.array(*[
         F.struct(F.lit(t).alias("threshold"), F.col(f"c{i}").alias("ctp"))
@@ -567,7 +581,8 @@ def evaluate_cells(pairs: DataFrame, scorers: tuple[str, ...] = ("f1",)) -> Data
     hits = F.size(F.filter("matched", same_kind))
     kind = lambda side, i: F.element_at(F.col(f"{side}.kind"), i + 1)
     wrong = F.transform(
-        F.filter("blind", lambda m: ~same_kind(m)), lambda m: F.concat_ws("|", kind("pred", m["p"]), kind("gt", m["g"]))
+        F.filter("blind", lambda m: ~same_kind(m)), lambda m: F.concat(
+            F.coalesce(kind("pred", m["p"]), F.lit("")), F.lit("|"), F.coalesce(kind("gt", m["g"]), F.lit("")))
     )
     confusion = F.map_from_entries(F.transform(
         F.array_distinct(wrong),
@@ -576,7 +591,7 @@ def evaluate_cells(pairs: DataFrame, scorers: tuple[str, ...] = ("f1",)) -> Data
 
     def by_kind(classes: Column) -> Column:
         return F.map_from_entries(F.transform(
-            classes, lambda c: F.struct(c["class"].alias("key"), _prf(c["tp"], c["n_pred"] - c["tp"], c["n_gt"] - c["tp"]).alias("value"))
+            classes, lambda c: F.struct(F.coalesce(c["class"], F.lit("")).alias("key"), _prf(c["tp"], c["n_pred"] - c["tp"], c["n_gt"] - c["tp"]).alias("value"))
         ))
 
     plain = F.struct(

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gradeline.functions.prefix import MIDDLE, dense_numbers, join_same, rank_values
 from gradeline.functions.ratio import count_if, percent, share
 from gradeline.operators.cells import across_systems
 
@@ -203,21 +204,38 @@ def discriminative_examples(
     )
 
 
-def question_browser(bank: DataFrame, scored: DataFrame) -> DataFrame:
-    """Per question and gold key: how many systems answered and which got it right."""
-    rows = dashboard_rows(scored).select("qid", "parser", F.explode("field_matches"))
-    per_key = rows.groupBy("qid", "key").agg(
+def question_browser(bank: DataFrame, scored: DataFrame, answers: DataFrame) -> DataFrame:
+    """Per question and gold key what every shown system answered and whether it is right.
+
+    ``answers`` (qid, parser, answer) holds the answers as VARIANT. ``given`` maps a system to its
+    value and verdict; a system without the key has a NULL value, one without a shown row no entry.
+    ``place`` numbers the questions 0, 1, 2, … hardest first: by the number of systems that have
+    the whole question right, then by qid.
+    """
+    shown = dashboard_rows(scored)
+    values = F.try_variant_get("answer", "$", "map<string,variant>")
+    rows = shown.select("qid", "parser", "field_matches").join(
+        answers.select("qid", "parser", values.alias("_values")), ["qid", "parser"], "left"
+    )
+    fields = bank.select("qid", "doc", "domain", F.transform("fields", lambda f: f["key"]).alias("_keys"))
+    cell = rows.join(fields, "qid").select("qid", "parser", "field_matches", "_values", F.explode("_keys").alias("key"))
+    given = F.struct(
+        F.try_element_at("_values", F.col("key")).alias("value"),
+        F.coalesce(F.try_element_at("field_matches", F.col("key")), F.lit(False)).alias("right"),
+    )
+    per_key = cell.select("qid", "key", "parser", given.alias("given")).groupBy("qid", "key").agg(
         F.count("*").cast("bigint").alias("n_answers"),
-        count_if(F.col("value")).alias("n_key_ok"),
+        count_if(F.col("given.right")).alias("n_key_ok"),
         F.array_join(
-            F.array_sort(F.collect_list(F.when(F.col("value"), F.col("parser")))), ","
+            F.array_sort(F.collect_list(F.when(F.col("given.right"), F.col("parser")))), ","
         ).alias("right_systems"),
+        F.map_from_entries(F.collect_list(F.struct("parser", "given"))).alias("given"),
     )
     votes = question_votes(scored).select(
         "qid", F.col("n_with").alias("n_parsers"), F.col("n_right").alias("n_correct")
     )
-    info = bank.select("qid", "doc", "domain")
-    return per_key.join(votes, "qid").join(info, "qid")
+    asked = fields.select("qid", "doc", "domain").join(votes, "qid")
+    return per_key.join(dense_numbers(asked, ["n_correct", "qid"], "place"), "qid")
 
 
 def header_totals(bank: DataFrame, scored: DataFrame) -> DataFrame:
@@ -228,19 +246,14 @@ def header_totals(bank: DataFrame, scored: DataFrame) -> DataFrame:
         F.count_distinct("doc").alias("n_docs"),
         F.count_distinct("qid").alias("n_questions"),
     )
-    best = system_summary(rows).agg(
-        F.max_by("parser", F.struct(F.round("field_pct", 1), "parser")).alias("top_parser"),
+    best = system_summary(rows).agg(F.struct(
         F.sum("q_tot").cast("bigint").alias("n_cells"),
-    )
+        F.max_by("parser", F.struct(F.round("field_pct", 1), "parser")).alias("top_parser"),
+    ).alias("best"))
     domains = bank.agg(F.count_distinct(F.nullif("domain", F.lit(""))).alias("n_domains"))
-    # Three one-row results, put side by side as scalars.
-    return totals.withColumns(
-        {
-            "n_domains": domains.scalar(),
-            "n_cells": best.select("n_cells").scalar(),
-            "top_parser": best.select("top_parser").scalar(),
-        }
-    )
+    # One-row results, put side by side as scalars.
+    both = totals.withColumns({"n_domains": domains.scalar(), "_best": best.scalar()})
+    return both.select("*", "_best.*").drop("_best")
 
 
 def general_accuracy(outcomes: DataFrame) -> DataFrame:
@@ -381,11 +394,10 @@ def row_coverage(bank: DataFrame, scored: DataFrame, systems) -> DataFrame:
 def parse_run_summary(meta: DataFrame) -> DataFrame:
     """Per system: documents, fine, failed, cached, median latency of fresh rows, cost per document.
 
-    The median is exact: latencies are counted by value first, then ranked within the system, so a
-    system with most of the rows still spreads over the tasks until only distinct values remain.
+    The median is the upper middle value, found by distributed selection.
     """
     fresh = meta.where(F.col("ok") & ~F.col("cached") & F.col("latency_sec").isNotNull())
-    ranked = exact_rank_value(fresh, ["parser"], "latency_sec", lambda n: F.floor(n / 2))
+    ranked = rank_values(fresh, ["parser"], "latency_sec", {"median_latency": lambda n: F.floor(n / 2)})
     counts = meta.groupBy("parser").agg(
         F.count("*").alias("n_docs"),
         count_if(F.col("ok")).alias("n_ok"),
@@ -396,20 +408,7 @@ def parse_run_summary(meta: DataFrame) -> DataFrame:
             count_if(F.col("ok")),
         ).alias("cost_per_doc"),
     )
-    return counts.join(
-        ranked.withColumnRenamed("value", "median_latency"), "parser", "left"
-    ).withColumn("median_latency", F.coalesce("median_latency", F.lit(0.0)))
-
-
-def exact_rank_value(df: DataFrame, by: list[str], value: str, rank_of) -> DataFrame:
-    """The value at zero-based rank ``rank_of(n)`` within each group, without collecting groups."""
-    freq = df.groupBy(*by, F.col(value).alias("value")).agg(F.count("*").alias("_f"))
-    running = Window.partitionBy(*by).orderBy("value")
-    whole = Window.partitionBy(*by)
-    freq = freq.withColumns({"_cum": F.sum("_f").over(running), "_n": F.sum("_f").over(whole)})
-    target = rank_of(F.col("_n"))
-    hit = (F.col("_cum") > target) & (F.col("_cum") - F.col("_f") <= target)
-    return freq.where(hit).select(*by, "value")
+    return counts.join(ranked, "parser", "left").withColumn("median_latency", F.coalesce("median_latency", F.lit(0.0)))
 
 
 def bucket_overlap(bank: DataFrame) -> DataFrame:
@@ -429,18 +428,24 @@ def usage_summary(usage: DataFrame, value: str, by: list[str]) -> DataFrame:
         F.avg(value).alias("mean"),
         F.max(value).alias("max"),
     )
-    rows = usage.where(F.col(value).isNotNull())
-    low = exact_rank_value(rows, by, value, lambda n: F.floor((n - 1) / 2))
-    high = exact_rank_value(rows, by, value, lambda n: F.floor(n / 2))
-    p50 = low.withColumnRenamed("value", "_low").join(high, by).select(
-        *by, F.floor((F.col("_low") + F.col("value")) / 2).alias("value")
+    ranks = rank_values(
+        usage, by, value, MIDDLE | {"p95": lambda n: F.least(F.floor(n * 95 / F.lit(100)), n - 1)}
     )
-    p95 = exact_rank_value(
-        rows, by, value, lambda n: F.least(F.floor(n * 95 / F.lit(100)), n - 1)
+    p50 = F.floor((F.col("_low") + F.col("_high")) / 2)
+    return join_same(base, ranks.select(*by, p50.alias("p50"), "p95"), by)
+
+
+def usage_by_domain(usage: DataFrame, value: str, domain: str = "domain") -> DataFrame:
+    """Calls per domain with their mean, least and greatest use; an unnamed domain is ``?``."""
+    return usage.groupBy(F.coalesce(domain, F.lit("?")).alias(domain)).agg(
+        F.count("*").alias("n"), F.avg(value).alias("mean"), F.min(value).alias("min"), F.max(value).alias("max")
     )
-    return (
-        base.join(p50.withColumnRenamed("value", "p50"), by)
-        .join(p95.withColumnRenamed("value", "p95"), by)
+
+
+def stop_reasons(usage: DataFrame, by: list[str], reason: str = "stop") -> DataFrame:
+    """Calls per stop reason (none is the empty text), with how many of them were parsed."""
+    return usage.groupBy(*by, F.coalesce(reason, F.lit("")).alias(reason)).agg(
+        F.count("*").alias("n"), count_if(F.coalesce("parsed", F.lit(False))).alias("n_parsed")
     )
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +13,7 @@ from gradeline.functions.ratio import count_if, share
 from gradeline.functions.text import safe_entry_name
 from gradeline.operators import metrics, stats
 from gradeline.operators.cells import field_outcomes, section_of
+from gradeline.session import written
 
 # First public day of the data set, and the family of the answer extractor.
 CONTAMINATION_CUTOFF = "2026-05-24"
@@ -128,39 +133,53 @@ def row_metrics(
 ) -> DataFrame:
     """The wide row per system: checkbox, blank and general accuracy, coverage, intervals, verdict.
 
-    Point values come from one aggregate over the outcomes; the two intervals and the verdict add
-    their own resampling.
+    The outcomes are made once and written; one aggregate takes the point values and the checkbox
+    confusion (tt, tf, ft, ff, err) from them, one resampling both intervals, and one the verdict.
+    ``error_classes`` maps the classes of a system's cells to their counts.
     """
-    out = field_outcomes(bank, scored, systems)
     s, kind = F.col("status"), F.col("gold_kind")
-    box = metrics.has_any_tag(F.col("capabilities"), metrics.CHECKBOX_TAGS) & (kind == "bool")
-    null = kind == "null"
-    right = s == "correct"
+    tagged = metrics.has_any_tag(F.col("capabilities"), metrics.CHECKBOX_TAGS)
+    out = written(
+        field_outcomes(bank, scored, systems).select(
+            "parser", "qid", "key", "doc", "gold_kind", "gold_true", "status",
+            F.when(tagged & (kind == "bool"), "checkbox").when(kind == "null", "null").alias("flag"),
+        ),
+        "row-metrics",
+    )
+    box, null = (F.coalesce(F.col("flag") == f, F.lit(False)) for f in ("checkbox", "null"))
+    right, off = s == "correct", s == "incorrect"
     t = F.coalesce("gold_true", F.lit(False))
     wide = out.groupBy("parser").agg(
         share(count_if(box & right), count_if(box)).alias("checkbox_acc"),
         share(count_if(box & t & right), count_if(box & t)).alias("checked_acc"),
         share(count_if(box & ~t & right), count_if(box & ~t)).alias("unchecked_acc"),
+        count_if(box & t & right).alias("tt"), count_if(box & t & off).alias("tf"),
+        count_if(box & ~t & off).alias("ft"), count_if(box & ~t & right).alias("ff"),
+        count_if(box & (s == "error")).alias("err"),
         F.count_distinct(F.when(box, F.col("doc"))).alias("checkbox_docs"),
         share(count_if(null & right), count_if(null)).alias("null_acc"),
-        share(count_if(null & (s == "incorrect")), count_if(null & (s != "error")))
-        .alias("hallucination_rate"),
+        share(count_if(null & off), count_if(null & (s != "error"))).alias("hallucination_rate"),
         F.count_distinct(F.when(null, F.col("doc"))).alias("null_docs"),
         share(count_if(right), F.count("*")).alias("general_field_acc"),
     )
-    ci = lambda rows, name: stats.cluster_bootstrap_ci(
-        rows, iters=iters, seed=seed, alpha=alpha
-    ).select("parser", F.col("lo").alias(f"{name}_lo"), F.col("hi").alias(f"{name}_hi"))
-    boolean = metrics.boolean_gold(out)
+    both = stats.cluster_bootstrap_ci(
+        out.where(F.col("flag").isNotNull()), ["flag"], iters=iters, seed=seed, alpha=alpha
+    )
+    bounds = both.groupBy("parser").agg(*[
+        F.max(F.when(F.col("flag") == f, F.col(c))).alias(f"{f}_{c}") for f in ("checkbox", "null") for c in ("lo", "hi")
+    ])
     beats = stats.beats_majority(
-        boolean, metrics.majority_leg(metrics.boolean_golds(bank)), iters=iters, seed=seed,
+        out.where(box), metrics.majority_leg(metrics.boolean_golds(bank)), iters=iters, seed=seed,
         alpha=alpha,
     ).select("parser", F.col("verdict").alias("beats_majority"))
+    classes = metrics.error_class_counts(bank, scored, systems).groupBy("parser").agg(
+        F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("error_classes")
+    )
     return (
         wide.join(metrics.strict_accuracy(bank, scored, systems), "parser")
         .join(metrics.row_coverage(bank, scored, systems), "parser")
-        .join(ci(boolean, "checkbox"), "parser", "left")
-        .join(ci(metrics.null_gold(out), "null"), "parser", "left")
+        .join(classes, "parser", "left")
+        .join(bounds, "parser", "left")
         .join(beats, "parser", "left")
     )
 
@@ -182,29 +201,45 @@ def sorted_table(df: DataFrame, by: str, descending: bool = True) -> DataFrame:
     return df.orderBy(F.desc_nulls_first(by) if descending else F.asc_nulls_last(by))
 
 
-def pareto(points: DataFrame, slices: int = 256) -> DataFrame:
-    """Mark points that no other point beats: lower x or equal, higher y or equal, one strictly.
+def _skyline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct points of a partition that none of its points beats."""
+    x = y = np.zeros(0)
+    for batch in batches:
+        x, y = (np.concatenate([kept, batch.column(c).to_numpy()]) for kept, c in ((x, "x"), (y, "y")))
+        order = np.lexsort((-y, x))
+        x, y = x[order], y[order]
+        best = np.maximum.accumulate(y)
+        keep = np.ones(len(y), dtype=bool)
+        keep[1:] = y[1:] > best[:-1]
+        x, y = x[keep], y[keep]
+    if len(x):
+        yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
 
-    A point is on the frontier when its y is the best at its x and beats every y at smaller x.
-    Points are cut to the best y per x before anything is ordered, x is sliced evenly between its
-    ends, and only the slices' maxima are ordered in one place.
+
+def frontier(points: DataFrame) -> DataFrame:
+    """Distinct (x, y) that no other point beats: lower x or equal, higher y or equal, one strictly.
+
+    Each task keeps only its own frontier. What is left is dealt out by quantiles of x, cut to the
+    frontier of each range, and must rise above the best y of the ranges before. NULL and NaN are
+    never on it.
     """
-    best = points.groupBy("x").agg(F.max("y").alias("_best"))
-    ends = points.agg(F.struct(F.min("x").alias("lo"), F.max("x").alias("hi"))).scalar()
-    at = F.try_divide(F.col("x") - ends["lo"], ends["hi"] - ends["lo"])
-    ranged = best.withColumn("_s", F.floor(F.coalesce(at, F.lit(0.0)) * slices))
-    inner = Window.partitionBy("_s").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    ranged = ranged.withColumn("_in", F.max("_best").over(inner))
-    tops = ranged.groupBy("_s").agg(F.max("_best").alias("_top"), F.min("x").alias("_x"))
-    before = Window.orderBy("_x").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.withColumn("_before", F.max("_top").over(before)).select("_s", "_before")
-    lead = ranged.join(tops, "_s").select(
-        "x", "_best", F.greatest("_in", "_before").alias("_earlier")
-    )
-    on = (F.col("y") == F.col("_best")) & (
-        F.col("_earlier").isNull() | (F.col("y") > F.col("_earlier"))
-    )
-    return points.join(lead, "x").withColumn("on_frontier", on).drop("_best", "_earlier")
+    known = points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    known = known.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
+    # Written, as dealing by quantiles looks at its input twice.
+    local = written(known.mapInArrow(_skyline, "x double, y double"), "frontier-tasks")
+    ranged = local.repartitionByRange("x").mapInArrow(_skyline, "x double, y double")
+    ranged = written(ranged.withColumn("_part", F.spark_partition_id()), "frontier")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    tops = ranged.groupBy("_part").agg(F.max("y").alias("_top")).select("_part", F.max("_top").over(before).alias("_before"))
+    lead = ranged.join(tops, "_part").where(F.col("_before").isNull() | (F.col("y") > F.col("_before")))
+    return written(lead.select("x", "y"), "frontier")
+
+
+def pareto(points: DataFrame) -> DataFrame:
+    """Mark the points whose (x, y) lies on the :func:`frontier`; only that is joined to them."""
+    lead = frontier(points).select(F.col("x").alias("_x"), F.col("y").alias("_y"))
+    on = (F.col("x").cast("double") == F.col("_x")) & (F.col("y").cast("double") == F.col("_y"))
+    return points.join(lead, on, "left").withColumn("on_frontier", F.col("_x").isNotNull()).drop("_x", "_y")
 
 
 def reproduction_gate(scored: DataFrame) -> DataFrame:

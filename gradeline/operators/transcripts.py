@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gradeline.functions.prefix import join_same, medians
 from gradeline.functions.ratio import count_if, share
 from gradeline.operators.metrics import CHECKBOX_TAGS, has_any_tag
 
@@ -88,29 +91,49 @@ def glyph_retention(transcripts: DataFrame, reference: str) -> DataFrame:
     )
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once; columns that later steps refer to could be computed
+    again for every element of an array."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _runs(values: Column) -> Column:
+    """Lengths of the runs of equal neighbours, as structs of place (from 0) and n."""
+    starts = F.filter(
+        F.transform(values, lambda _, i: i), lambda i: (i == 0) | ~F.get(values, i).eqNullSafe(F.get(values, i - 1))
+    )
+    ends = F.concat(F.slice(starts, F.lit(2), F.greatest(F.size(starts) - 1, F.lit(0))), F.array(F.size(values)))
+    return F.zip_with(starts, ends, lambda a, b: F.struct(a.alias("place"), (b - a).alias("n")))
+
+
 def repeated_phrases(
     transcripts: DataFrame, *, words: int = 4, times: int = 20
 ) -> DataFrame:
     """Documents where one phrase of ``words`` words occurs at least ``times`` times.
 
-    A phrase that occurs ``times`` times repeats its first word as often, so a document with fewer
-    repeated words is settled without expansion. The rest is expanded and counted with partial
-    sums, whole texts.
+    All within the row, whole texts: the phrases' hashes are sorted and runs of ``times`` found; only
+    phrases with such a hash are compared as texts. A phrase that occurs ``times`` times repeats its
+    first word as often, so a document with fewer repeated words is settled before that.
     """
-    w = transcripts.withColumn("_w", F.filter(F.split(F.lower("text"), r"(?U)\s+"), lambda x: x != ""))
-    loose = w.where(F.size("_w") - F.size(F.array_distinct("_w")) >= times - 1).where(
-        F.size("_w") >= words
-    )
-    grams = F.transform(
-        F.sequence(F.lit(1), F.size("_w") - words + 1),
-        lambda i: F.array_join(F.slice("_w", i, words), " "),
-    )
-    counted = loose.select("parser", "doc", F.explode(grams).alias("phrase")).groupBy(
-        "parser", "doc", "phrase"
-    ).agg(F.count("*").alias("n"))
-    return counted.where(F.col("n") >= times).groupBy("parser", "doc").agg(
-        F.max("n").alias("most"), F.count("*").alias("n_phrases")
-    )
+    w = transcripts.select("parser", "doc", F.filter(F.split(F.lower("text"), r"(?U)\s+"), lambda x: x != "").alias("_w"))
+    loose = w.where(F.size("_w") - F.size(F.array_distinct("_w")) >= times - 1).where(F.size("_w") >= words)
+    places = F.sequence(F.lit(0), F.size("_w") - words)
+    hashed = F.transform(places, lambda i: F.xxhash64(*[F.get("_w", i + k) for k in range(words)]))
+
+    def often(s: Column) -> Column:
+        return F.transform(F.filter(_runs(s), lambda r: r["n"] >= times), lambda r: F.get(s, r["place"]))
+
+    def phrases(h: Column, common: Column) -> Column:
+        at = F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(common, x), i)), lambda i: i.isNotNull())
+        return F.array_sort(F.transform(at, lambda i: F.array_join(F.slice("_w", i + 1, words), " ")))
+
+    def counts(p: Column) -> Column:
+        return F.filter(F.transform(_runs(p), lambda r: r["n"]), lambda n: n >= times)
+
+    found = _let(hashed, lambda h: _let(F.array_sort(h), lambda s: _let(often(s), lambda common: _let(
+        phrases(h, common), lambda p: _let(counts(p), lambda n: F.struct(
+            F.array_max(n).cast("bigint").alias("most"), F.size(n).cast("bigint").alias("n_phrases")))))))
+    return loose.select("parser", "doc", F.inline(F.filter(F.array(found), lambda r: r["n_phrases"] > 0)))
 
 
 def labelled_glyphs(transcripts: DataFrame) -> DataFrame:
@@ -184,11 +207,10 @@ def arm_rates(scored_arms: DataFrame) -> DataFrame:
 
 
 def length_profile(transcripts: DataFrame) -> DataFrame:
-    n = F.length("text")
-    return transcripts.groupBy("parser").agg(
-        F.count("*").alias("n_docs"), F.min(n).alias("min"), F.median(n).alias("median"),
-        F.max(n).alias("max"),
-    )
+    """Documents per leg with their least, median and greatest length."""
+    sizes = transcripts.select("parser", F.length("text").alias("n"))
+    base = sizes.groupBy("parser").agg(F.count("*").alias("n_docs"), F.min("n").alias("min"), F.max("n").alias("max"))
+    return join_same(base, medians(sizes, ["parser"], "n"), ["parser"], "left")
 
 
 def assemble_pages(pages: DataFrame, separator: str | None = None) -> DataFrame:

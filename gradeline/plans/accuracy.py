@@ -484,6 +484,20 @@ def discriminative_examples(spark, sf):
     ).withColumn("rank", F.col("rank").cast("bigint"))
 
 
+# The stored answer of a field as JSON; NULL where the key or the whole object is missing.
+SQL_GIVEN = r"""SELECT *, CASE WHEN junk OR absent THEN NULL
+    WHEN CASE WHEN wrong THEN kind <> 'null' AND pk % 3 = 0 ELSE kind = 'null' END THEN 'null'
+    WHEN wrong THEN CASE ln % 4 WHEN 0 THEN CASE flag WHEN 'R' THEN 'false' ELSE 'true' END WHEN 1 THEN (qty + 1)::VARCHAR
+      WHEN 2 THEN '"crate ' || pk || ' to vendor ' || sk || ' mark unknown"' ELSE '"unreadable"' END
+    ELSE CASE ln % 4 WHEN 0 THEN CASE flag WHEN 'R' THEN 'true' ELSE 'false' END
+      WHEN 1 THEN CASE pk % 4 WHEN 0 THEN qty::VARCHAR WHEN 1 THEN '"$' || qty || '.00"' WHEN 2 THEN '"' || qty || '%"'
+        ELSE '"' || regexp_replace(qty::VARCHAR, '(\d)', '\1 ', 'g') || '"' END
+      ELSE CASE pk % 4 WHEN 0 THEN '"lot ' || pk || ' from supplier ' || sk || ' flag ' || flag || '"'
+        WHEN 1 THEN '"**lot** ' || pk || ' from<br/>supplier ' || sk || ' flag ' || flag || '"'
+        WHEN 2 THEN '"Lot ' || pk || ', from supplier ' || sk || ': Flag ' || flag || '."'
+        ELSE '"lot  ' || pk || '   from supplier ' || sk || '  flag ' || flag || '"' END END END AS given FROM fields"""
+
+
 @query(
     "A09_question_browser",
     with_relations(
@@ -491,15 +505,25 @@ def discriminative_examples(spark, sf):
         """SELECT f.qid, f.key, count(*) AS n_answers, count(*) FILTER (WHERE f.matched) AS n_key_ok,
              coalesce(string_agg(f.parser, ',' ORDER BY f.parser) FILTER (WHERE f.matched), '')
                AS right_systems,
+             string_agg(f.parser || ' ' || f.matched || ' ' || coalesce(f.given, '-'), '; ' ORDER BY f.parser) AS given,
              any_value(v.n_with) AS n_parsers, any_value(v.n_right) AS n_correct,
-             any_value(f.doc) AS doc, any_value(f.domain) AS domain
-           FROM fields f JOIN shown s ON s.q = f.q AND s.p = f.p JOIN votes v ON v.qid = f.qid
+             any_value(v.place) AS place, any_value(f.doc) AS doc, any_value(f.domain) AS domain
+           FROM given f JOIN shown s ON s.q = f.q AND s.p = f.p JOIN placed v ON v.qid = f.qid
            GROUP BY f.qid, f.key""",
-        shown=SQL_SHOWN, votes=VOTES,
+        given=SQL_GIVEN, shown=SQL_SHOWN, votes=VOTES,
+        placed="SELECT *, row_number() OVER (ORDER BY n_right, qid) - 1 AS place FROM votes",
     ),
 )
 def question_browser(spark, sf):
-    return metrics.question_browser(rel.bank(spark, sf), rel.scored(spark, sf))
+    rows = metrics.question_browser(rel.bank(spark, sf), rel.scored(spark, sf), rel.answers(spark, sf))
+    text = F.transform(
+        F.array_sort(F.map_keys("given")),
+        lambda p: F.concat_ws(
+            " ", p, F.element_at("given", p)["right"].cast("string"),
+            F.coalesce(F.to_json(F.element_at("given", p)["value"]), F.lit("-")),
+        ),
+    )
+    return rows.withColumn("given", F.array_join(text, "; "))
 
 
 @query(
@@ -693,6 +717,40 @@ def usage_summary(spark, sf):
     return metrics.usage_summary(usage, "k", ["event_type"]).withColumns(R6("mean"))
 
 
+def usage_calls(spark, sf):
+    """Model calls from the event stream: domain, tokens, stop reason, whether the answer was read."""
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    user = F.col("user_id") % 4
+    return rel.table(spark, sf, "events").select(
+        F.when(user != 3, F.col("event_type")).alias("domain"), k.alias("k"), (k % 5 != 0).alias("parsed"),
+        F.when(k % 7 == 0, "max_tokens").when(k % 11 == 0, None).otherwise("end_turn").alias("stop"),
+    )
+
+
+SQL_CALLS = """SELECT CASE WHEN user_id % 4 <> 3 THEN event_type ELSE '?' END AS domain, k, k % 5 <> 0 AS parsed,
+    CASE WHEN k % 7 = 0 THEN 'max_tokens' WHEN k % 11 = 0 THEN '' ELSE 'end_turn' END AS stop
+  FROM (SELECT *, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events)"""
+
+
+@query(
+    "A21_usage_by_domain",
+    f"""SELECT domain, count(*) AS n, round(avg(k), 6) AS mean, min(k) AS min, max(k) AS max
+        FROM ({SQL_CALLS}) GROUP BY domain""",
+)
+def usage_by_domain(spark, sf):
+    return metrics.usage_by_domain(usage_calls(spark, sf), "k").withColumns(R6("mean"))
+
+
+@query(
+    "A21_stop_reasons",
+    f"""SELECT domain, stop, count(*) AS n, count(*) FILTER (WHERE parsed) AS n_parsed
+        FROM ({SQL_CALLS}) GROUP BY domain, stop""",
+)
+def stop_reasons(spark, sf):
+    calls = usage_calls(spark, sf).withColumn("domain", F.coalesce("domain", F.lit("?")))
+    return metrics.stop_reasons(calls, ["domain"])
+
+
 @query(
     "A22_tag_prevalence",
     with_relations(

@@ -427,19 +427,26 @@ def chunks(arr):
         "facts",
         f"""SELECT q AS page_id, row_number() OVER (PARTITION BY q ORDER BY ln) - 1 AS idx,
              CASE WHEN sk % 9 = 8 THEN 'table' ELSE {NAMES}[sk % 9 + 1] END AS kind,
-             round(CASE ln % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 ELSE 1.0 END, 6) AS confidence
+             round(CASE ln % 3 WHEN 0 THEN 0.5 WHEN 1 THEN 0.25 ELSE 1.0 END, 6) AS confidence,
+             1 + (ln > 3)::INT AS page_number, CASE WHEN ln > 3 THEN 0 ELSE 1400 END AS page_width,
+             CASE WHEN ln > 3 THEN 0 ELSE 600 END AS page_height,
+             CASE WHEN ln > 3 THEN 100 + ln ELSE row_number() OVER (PARTITION BY q, ln > 3 ORDER BY ln) - 1 END AS reading_order
            FROM facts WHERE sk % 9 < 8 OR ln % 2 = 1""",
     ),
 )
 def run_payload(spark, sf):
+    """Payloads of two pages: the first states its size and no order, the second an order and no size."""
     names = ["text", "heading", "section_heading", "header", "footer", "page_number", "barcode",
              "table_head", "table_cell"]
 
     def make(x):
         details = F.when((x["c"] == 8) & (x["ln"] % 2 == 1),
                          F.struct(F.lit("table_details").alias("type")))
+        second = x["ln"] > 3
+        page = F.struct(F.lit(1).alias("number"), F.lit(1399.7).alias("width"), F.lit(600.2).alias("height"))
         meta = F.struct(F.when(x["ln"] % 3 == 1, F.lit(0.25)).alias("score"),
-                        F.lit(1).alias("page_number"))
+                        F.when(second, F.lit(2)).alias("page_number"), F.when(~second, page).alias("page"),
+                        F.when(second, 100 + x["ln"]).alias("reading_order"))
         return F.struct(
             x["ln"].cast("string").alias("id"), named(x["c"], names).alias("type"),
             F.when(x["ln"] % 3 == 0, F.lit(0.5)).alias("confidence"), details.alias("details"),
@@ -447,8 +454,10 @@ def run_payload(spark, sf):
         )
 
     df = payload_of(page_lines(spark, sf), make, chunks)
+    more = ["page_number", "page_width", "page_height", "reading_order"]
     return pay.run_blocks(df, "payload", ["page_id"]).select(
-        "page_id", F.col("idx").cast("bigint").alias("idx"), "kind", "confidence"
+        "page_id", F.col("idx").cast("bigint").alias("idx"), "kind", "confidence",
+        *[F.col(c).cast("bigint").alias(c) for c in more],
     )
 
 

@@ -6,15 +6,18 @@ from pyspark.sql import functions as F
 
 from gradeline.operators import layout as lay
 from gradeline.operators import metrics, reports
+from gradeline.operators import payloads as pay
 from gradeline.plans import relations as rel
-from gradeline.plans.accuracy import R6, SQL_BUCKET_MAP, SQL_BUCKETS, buckets
-from gradeline.plans.catalog import query
+from gradeline.plans.accuracy import R6, SQL_BUCKET_MAP, SQL_BUCKETS, SQL_ERROR_CLASS, buckets
+from gradeline.plans.catalog import ORACLES, query
 from gradeline.plans.page_layout import (
-    SIDES, pairs, predictions, prf_sql, truth, with_lines,
+    CELL_SQL, CLASS_TEXT, SIDES, pairs, predictions, prf_sql, shown_classes, truth, with_lines,
 )
 from gradeline.plans.relations import SYSTEMS, with_relations
+from gradeline.plans.statistics import sql_resample
 from gradeline.session import work_folder
 from gradeline.sources import files as src
+from gradeline.sources import rewrite
 from gradeline.streaming import live
 
 # -- sources -----------------------------------------------------------------------------------
@@ -108,7 +111,7 @@ def load_answers(spark, sf):
     with_relations(
         "rows",
         """SELECT parser, count(*) AS n FROM readable WHERE has_answer AND error IS NULL
-           GROUP BY parser""",
+             AND q % 37 <> 5 GROUP BY parser""",
         readable=SQL_READABLE,
     ),
 )
@@ -180,11 +183,105 @@ def layout_samples(spark, sf):
     notes = rel.table(spark, sf, "documents").where("lang = 'en'").select(
         F.col("doc_id").alias("page_id"), F.col("text").alias("annotation")
     )
-    return src.layout_samples(manifest, notes, domains=["en", "fr"]).select(
+    return src.layout_samples(manifest, notes, domains=["en", "fr"], absent="keep").select(
         "page_id", "domain", F.col("annotation").isNotNull().alias("loaded")
     )
 
 
+SQL_MANIFEST = """SELECT page_id, split_part(url, '/', 4) AS domain,
+    row_number() OVER (ORDER BY page_id * 7919 % 10007, page_id) - 1 AS ord FROM pages"""
+
+
+def written_manifest(spark, sf):
+    """The pages as a CSV manifest of several files, in an order of its own, read back."""
+    folder = work_folder(spark, "manifest")
+    pages = rel.table(spark, sf, "pages").orderBy(F.col("page_id") * 7919 % 10007, "page_id")
+    pages.select(
+        F.col("page_id").alias("pageId"), F.split_part("url", F.lit("/"), F.lit(4)).alias("domain"),
+        F.col("url").alias("sourceUrl"), F.lit(None).cast("string").alias("originalImageUrl"),
+    ).write.csv(folder, header=True)
+    return src.read_manifest(spark, folder).withColumn("page_id", F.col("page_id").cast("bigint"))
+
+
+def english_notes(spark, sf):
+    return rel.table(spark, sf, "documents").where("lang = 'en'").select(
+        F.col("doc_id").alias("page_id"), F.col("text").alias("annotation")
+    )
+
+
+@query(
+    "S07_limit_before_load",
+    f"""SELECT m.ord, m.page_id, m.domain, d.doc_id IS NOT NULL AS loaded
+        FROM (SELECT * FROM ({SQL_MANIFEST}) WHERE domain IN ('en', 'fr') ORDER BY ord LIMIT 50) m
+        LEFT JOIN documents d ON d.doc_id = m.page_id AND d.lang = 'en'""",
+)
+def limit_before_load(spark, sf):
+    rows = src.layout_samples(
+        written_manifest(spark, sf), english_notes(spark, sf), domains=["en", "fr"], limit=50, absent="keep"
+    )
+    return rows.select("ord", "page_id", "domain", F.col("annotation").isNotNull().alias("loaded"))
+
+
+@query(
+    "S07_limit_after_load",
+    f"""SELECT m.ord, m.page_id, m.domain FROM ({SQL_MANIFEST}) m JOIN documents d ON d.doc_id = m.page_id AND d.lang = 'en'
+        WHERE domain IN ('en', 'fr') ORDER BY ord LIMIT 50""",
+)
+def limit_after_load(spark, sf):
+    rows = src.layout_samples(
+        written_manifest(spark, sf), english_notes(spark, sf), domains=["en", "fr"], limit=50, absent="skip"
+    )
+    return rows.select("ord", "page_id", "domain")
+
+
+def write_named(df, path="path", value="value"):
+    """One file per row, at the row's path."""
+    def write(batches):
+        import pyarrow as pa
+        from pyarrow import fs
+
+        n = 0
+        for batch in batches:
+            for at, text in zip(batch.column(path).to_pylist(), batch.column(value).to_pylist()):
+                store, inner = fs.FileSystem.from_uri(at) if "://" in at or at.startswith("file:") else (fs.LocalFileSystem(), at)
+                store.create_dir(inner.rpartition("/")[0], recursive=True)
+                with store.open_output_stream(inner) as f:
+                    f.write(text.encode())
+                n += 1
+        yield pa.RecordBatch.from_pydict({"n": [n]})
+
+    return df.select(path, value).mapInArrow(write, "n bigint").agg(F.sum("n")).first()[0]
+
+
+@query(
+    "S08_coco_annotations",
+    """SELECT 'p' || doc_id // 20 AS page_id, row_number() OVER (PARTITION BY doc_id // 20 ORDER BY doc_id) - 1 AS idx,
+         CASE doc_id % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'table' ELSE 'figure' END AS kind,
+         n_chars % 700 AS x, doc_id % 20 * 60 AS y, 100 + n_chars % 50 AS w, 50::BIGINT AS h
+       FROM documents WHERE doc_id // 20 % 3 <> 1""",
+)
+def coco_annotations(spark, sf):
+    """Annotation files of the documents, twenty to a page, in both spellings of the envelope. A third
+    of the pages have a file that the manifest does not name and that no reader could parse."""
+    folder = work_folder(spark, "snapshot")
+    d, page = rel.table(spark, sf, "documents"), F.floor(F.col("doc_id") / 20)
+    box = F.array(*[c.cast("double") for c in (
+        F.col("n_chars") % 700, F.col("doc_id") % 20 * 60, 100 + F.col("n_chars") % 50, F.lit(50))])
+    mark = F.struct(F.col("doc_id").alias("id"), (F.col("doc_id") % 3).alias("category_id"), box.alias("bbox"))
+    pages = d.groupBy(page.alias("page")).agg(F.array_sort(F.collect_list(mark)).alias("marks"))
+    names = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(n).alias("name")) for i, n in enumerate(("Text", "Table", "figure"))])
+    key = lambda name: F.to_json(F.struct(F.col("marks").alias(name), names.alias("categories")))
+    body = F.when(F.col("page") % 3 == 1, "{torn").when(F.col("page") % 2 == 0, key("annotations")).otherwise(key("layout_dets"))
+    named = pages.select(F.concat(F.lit("p"), F.col("page").cast("string")).alias("page_id"), "page", body.alias("value"))
+    write_named(named.withColumn("path", src.annotation_path(folder, F.col("page_id"))))
+    listed = named.where(F.col("page") % 3 != 1).select(F.col("page").alias("ord"), "page_id", F.lit("docs").alias("domain"))
+    samples = src.load_layout(spark, folder, listed)
+    return pay.coco_blocks(samples, "annotation", ["page_id"]).select(
+        "page_id", F.col("idx").cast("bigint").alias("idx"), "kind",
+        *[F.col(f"bbox.{c}").cast("bigint").alias(c) for c in ("x", "y", "w", "h")],
+    )
+
+
 @query(
     "S09_bucket_sizes",
     with_relations(
@@ -231,6 +328,29 @@ def cell_round_trip(spark, sf):
     return src.confusion_long(back)
 
 
+@query(
+    "S12_cell_scores",
+    with_lines(
+        f"""SELECT page_id::VARCHAR AS page_id, processor, tp::BIGINT AS tp, fp::BIGINT AS fp, fn::BIGINT AS fn,
+             round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, misses::BIGINT AS misses,
+             hallucinations::BIGINT AS hallucinations, coalesce(per_class, '') AS per_class
+           FROM cells_l LEFT JOIN (SELECT page_id, processor, {CLASS_TEXT} AS per_class FROM class_l
+             GROUP BY page_id, processor) USING (page_id, processor)""",
+        **{k: CELL_SQL[k] for k in ("cells_l", "class_l")},
+    ),
+)
+def cell_scores(spark, sf):
+    cells = lay.evaluate_cells(pairs(spark, sf)).select(
+        F.col("page_id").cast("string").alias("page_id"), "processor", "strict", "per_class",
+        F.struct("misses", "hallucinations", "misclassifications", "confusion").alias("structural"),
+    )
+    back = src.parse_cells(src.cell_json(cells))
+    return back.select(
+        "page_id", "processor", "strict.tp", "strict.fp", "strict.fn", F.round("strict.f1", 6).alias("f1"),
+        "structural.misses", "structural.hallucinations", shown_classes(F.col("per_class")).alias("per_class"),
+    )
+
+
 @query(
     "S13_processors_present",
     with_lines("SELECT DISTINCT processor FROM lines WHERE n_pred > 0"),
@@ -289,12 +409,99 @@ def two_strict_counts(spark, sf):
     )
 
 
+RATE = "coalesce(count(*) FILTER (WHERE {0}) / nullif(count(*) FILTER (WHERE {1}), 0), 0)"
+ROW_RATES = {
+    "checkbox_acc": ("box AND ok", "box"), "checked_acc": ("box AND gold_true AND ok", "box AND gold_true"),
+    "unchecked_acc": ("box AND NOT gold_true AND ok", "box AND NOT gold_true"), "null_acc": ("nul AND ok", "nul"),
+    "hallucination_rate": ("nul AND off", "nul AND status <> 'error'"), "general_field_acc": ("ok", "true"),
+}
+ROW_COUNTS = {
+    "tt": "box AND gold_true AND ok", "tf": "box AND gold_true AND off", "ft": "box AND NOT gold_true AND off",
+    "ff": "box AND NOT gold_true AND ok", "err": "box AND status = 'error'",
+}
+ROW_BOUNDS = [f"{f}_{b}" for f in ("checkbox", "null") for b in ("lo", "hi")]
+
+
 @query(
     "R01_row_metrics",
-    None,
+    with_relations(
+        "fields cells rows",
+        "SELECT w.*, s.strict_question_acc, s.n_seen, s.n_expected, s.n_seen < s.n_expected AS incomplete, error_classes, "
+        + ", ".join(ROW_BOUNDS)
+        + """, m.verdict AS beats_majority FROM (SELECT parser, """
+        + ", ".join(f"round({RATE.format(*c)}, 6) AS {n}" for n, c in ROW_RATES.items())
+        + ", " + ", ".join(f"count(*) FILTER (WHERE {c}) AS {n}" for n, c in ROW_COUNTS.items())
+        + f""", count(DISTINCT doc) FILTER (WHERE box) AS checkbox_docs, count(DISTINCT doc) FILTER (WHERE nul) AS null_docs
+             FROM flagged GROUP BY parser) w
+           JOIN (SELECT parser, count(*) FILTER (WHERE NOT missing) AS n_seen, count(*) AS n_expected,
+               round(count(*) FILTER (WHERE NOT missing AND has_answer AND match) / count(*), 6) AS strict_question_acc
+             FROM cells LEFT JOIN (SELECT q, p, match FROM rows) USING (q, p) GROUP BY parser) s USING (parser)
+           JOIN (SELECT parser, string_agg(class || ' ' || n, ', ' ORDER BY class) AS error_classes FROM (
+               SELECT parser, {SQL_ERROR_CLASS} AS class, count(*) AS n FROM cells GROUP BY 1, 2) GROUP BY parser) e USING (parser)
+           JOIN (SELECT parser, """
+        + ", ".join(
+            f"round(quantile_cont(c / n, {q}) FILTER (WHERE flag = '{f}'), 6) AS {f}_{b}"
+            for f in ("checkbox", "null") for b, q in (("lo", 0.025), ("hi", 0.975))
+        )
+        + f""" FROM stats GROUP BY parser) b USING (parser)
+           JOIN (SELECT parser, verdict FROM ({ORACLES['B05_beats_majority']})) m USING (parser)""",
+        flagged="""SELECT *, checkbox AND kind = 'bool' AS box, kind = 'null' AS nul, status = 'correct' AS ok,
+            status = 'incorrect' AS off FROM fields""",
+        docs="""SELECT parser, CASE WHEN box THEN 'checkbox' ELSE 'null' END AS flag, doc, count(*) AS n,
+            count(*) FILTER (WHERE ok) AS c FROM flagged WHERE box OR nul GROUP BY 1, 2, 3""",
+        **sql_resample("docs", "parser, flag", ["n", "c"]),
+    ),
 )
 def row_metrics(spark, sf):
-    return reports.row_metrics(rel.bank(spark, sf), rel.scored(spark, sf), SYSTEMS)
+    wide = reports.row_metrics(rel.bank(spark, sf), rel.scored(spark, sf), SYSTEMS)
+    classes = F.transform(
+        F.array_sort(F.map_entries("error_classes")), lambda e: F.concat_ws(" ", e["key"], e["value"].cast("string"))
+    )
+    return wide.withColumns(
+        R6(*ROW_RATES, *ROW_BOUNDS, "strict_question_acc") | {"error_classes": F.array_join(classes, ", ")}
+    )
+
+
+# -- rewriting stored tables -------------------------------------------------------------------
+
+
+@query(
+    "C05_rescored_table",
+    with_relations(
+        "rows",
+        """SELECT parser, count(*) AS examined, count(*) FILTER (WHERE has_answer AND q % 13 = 0 AND match) AS changed,
+             count(*) FILTER (WHERE has_answer AND match) AS n_match FROM rows GROUP BY parser""",
+    ),
+)
+def rescored_table(spark, sf):
+    """Stored verdicts of an older rule, rewritten by the current one and read back."""
+    table = work_folder(spark, "stored")
+    old = rel.scored(spark, sf).withColumn("match", F.col("match") & ~(F.col("q") % 13 == 0))
+    stored = old.select("qid", "parser", "field_matches", "match").join(rel.answers(spark, sf), ["qid", "parser"])
+    src.write_snapshot(stored, table)
+    counts = rewrite.rescore_table(spark, rel.bank(spark, sf, with_gold=True), table)
+    now = spark.read.parquet(table).groupBy("parser").agg(F.count_if("match").alias("n_match"))
+    return counts.drop("skipped").join(now, "parser")
+
+
+@query(
+    "J10_archived_generation",
+    with_relations(
+        "rows",
+        """SELECT CASE WHEN p < 3 THEN 'live' WHEN q % 4 = 0 THEN 'unstamped' ELSE 'gen-1' END AS place, parser,
+             count(*) AS n FROM rows GROUP BY 1, 2
+           UNION ALL SELECT 'gen-0', parser, count(*) FROM rows WHERE p >= 4 AND q % 9 = 0 GROUP BY parser""",
+    ),
+)
+def archived_generation(spark, sf):
+    """Rows of an older extractor moved to an archive that holds an earlier generation."""
+    table, archive = work_folder(spark, "live"), work_folder(spark, "archive")
+    stored = rel.scored(spark, sf).withColumn("extractor", F.when(F.col("q") % 4 != 0, F.lit("gen-1")))
+    src.write_snapshot(stored, table)
+    stored.where("p >= 4 AND q % 9 = 0").withColumn("generation", F.lit("gen-0")).write.partitionBy(*rewrite.PLACE).parquet(archive)
+    rewrite.archive_generation(spark, table, archive, "gen-2")
+    count = lambda rows, place: rows.groupBy(place.alias("place"), "parser").agg(F.count("*").alias("n"))
+    return count(spark.read.parquet(table), F.lit("live")).unionByName(count(spark.read.parquet(archive), F.col("generation")))
 
 
 # -- streaming ---------------------------------------------------------------------------------
@@ -303,10 +510,13 @@ EVENTS = "event_id bigint, ts timestamp, user_id bigint, event_type string, valu
 
 
 def event_stream(spark, sf):
-    raw = spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return as_answers(spark.readStream.schema(EVENTS).option("pathGlobFilter", "events.parquet").parquet(sf))
+
+
+def as_answers(events):
     p = (F.col("user_id") % 6).cast("int")
-    return raw.select(
-        F.col("ts").alias("retrieved_at"),
+    return events.select(
+        "event_id", F.col("ts").alias("retrieved_at"),
         F.element_at(F.array(*[F.lit(s) for s in SYSTEMS]), p + 1).alias("parser"),
         F.concat(F.lit("q"), F.col("user_id").cast("string"), F.col("event_type")).alias("qid"),
         (F.col("event_type") != "error").alias("ok"), F.col("value").alias("latency_sec"),
@@ -346,16 +556,42 @@ def stream_scoring(spark, sf):
     )
 
 
+def arrivals(spark, sf, deliver):
+    """Runs ``deliver(stream, run)`` three times, as a third of the event days arrives each time. One
+    event in ten is delivered a third late."""
+    folder = work_folder(spark, "arrivals")
+    events = rel.table(spark, sf, "events")
+    day = F.unix_date(F.to_date("ts"))
+    first = events.agg(F.min(day)).scalar()
+    third = F.least(F.floor((day - first) / 10), F.lit(2)) + (F.col("event_id") % 10 == 1).cast("int")
+    rows = events.withColumns({"third": third, "ts": F.col("ts").cast("timestamp")})
+    for run in range(3):
+        rows.where(F.col("third") == run).drop("third").write.mode("append").parquet(folder)
+        deliver(as_answers(spark.readStream.schema(EVENTS).parquet(folder)), run)
+
+
+# The third of an event and the watermark that it meets: three days before the latest one delivered.
+SQL_THIRDS = f"""SELECT *, least(2, (ts::DATE - (SELECT min(ts)::DATE FROM events)) // 10) + (event_id % 10 = 1)::INT AS third
+  FROM ({SQL_EVENTS})"""
+SQL_MARKS = "SELECT third + 1 AS third, max(max(ts)) OVER (ORDER BY third) - INTERVAL 3 DAY AS mark FROM thirds GROUP BY third"
+
+
 @query(
     "ST2_first_per_cell",
-    f"""SELECT parser, count(DISTINCT 'q' || user_id || event_type) AS n_cells
-        FROM ({SQL_EVENTS}) GROUP BY parser""",
+    f"""WITH thirds AS ({SQL_THIRDS}), marks AS ({SQL_MARKS})
+        SELECT parser, count(*) AS n_cells FROM thirds LEFT JOIN marks USING (third)
+        WHERE third < 3 AND (mark IS NULL OR ts >= mark) GROUP BY parser""",
 )
 def first_per_cell(spark, sf):
+    """Events as cells, each sent twice; late ones count while the watermark has not passed them."""
     out = work_folder(spark, "cells")
-    live.write_batches(
-        live.first_per_cell(event_stream(spark, sf), delay="60 days"), out, "append"
-    )
+
+    def deliver(stream, run):
+        twice = stream.withColumn("_copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("_copy")
+        once = live.first_per_cell(twice.withColumn("qid", F.concat("qid", F.col("event_id").cast("string"))), delay="3 days")
+        live.write_batches(once, out, "append")
+
+    arrivals(spark, sf, deliver)
     return live.read_batches(spark, out).groupBy("parser").agg(F.count("*").alias("n_cells"))
 
 
@@ -397,10 +633,12 @@ def spend_watch(spark, sf):
     f"""SELECT min(ts) AS start, parser, count(*) AS n, max(ts) AS last FROM (
           SELECT *, sum(fresh) OVER (PARTITION BY parser ORDER BY ts ROWS UNBOUNDED PRECEDING) AS s
           FROM (SELECT *, coalesce((ts - lag(ts) OVER (PARTITION BY parser ORDER BY ts)
-            >= INTERVAL 30 MINUTE)::INT, 0) AS fresh FROM ({SQL_EVENTS}))) GROUP BY parser, s""",
+            >= INTERVAL 30 MINUTE)::INT, 0) AS fresh FROM ({SQL_EVENTS}))) GROUP BY parser, s
+        HAVING max(ts) + INTERVAL 30 MINUTE <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""",
 )
 def collection_sessions(spark, sf):
+    """Sessions that the watermark has closed; the rest is still open."""
     out = work_folder(spark, "sessions")
     s = live.collection_sessions(event_stream(spark, sf), gap="30 minutes", delay="1 day")
-    live.write_batches(s, out, "complete")
-    return live.last_batch(spark, out)
+    live.write_batches(s, out, "append")
+    return live.read_batches(spark, out).drop("batch")

@@ -224,6 +224,29 @@ def adjacent_pairs(spark, sf):
     return lay.adjacent_pairs(blocks, dims).select("page_id", "a_idx", "b_idx")
 
 
+@query(
+    "L09_adjacent_groups",
+    with_relations(
+        "facts",
+        """SELECT page_id, kind, idx, min(root) AS "group", count(*) OVER (PARTITION BY page_id, min(root)) AS size
+           FROM walk JOIN (SELECT q AS page_id, ln AS idx, """ + NAMES + """[sk % 9 + 1] AS kind FROM facts) USING (page_id, idx)
+           GROUP BY page_id, kind, idx""",
+        touching="""SELECT a.q AS page_id, a.ln AS a_idx, b.ln AS b_idx FROM facts a JOIN facts b
+             ON a.q = b.q AND b.ln = a.ln + 1 AND a.sk % 9 = b.sk % 9
+           WHERE (a.pk % 40) * 20 + 100 + 3 * a.qty >= (b.pk % 40) * 20
+             AND (b.pk % 40) * 20 + 100 + 3 * b.qty >= (a.pk % 40) * 20""",
+        walk="""SELECT q AS page_id, ln AS idx, ln AS root FROM facts
+           UNION SELECT w.page_id, t.b_idx, w.root FROM walk w JOIN touching t ON t.page_id = w.page_id AND t.a_idx = w.idx""",
+    ).replace("WITH ", "WITH RECURSIVE ", 1),
+)
+def adjacent_groups(spark, sf):
+    blocks = truth(spark, sf).withColumn("processor", F.lit("gt"))
+    dims = blocks.select("page_id").distinct().withColumns({"width": F.lit(WIDTH), "height": F.lit(HEIGHT)})
+    return lay.adjacent_groups(blocks, dims).select(
+        "page_id", "kind", "idx", "group", F.col("size").cast("bigint").alias("size")
+    )
+
+
 @query(
     "L10_recovery",
     with_lines(
@@ -457,9 +480,7 @@ def greedy_flags(spark, sf):
 )
 def mean_ap(spark, sf):
     rows = pairs(spark, sf)
-    ap = lay.average_precision(
-        lay.greedy_hits(rows), truth(spark, sf), page_part=F.floor(F.col("page_id") / 1000)
-    )
+    ap = lay.average_precision(lay.greedy_hits(rows), truth(spark, sf))
     return lay.mean_ap(ap)[1].withColumns(R6("map", "map50", "map75"))
 
 

@@ -674,7 +674,7 @@ def pareto(spark, sf):
         "l_orderkey", "l_linenumber", F.col("l_extendedprice").alias("x"),
         F.col("l_quantity").alias("y"),
     )
-    return reports.pareto(points, 16).where("on_frontier").drop("on_frontier")
+    return reports.pareto(points).where("on_frontier").drop("on_frontier")
 
 
 @query(
@@ -717,7 +717,15 @@ def against_targets(spark, sf):
 
 @query(
     "S10_catalog_stamp",
-    None,
+    f"""WITH d AS (SELECT source AS provider, n_chars // 1000 + 1 AS pages FROM documents),
+         rates AS (SELECT * FROM (VALUES ('src0', 'page', 'usd', '0.01', NULL, NULL), ('src1', 'page', 'usd', '0.004', NULL, NULL),
+           ('src2', 'tokens', 'input_usd_per_1k', '0.25', 'output_usd_per_1k', '1.5'),
+           ('src3', 'tokens', 'input_usd_per_1k', '0.1', 'output_usd_per_1k', '0.4')) v(provider, unit, k1, v1, k2, v2)),
+         texts AS (SELECT '{{"provider":"' || provider || '","unit":"' || unit || '","' || k1 || '":' || v1
+           || coalesce(',"' || k2 || '":' || v2, '') || '}}' AS t FROM rates)
+       SELECT provider, round(sum(CASE provider WHEN 'src0' THEN 0.01 * pages WHEN 'src1' THEN 0.004 * pages END), 4) AS cost,
+         (SELECT left(sha256(string_agg(t, chr(10) ORDER BY t)), 12) FROM texts) AS catalog_sha
+       FROM d GROUP BY provider""",
 )
 def catalog_costs(spark, sf):
     from gradeline.sources.dimensions import catalog_stamp

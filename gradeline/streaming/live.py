@@ -45,7 +45,11 @@ def live_accuracy(
 
 
 def collection_sessions(rows: DataFrame, *, gap: str = "7 days", delay: str = "1 day") -> DataFrame:
-    """Bursts of collection per system, parted by a silence of ``gap``."""
+    """Bursts of collection per system, parted by a silence of ``gap``.
+
+    Meant for append mode: a session is written once the watermark has passed its end, and its state
+    is dropped; rows that arrive later than ``delay`` are left out.
+    """
     return (
         rows.withWatermark("retrieved_at", delay)
         .groupBy(F.session_window("retrieved_at", gap).alias("span"), "parser")
