@@ -40,6 +40,25 @@ def held_out(ident: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(ident).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
 
+def apart(rows: DataFrame, ident: str, digest: Column, name: str) -> tuple[DataFrame, DataFrame | None]:
+    """``rows`` in which no id stands for two contents, and what the new ids stand for.
+
+    Of rows that share an id but not the ``digest``, those of the smallest digest keep it and each
+    other digest gets a number above all ids. The second table (key, real) is None where no id is
+    shared so, and then ``rows`` come back as they are. Null ids stay null.
+    """
+    told = rows.withColumn("_d", digest)
+    ends = told.where(F.col(ident).isNotNull()).groupBy(ident).agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi"))
+    shared = written(ends.where("_lo <> _hi").select(ident, "_lo"), f"{name}-shared")
+    if shared.isEmpty():
+        return rows, None
+    top = rows.agg(F.max(ident)).first()[0]
+    others = told.join(shared, ident).where("_d <> _lo").select(ident, "_d").distinct()
+    others = written(others.withColumn("_key", F.lit(top + 1) + F.monotonically_increasing_id()), f"{name}-keys")
+    out = told.join(others, [ident, "_d"], "left").withColumn(ident, F.coalesce("_key", ident))
+    return out.select(*rows.columns), others.select(F.col("_key").alias("key"), F.col(ident).alias("real"))
+
+
 def pieces(batches: Iterator[pa.RecordBatch], keys: list[str], rows: int) -> Iterator[pa.Table]:
     """Whole groups of a partition sorted by ``keys``, gathered to about ``rows`` rows a time."""
     kept: list[pa.RecordBatch] = []

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gradeline.llm.common import (
-    arrow_bounds, block_jobs, components, group_starts, mix64, pieces, uint64, written,
+    apart, arrow_bounds, block_jobs, components, group_starts, mix64, pieces, uint64, written,
 )
 
 #: MinHash values are cut into bands: two sets of similarity 0.8 miss all of them 3 times in a million.
@@ -235,10 +235,11 @@ def duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, rounds
     that would join two components, and no group is sent as pairs.
 
     Null and blank texts have no shingles and link with nothing. Rows with a null id take no part:
-    their component is null and they are kept. Rows that repeat an id and text share a component.
+    their component is null and they are kept. Rows that repeat an id and text share a component;
+    rows that repeat an id with another text are documents of their own.
     """
     flips = most_flips(percent)
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
+    docs, names = apart(docs.select(F.col("doc_id").cast("long"), "text"), "doc_id", F.xxhash64("text"), "classes")
     sig = written(signatures(docs, width), "signatures")
     some = sig.where("n_shingles > 0 AND doc_id IS NOT NULL")
     reps = written(some.groupBy("d1", "d2").agg(F.min("doc_id").alias("id")), "classes")
@@ -279,6 +280,10 @@ def duplicate_classes(docs: DataFrame, width: int = 5, percent: int = 80, rounds
     out = out.join(roots, "id", "left")
     whole = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
     out = out.withColumn("component_id", F.when(whole, F.coalesce("root", "id")).otherwise(F.col("doc_id")))
+    if names is not None:
+        out = out.join(names, out["doc_id"] == names["key"], "left").withColumn("doc_id", F.coalesce("real", "doc_id"))
+        least = out.groupBy(F.col("component_id").alias("_c")).agg(F.min("doc_id").alias("_least"))
+        out = out.join(least, out["component_id"] == least["_c"], "left").withColumn("component_id", F.col("_least"))
     kept = F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))
     return out.select("doc_id", "n_shingles", "component_id", kept.alias("kept"))
 

@@ -15,9 +15,9 @@ def word_count(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def id_hash(ident: str = "doc_id") -> Column:
-    """48 bits of the MD5 of the id as text; a null id hashes as the empty text."""
-    digest = F.md5(F.coalesce(F.col(ident).cast("string"), F.lit("")).cast("binary"))
+def id_hash(ident: str = "doc_id", text: str = "text") -> Column:
+    """48 bits of the MD5 of the id as text; of the text itself (null: empty) where the id is null."""
+    digest = F.md5(F.coalesce(F.col(ident).cast("string"), F.col(text), F.lit("")).cast("binary"))
     return F.conv(F.substring(digest, 1, BITS // 4), 16, 10).cast("long")
 
 
@@ -104,7 +104,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.
     Every document is taken as often as its source's target covers the whole source, and once more
     when its hash lies below the source's threshold, never more than ``most`` times. Null texts
     have size 0; documents of size 0 are taken once and count nothing. Rows that repeat a doc_id
-    share its hash and are taken together. Sizes are counted once and written, so the levels read
+    share its hash and are taken together, and so do rows without one that repeat a text. Sizes are counted once and written, so the levels read
     a narrow table; a hot source only ever meets sums.
     """
     sizes = written(docs.select("doc_id", *sized(docs)), "sizes")
@@ -127,7 +127,7 @@ def resample(docs: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12) AS BIGINT) AS h
+         CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), text, '')), 1, 12) AS BIGINT) AS h
   FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size,
              row_number() OVER (ORDER BY source NULLS LAST) AS r FROM d GROUP BY source),

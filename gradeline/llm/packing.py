@@ -139,6 +139,9 @@ def pack(pieces: DataFrame, capacity: int = 2048, open_bins: int = 8192, share:
     columns = pieces.columns
     tasks = max(1, math.ceil(pieces.count() / share))
     key = F.xxhash64("doc_id", "piece")
+    if "ids_crc32" in columns:
+        # Rows without an id would all meet in one task.
+        key = F.when(F.col("doc_id").isNull(), F.xxhash64("ids_crc32", "length", "piece")).otherwise(key)
     dealt = pieces.withColumn("_h", key).repartition(tasks, "_h").sortWithinPartitions(
         F.desc("length"), "_h", "doc_id", "piece", "start"
     )

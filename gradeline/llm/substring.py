@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gradeline.llm.common import arrow_bounds, mix64, pieces, uint64, written
+from gradeline.llm.common import apart, arrow_bounds, mix64, pieces, uint64, written
 
 #: Words of an anchor. A window is sent where its smallest-hashed run of so many words is sent, so
 #: equal windows always meet in one shard.
@@ -258,12 +258,14 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
     Equal texts are settled by their digest. Otherwise only windows whose anchor occurs elsewhere
     can repeat; they travel, by anchor, to shards, each of which indexes its segments and streams
     them through the index. A null text has no words. Rows with a null id neither lose words nor
-    make others lose them. Rows that repeat an id count as one document with one text.
+    make others lose them. Rows that repeat an id and text count as one document; of those with
+    another text each counts as a document after all others.
     """
     if not ANCHOR < window <= ANCHOR + 62:
         raise ValueError(f"window must be {ANCHOR + 1} to {ANCHOR + 62} words")
     arrow_bounds(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).cast("binary").alias("text"))
+    docs, names = apart(docs, "doc_id", F.xxhash64("text"), "repeats")
     known = docs.where(F.col("doc_id").isNotNull())
     texts = written(known.select("doc_id", F.md5("text").alias("digest")), "digests")
     firsts = texts.groupBy("digest").agg(F.min("doc_id").alias("first"))
@@ -316,6 +318,8 @@ def remove_repeats(docs: DataFrame, window: int = 20) -> DataFrame:
             )
 
     out = out.mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept binary, kept_sha256 string")
+    if names is not None:
+        out = out.join(names, out["doc_id"] == names["key"], "left").withColumn("doc_id", F.coalesce("real", "doc_id"))
     return out.select("doc_id", "n_words", "n_removed", F.col("kept").cast("string").alias("kept_text"), "kept_sha256")
 
 
