@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gradeline.llm import language, minhash, mixing, packing, secrets
-from gradeline.llm.common import written
+from gradeline.llm.common import apart, written
 from gradeline.llm.queries import word_vocabulary
 
 #: Share of a document's words that its language must hold for it to stay.
@@ -34,10 +34,15 @@ def one_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id stays of each group of five-word near duplicates.
 
-    Rows that repeat an id are copies too, and one of them stays. Rows without an id stay.
+    Rows that repeat an id and text are copies too, and one of them stays. Rows that repeat an id with
+    another text are documents of their own. Rows without an id stay.
     """
-    kept = minhash.duplicate_classes(docs, width=5, percent=80).where("kept AND doc_id IS NOT NULL").select("doc_id")
-    known = docs.where(F.col("doc_id").isNotNull()).join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    keyed, _ = apart(docs.withColumn("_key_of_row", F.col("doc_id")), "_key_of_row", F.xxhash64("text"), "pipeline-ids")
+    texts = keyed.select(F.col("_key_of_row").alias("doc_id"), "text")
+    kept = minhash.duplicate_classes(texts, width=5, percent=80).where("kept AND doc_id IS NOT NULL")
+    kept = kept.select(F.col("doc_id").alias("_key_of_row"))
+    known = keyed.where(F.col("_key_of_row").isNotNull()).join(kept, "_key_of_row", "left_semi")
+    known = known.dropDuplicates(["_key_of_row"]).select(*docs.columns)
     return known.unionByName(docs.where(F.col("doc_id").isNull()))
 
 

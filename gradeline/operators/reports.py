@@ -216,18 +216,19 @@ def _skyline(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(y)], names=["x", "y"])
 
 
-def frontier(points: DataFrame) -> DataFrame:
+def frontier(points: DataFrame, slices: int | None = None) -> DataFrame:
     """Distinct (x, y) that no other point beats: lower x or equal, higher y or equal, one strictly.
 
     Each task keeps only its own frontier. What is left is dealt out by quantiles of x, cut to the
-    frontier of each range, and must rise above the best y of the ranges before. NULL and NaN are
-    never on it.
+    frontier of each range, and must rise above the best y of the ranges before. ``slices`` is the
+    number of ranges, by default that of the session's shuffles. NULL and NaN are never on it.
     """
     known = points.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     known = known.where(F.col("x").isNotNull() & F.col("y").isNotNull() & ~F.isnan("x") & ~F.isnan("y"))
     # Written, as dealing by quantiles looks at its input twice.
     local = written(known.mapInArrow(_skyline, "x double, y double"), "frontier-tasks")
-    ranged = local.repartitionByRange("x").mapInArrow(_skyline, "x double, y double")
+    dealt = local.repartitionByRange("x") if slices is None else local.repartitionByRange(slices, "x")
+    ranged = dealt.mapInArrow(_skyline, "x double, y double")
     ranged = written(ranged.withColumn("_part", F.spark_partition_id()), "frontier")
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     tops = ranged.groupBy("_part").agg(F.max("y").alias("_top")).select("_part", F.max("_top").over(before).alias("_before"))
@@ -235,9 +236,9 @@ def frontier(points: DataFrame) -> DataFrame:
     return written(lead.select("x", "y"), "frontier")
 
 
-def pareto(points: DataFrame) -> DataFrame:
+def pareto(points: DataFrame, slices: int | None = None) -> DataFrame:
     """Mark the points whose (x, y) lies on the :func:`frontier`; only that is joined to them."""
-    lead = frontier(points).select(F.col("x").alias("_x"), F.col("y").alias("_y"))
+    lead = frontier(points, slices).select(F.col("x").alias("_x"), F.col("y").alias("_y"))
     on = (F.col("x").cast("double") == F.col("_x")) & (F.col("y").cast("double") == F.col("_y"))
     return points.join(lead, on, "left").withColumn("on_frontier", F.col("_x").isNotNull()).drop("_x", "_y")
 
