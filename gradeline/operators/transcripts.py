@@ -125,12 +125,12 @@ def repeated_phrases(
 
     def phrases(h: Column, common: Column) -> Column:
         at = F.filter(F.transform(h, lambda x, i: F.when(F.array_contains(common, x), i)), lambda i: i.isNotNull())
-        return F.array_sort(F.transform(at, lambda i: F.array_join(F.slice("_w", i + 1, words), " ")))
+        return F.sort_array(F.transform(at, lambda i: F.array_join(F.slice("_w", i + 1, words), " ")))
 
     def counts(p: Column) -> Column:
         return F.filter(F.transform(_runs(p), lambda r: r["n"]), lambda n: n >= times)
 
-    found = _let(hashed, lambda h: _let(F.array_sort(h), lambda s: _let(often(s), lambda common: _let(
+    found = _let(hashed, lambda h: _let(F.sort_array(h), lambda s: _let(often(s), lambda common: _let(
         phrases(h, common), lambda p: _let(counts(p), lambda n: F.struct(
             F.array_max(n).cast("bigint").alias("most"), F.size(n).cast("bigint").alias("n_phrases")))))))
     return loose.select("parser", "doc", F.inline(F.filter(F.array(found), lambda r: r["n_phrases"] > 0)))
