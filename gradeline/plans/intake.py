@@ -616,16 +616,32 @@ def live_accuracy(spark, sf):
 
 @query(
     "ST4_spend_watch",
-    f"""SELECT parser, round(sum(value / 100), 4) AS cost, 0::BIGINT AS n_unknown, count(*) AS n,
-          sum(value / 100) > 1.0 AS stopped FROM ({SQL_EVENTS}) GROUP BY parser""",
+    f"""WITH thirds AS (SELECT *, date_trunc('hour', ts) AS slot, third - (event_id % 10 = 1)::INT AS own FROM ({SQL_THIRDS})),
+        marks AS (SELECT third + 1 AS third, max(max(slot)) OVER (ORDER BY third) - INTERVAL 3 DAY AS mark FROM thirds GROUP BY third),
+        counted AS (SELECT *, CASE WHEN event_id % 499 <> 7 THEN value / 100 END AS cost
+          FROM thirds LEFT JOIN marks USING (third) WHERE third < 3 AND (mark IS NULL OR slot > mark)),
+        runs AS (SELECT parser || '/' || own AS run, min(slot) FILTER (third = own) AS since, max(slot) AS last,
+          sum(cost) AS cost, count(*) - count(cost) AS n_unknown, count(*) AS n FROM counted GROUP BY run)
+        SELECT run, since, last, round(cost, 4) AS cost, n_unknown, n, cost > 5 OR n_unknown > 0 AS stopped,
+          last + INTERVAL 1 DAY <= (SELECT max(mark) FROM marks WHERE third <= 3) AS closed FROM runs""",
 )
 def spend_watch(spark, sf):
+    """One run per system and third of the days. Late events count until the watermark has passed
+    them, and a run without events for a day is closed."""
     out = work_folder(spark, "spend")
-    live.spend_watch(spark, event_stream(spark, sf), out, cap=1.0)
-    return live.last_batch(spark, out).select(
-        "parser", F.round("cost", 4).alias("cost"), "n_unknown", "n",
-        F.col("stopped_in").isNotNull().alias("stopped"),
-    )
+    first = rel.table(spark, sf, "events").agg(F.min(F.unix_date(F.to_date("ts")))).scalar()
+
+    def deliver(stream, run):
+        day = F.unix_date(F.to_date("retrieved_at"))
+        own = F.least(F.floor((day - first) / 10), F.lit(2)).cast("string")
+        rows = stream.withColumns({
+            "run": F.concat("parser", F.lit("/"), own), "cost": F.when(F.col("event_id") % 499 != 7, F.col("cost")),
+        })
+        live.spend_batches(live.spend_watch(rows, 5.0, by="run", delay="3 days", quiet_hours=24), out)
+
+    arrivals(spark, sf, deliver)
+    found = live.newest(live.read_batches(spark, out), ["run", "since"])
+    return found.withColumn("cost", F.round("cost", 4))
 
 
 @query(

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
 
 from gradeline.functions.ratio import count_if, share
 from gradeline.operators.cells import score_fields
@@ -88,37 +94,93 @@ def newest(batches: DataFrame, keys: list[str]) -> DataFrame:
     ).select(*keys, "_r.*")
 
 
-def spend_watch(
-    spark: SparkSession, rows: DataFrame, folder: str, cap: float, by: str = "parser"
-) -> None:
-    """Running spend per run after each micro-batch, with the batch in which the cap was passed.
+class _SpendOfRun(StatefulProcessor):
+    """Totals of one run in keyed state, and a timer that closes the run after a silence. Times are
+    milliseconds, so no worker's time zone matters."""
 
-    A batch is added up by run first and then joined with the totals of the batch before, which the
-    shared folder holds; rows that arrive late count like any other. An unknown cost stops a run.
-    """
+    TOTALS = "since long, last long, cost double, n_unknown long, n long, stopped boolean"
 
-    def totals(df: DataFrame, batch: int) -> DataFrame:
-        new = df.groupBy(by).agg(
-            F.coalesce(F.sum("cost"), F.lit(0.0)).alias("cost"),
-            count_if(F.col("cost").isNull()).alias("n_unknown"), F.count("*").alias("n"),
-            F.lit(None).cast("bigint").alias("stopped_in"),
-        )
-        if batch > 0:
-            # The previous batch is complete before this one starts.
-            new = new.unionByName(df.sparkSession.read.parquet(f"{folder}/out/batch={batch - 1}"))
-        merged = new.groupBy(by).agg(
-            F.sum("cost").alias("cost"), F.sum("n_unknown").cast("bigint").alias("n_unknown"),
-            F.sum("n").cast("bigint").alias("n"), F.min("stopped_in").alias("stopped_in"),
-        )
-        over = (F.col("cost") > cap) | (F.col("n_unknown") > 0)
-        return merged.withColumn(
-            "stopped_in", F.coalesce("stopped_in", F.when(over, F.lit(batch)).cast("bigint"))
-        )
+    def __init__(self, by: str, cap: float, quiet_ms: int):
+        self.by, self.cap, self.quiet_ms = by, cap, quiet_ms
+
+    def init(self, handle) -> None:
+        self.handle = handle
+        self.totals = handle.getValueState("totals", self.TOTALS)
+
+    def _row(self, key, held, closed: bool) -> pd.DataFrame:
+        names = ["since", "last", "cost", "n_unknown", "n", "stopped"]
+        return pd.DataFrame([(*key, *held, closed)], columns=[self.by, *names, "closed"])
+
+    def handleInputRows(self, key, rows, timerValues):
+        held = tuple(self.totals.get()) if self.totals.exists() else None
+        before = held[1] if held else None
+        for part in rows:
+            first, last = int(part["at"].min()), int(part["at"].max())
+            since, seen, cost, unknown, n, stopped = held or (first, last, 0.0, 0, 0, False)
+            cost += float(part["cost"].sum())
+            unknown += int(part["n_unknown"].sum())
+            stopped = bool(stopped or cost > self.cap or unknown > 0)
+            held = (since, max(seen, last), cost, unknown, n + int(part["n"].sum()), stopped)
+        self.totals.update(held)
+        if before != held[1]:
+            if before is not None:
+                self.handle.deleteTimer(before + self.quiet_ms)
+            self.handle.registerTimer(held[1] + self.quiet_ms)
+        yield self._row(key, held, False)
 
-    write_batches(rows, folder, "append", totals)
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        held = tuple(self.totals.get())
+        self.totals.clear()
+        yield self._row(key, held, True)
 
+    def close(self) -> None:
+        pass
 
-def last_batch(spark: SparkSession, folder: str) -> DataFrame:
-    batches = read_batches(spark, folder)
-    newest_id = batches.agg(F.max("batch")).scalar()
-    return batches.where(F.col("batch") == newest_id).drop("batch")
+
+def spend_watch(
+    rows: DataFrame, cap: float, *, by: str = "parser", slot: str = "1 hour", delay: str = "1 day", quiet_hours: float = 168
+) -> DataFrame:
+    """Running spend of each run, as a stream of its totals (update mode, RocksDB state).
+
+    ``rows`` have ``by`` (a string), ``retrieved_at`` and ``cost``. A run is ``stopped`` for good once its spend
+    passes ``cap`` or a cost is unknown. Time counts in whole slots: rows that arrive late count like
+    any other until the watermark, ``delay`` behind the latest slot, has reached their slot. A run
+    without a new slot for ``quiet_hours`` is closed: its last row says so and its state is dropped.
+    Rows that come later open it again, from zero, with another ``since`` (the first slot of what
+    opened it). Rows without a time are left out; rows without a run form one of their own.
+
+    Each task first adds up its rows by run and slot, so a busy run sends few rows to its key.
+    """
+    timed = rows.where(F.col("retrieved_at").isNotNull()).select(
+        F.col(by).cast("string").alias(by), F.window("retrieved_at", slot)["start"].alias("slot"), F.col("cost").cast("double").alias("cost")
+    )
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            unknown = pc.cast(pc.is_null(batch.column("cost")), pa.int64())
+            part = pa.Table.from_batches([batch]).append_column("n_unknown", unknown).append_column("n", pa.array([1] * batch.num_rows, pa.int64()))
+            out = part.group_by([by, "slot"]).aggregate([("cost", "sum"), ("n_unknown", "sum"), ("n", "sum")])
+            columns = [out.column(c) for c in (by, "slot", "cost_sum", "n_unknown_sum", "n_sum")]
+            yield from pa.table(columns, names=[by, "slot", "cost", "n_unknown", "n"]).to_batches()
+
+    slots = timed.mapInArrow(add_up, f"`{by}` string, slot timestamp, cost double, n_unknown long, n long")
+    slots = slots.withColumn("at", F.unix_millis("slot")).withWatermark("slot", delay)
+    runs = slots.groupBy(by).transformWithStateInPandas(
+        _SpendOfRun(by, cap, round(quiet_hours * 3_600_000)),
+        f"`{by}` string, {_SpendOfRun.TOTALS}, closed boolean", "update", "eventTime",
+    )
+    return runs.withColumns({c: F.timestamp_millis(c) for c in ("since", "last")})
+
+
+def spend_batches(stream: DataFrame, folder: str) -> None:
+    """Run a ``spend_watch`` over what is available; its state needs the RocksDB store, for this run only."""
+    spark, setting = stream.sparkSession, "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(setting, None)
+    spark.conf.set(setting, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        write_batches(stream, folder, "update")
+    finally:
+        if before is None:
+            spark.conf.unset(setting)
+        else:
+            spark.conf.set(setting, before)
