@@ -8,14 +8,16 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeline.llm.common import arrow_bounds, held_out
+from gradeline.llm.common import arrow_bounds, held_out, written
 
 BUCKETS = 1 << 15
 #: Bytes of text handled at once in a worker.
 SLICE = 1 << 20
+#: Bytes of likelihoods by word that a worker keeps between rounds.
+KEPT = 64 << 20
 UNKNOWN = "und"
 
 # Letters and all bytes of longer UTF-8 sequences count as letters; the rest separates words.
@@ -35,12 +37,12 @@ def trigrams(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return hashed, starts
 
 
-def slices(data: bytes) -> Iterator[bytes]:
-    """Parts of at most ``SLICE`` bytes, cut at a blank where there is one."""
+def slices(data: bytes, size: int = SLICE) -> Iterator[bytes]:
+    """Parts of at most ``size`` bytes, cut at a blank where there is one."""
     at = 0
-    while len(data) - at > SLICE:
-        cut = data.rfind(b" ", at, at + SLICE)
-        cut = cut if cut > at else at + SLICE
+    while len(data) - at > size:
+        cut = data.rfind(b" ", at, at + size)
+        cut = cut if cut > at else at + size
         yield data[at:cut]
         at = cut
     yield data[at:]
@@ -53,57 +55,98 @@ class LanguageModel:
     languages: list[str]
     log_prob: np.ndarray  # (BUCKETS, languages)
 
-    def words(self, data: bytes) -> np.ndarray:
+    def words(self, hashed: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Log likelihood of each word (rows) under each language (columns)."""
-        out = []
-        for part in slices(data):
-            hashed, starts = trigrams(part)
-            if len(starts):
-                out.append(np.add.reduceat(self.log_prob[hashed], starts, axis=0))
-        return np.concatenate(out) if out else np.zeros((0, len(self.languages)), np.float32)
+        return np.add.reduceat(self.log_prob[hashed], starts, axis=0)
+
+    def chunks(self, texts: list[bytes]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """The words of all texts in chunks of bounded size: hashed trigrams, where words start in
+        them, and each word's text. Trigrams take two bytes, so a chunk is about its text's size."""
+        room = max(1 << 12, 4 * SLICE // max(len(self.languages), 8))
+        out, held, have = [], [], 0
+
+        def close():
+            ends = np.cumsum([0] + [len(h) for h, _, _ in held])
+            out.append((
+                np.concatenate([h for h, _, _ in held]),
+                np.concatenate([s + e for (_, s, _), e in zip(held, ends)]),
+                np.concatenate([np.full(len(s), i, np.int32) for _, s, i in held]),
+            ))
+
+        for i, data in enumerate(texts):
+            for part in slices(data, room):
+                hashed, starts = trigrams(part)
+                if not len(starts):
+                    continue
+                held.append((hashed.astype(np.uint16), starts.astype(np.int32), i))
+                have += len(hashed)
+                if have >= room:
+                    close()
+                    held, have = [], 0
+        if held:
+            close()
+        return out
 
     def mixtures(self, texts: list[bytes], rounds: int = 6, cost: float = 2.0) -> np.ndarray:
         """Language proportions of each text; languages outside its selected set have 0.
 
         EM gives each text's proportions over all languages. The sets considered are the first
-        1, 2, ... languages in falling order of proportion. Each set is fitted again and the one
-        with the largest log likelihood minus ``cost * size * log(words)`` is kept.
+        1, 2, ... languages in falling order of proportion, until the penalised likelihood has
+        fallen twice in a row. Each set is fitted again and the one with the largest log likelihood
+        minus ``cost * size * log(words)`` is kept. Likelihoods by word are kept up to ``KEPT``
+        bytes and computed again in each round beyond that, so memory does not follow them.
         """
         n, k = len(texts), len(self.languages)
-        rows = [self.words(t) for t in texts]
-        sizes = np.array([len(r) for r in rows])
         best = np.zeros((n, k))
-        if not k or not sizes.sum():
+        parts = self.chunks(texts) if k else []
+        if not parts:
             return best
-        log = np.concatenate(rows)
-        of = np.repeat(np.arange(n), sizes)
-        full = np.flatnonzero(sizes)
-        starts = (np.cumsum(sizes) - sizes)[full]
-        top = log.max(axis=1, keepdims=True)
-        like = np.exp(np.maximum(log - top, -60.0))
+        sizes = sum(np.bincount(of, minlength=n) for _, _, of in parts)
+        remembered: list[np.ndarray] = []
+        room = KEPT
+
+        def likelihoods(at: int) -> np.ndarray:
+            nonlocal room
+            if at < len(remembered):
+                return remembered[at]
+            log = self.words(*parts[at][:2])
+            like = np.exp(np.maximum(log - log.max(axis=1, keepdims=True), -60.0))
+            if at == len(remembered) and like.nbytes <= room:
+                remembered.append(like)
+                room -= like.nbytes
+            return like
+
+        firsts = [np.flatnonzero(np.diff(of, prepend=-1)) for _, _, of in parts]
 
         def fit(allowed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             share = allowed / np.maximum(allowed.sum(axis=1, keepdims=True), 1)
             for _ in range(rounds):
-                joint = share[of] * like
-                joint /= np.maximum(joint.sum(axis=1, keepdims=True), 1e-300)
-                share = np.zeros((n, k))
-                share[full] = np.add.reduceat(joint, starts, axis=0) / sizes[full, None]
-            seen = np.log(np.maximum((share[of] * like).sum(axis=1), 1e-300))
+                summed = np.zeros((n, k))
+                for at, (_, _, of) in enumerate(parts):
+                    joint = share[of] * likelihoods(at)
+                    joint /= np.maximum(joint.sum(axis=1, keepdims=True), 1e-300)
+                    summed[of[firsts[at]]] += np.add.reduceat(joint, firsts[at], axis=0)
+                share = summed / np.maximum(sizes, 1)[:, None]
             total = np.zeros(n)
-            total[full] = np.add.reduceat(seen, starts)
+            for at, (_, _, of) in enumerate(parts):
+                seen = np.log(np.maximum((share[of] * likelihoods(at)).sum(axis=1), 1e-300))
+                total[of[firsts[at]]] += np.add.reduceat(seen, firsts[at])
             return share, total
 
         share, _ = fit(np.ones((n, k)))
         order = np.argsort(-share, axis=1, kind="stable")
-        kept = np.full(n, -np.inf)
+        kept, last, falls = np.full(n, -np.inf), np.full(n, -np.inf), np.zeros(n, int)
         for size in range(1, k + 1):
             allowed = np.zeros((n, k))
             np.put_along_axis(allowed, order[:, :size], 1.0, axis=1)
             fitted, value = fit(allowed)
             value = value - cost * size * np.log(np.maximum(sizes, 2))
-            better = value > kept
+            better = (falls < 2) & (value > kept)
             best[better], kept[better] = fitted[better], value[better]
+            falls = np.where(falls >= 2, falls, np.where(value < last, falls + 1, 0))
+            last = value
+            if (falls[sizes > 0] >= 2).all():
+                break
         best[sizes == 0] = 0
         return best
 
@@ -112,24 +155,52 @@ def lowered(text: Column) -> Column:
     return F.lower(F.coalesce(text, F.lit(""))).cast("binary")
 
 
+def hash_cuts(rows: DataFrame, lang: str, most: int) -> dict:
+    """By language the bound on ``_h`` that its first ``most`` rows stay within, by histograms.
+
+    Three passes count rows by 12 more bits of the hash; only the slice that holds the last row
+    is cut further, so no task orders a language. The last slice counts whole: it is 2^-36 of all
+    hashes. Languages of fewer rows than ``most`` have no entry.
+    """
+    rows = written(rows.select(lang, "_h"), "language-hashes")
+    taken: dict = {}
+    within: dict = {}
+    for bits in (52, 40, 28):
+        part = F.shiftright("_h", bits)
+        inside = rows
+        if bits < 52:
+            if not within:
+                break
+            bound = F.create_map(*[F.lit(x) for pair in within.items() for x in pair])
+            inside = rows.where(F.shiftright("_h", bits + 12) == F.element_at(bound, F.col(lang)))
+        counts: dict = {}
+        for r in inside.groupBy(lang, part.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect():
+            counts.setdefault(r[lang], []).append((r.part, r.n))
+        within = {}
+        for name, found in counts.items():
+            for at, n in sorted(found):
+                if taken.get(name, 0) + n >= most:
+                    within[name] = at
+                    break
+                taken[name] = taken.get(name, 0) + n
+    return {name: ((at + 1) << 28) - 1 for name, at in within.items()}
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", ident: str = "doc_id",
         per_language: int = 2000) -> LanguageModel:
     """Learn trigram probabilities from at most ``per_language`` documents of each language.
 
     Those with the smallest id hashes are taken, among rows with a language and a text whose id is
-    not held out. Only sums by language and bucket reach the driver. No rows give an empty model.
+    not held out (rows that share an id stay together; without an id the text is hashed). Only sums
+    by language and bucket or hash slice reach the driver. No rows give an empty model.
     """
     arrow_bounds(docs.sparkSession)
     ids = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & ~held_out(ident))
-    ids = ids.withColumn("_h", F.xxhash64(ident))
-    rank = F.row_number().over(Window.partitionBy(lang).orderBy("_h"))
-    cut = ids.select(lang, "_h").withColumn("_r", rank).where(F.col("_r") <= per_language)
-    cuts = cut.groupBy(lang).agg(F.max("_h").alias("_cut")).collect()
-    if not cuts:
-        return LanguageModel([], np.zeros((BUCKETS, 0), np.float32))
+    ids = ids.withColumn("_h", F.xxhash64(ident, F.when(F.col(ident).isNull(), F.col(text))))
+    cuts = hash_cuts(ids, lang, per_language)
     # One number per language: a lookup in the scan, where a join would shuffle texts by language.
-    last = F.create_map(*[F.lit(x) for r in cuts for x in (r[lang], r["_cut"])])
-    sample = ids.where(F.col("_h") <= F.element_at(last, F.col(lang))).select(lang, lowered(F.col(text)).alias("text"))
+    cut = F.element_at(F.create_map(*[F.lit(x) for pair in cuts.items() for x in pair]), F.col(lang)) if cuts else F.lit(None)
+    sample = ids.where(F.coalesce(F.col("_h") <= cut, F.lit(True))).select(lang, lowered(F.col(text)).alias("text"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
@@ -147,6 +218,8 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", ident: str = "d
 
     counts = sample.mapInArrow(count, "lang string, bucket int, n long")
     rows = counts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).collect()
+    if not rows:
+        return LanguageModel([], np.zeros((BUCKETS, 0), np.float32))
     languages = sorted({r.lang for r in rows}, key=lambda x: x.encode())
     table = np.full((BUCKETS, len(languages)), 0.5)
     for r in rows:
