@@ -3,17 +3,20 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gradeline.llm.common import arrow_bounds, block_jobs, components, group_starts, local_roots, pair_index, pieces, written
+from gradeline.llm.common import apart, arrow_bounds, block_jobs, components, group_starts, local_roots, pair_index, pieces, written
 
-#: Bits of a bucket key and number of keys: a pair of cosine 0.9 shares none 6 times in 100,000,
-#: a pair of cosine 0.95 once in ten million.
+#: Least bits of a bucket key, and number of keys then: a pair of cosine 0.9 shares none 6 times in
+#: 100,000, a pair of cosine 0.95 once in ten million. Larger tables have more bits (see ``keying``).
 KEY_BITS, TABLES = 14, 80
+#: Unrelated vectors that a bucket holds on average, at most, and rotated components held at once.
+CROWD, HELD = 4, 1 << 22
 #: Standard errors of the estimate within which a pair is still recomputed.
 SLACK = 5.0
 BLOCK = 1500
@@ -27,19 +30,37 @@ def usable(vector: Column) -> Column:
     return F.coalesce(~broken & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def keying(vectors: int) -> tuple[int, int]:
+    """Bits of a key and number of keys for so many vectors.
+
+    Bits grow with the logarithm of the number, so that a bucket holds ``CROWD`` unrelated vectors
+    however many there are; keys grow with the bits, so that a pair of cosine 0.9 is missed as
+    rarely as with ``TABLES`` keys of ``KEY_BITS`` bits.
+    """
+    bits = max(KEY_BITS, int(np.ceil(np.log2(max(vectors, 1) / CROWD))))
+    same = 1 - np.arccos(0.9) / np.pi
+    return bits, int(np.ceil(TABLES * np.log1p(-(same**KEY_BITS)) / np.log1p(-(same**bits)) - 1e-9))
+
+
+@lru_cache(maxsize=8)
 def rotations(dim: int, count: int, seed: int) -> np.ndarray:
     """``count`` random rotations of ``dim`` dimensions, one above the other."""
     rng = np.random.default_rng([seed, dim])
     return np.concatenate([np.linalg.qr(rng.normal(size=(dim, dim)))[0] for _ in range(count)])
 
 
-def bucket_keys(x: np.ndarray) -> np.ndarray:
-    """(rows, TABLES) keys of sign bits of rotated unit vectors."""
+def bucket_keys(x: np.ndarray, bits: int, tables: int) -> np.ndarray:
+    """(rows, tables) keys of sign bits of rotated unit vectors."""
     dim = x.shape[1]
-    need = KEY_BITS * TABLES
-    stack = rotations(dim, -(-need // dim), 1)[:need]
-    bits = (x @ stack.T > 0).reshape(len(x), TABLES, KEY_BITS)
-    return bits @ (1 << np.arange(KEY_BITS, dtype=np.int64))
+    need = bits * tables
+    stack = rotations(dim, -(-need // dim), 1)[:need].T
+    weights = 1 << np.arange(bits, dtype=np.int64)
+    out = np.empty((len(x), tables), np.int64)
+    step = max(1, HELD // need)
+    for at in range(0, len(x), step):
+        part = x[at : at + step]
+        out[at : at + step] = (part @ stack > 0).reshape(len(part), tables, bits) @ weights
+    return out
 
 
 def codes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -65,14 +86,14 @@ def estimated(i: np.ndarray, j: np.ndarray, signs, turned, factor, least: float)
     return guess + SLACK * spread >= least
 
 
-def job_links(rows: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
+def job_links(rows: pa.Table, least: float, bits: int, tables: int) -> tuple[np.ndarray, np.ndarray]:
     """Linked pairs (row numbers) of the jobs in ``rows``, each only in the first bucket it shares."""
     n = rows.num_rows
     u, _ = unit_rows(rows)
     signs, turned, factor = codes(u)
     dim = u.shape[1]
     part, lo, hi = (rows.column(c).to_numpy() for c in ("part", "lo", "hi"))
-    table = rows.column("key").to_numpy() >> KEY_BITS
+    table = rows.column("key").to_numpy() >> bits
     starts = np.flatnonzero(group_starts(rows, ["key", "lo", "hi"]))
     ends = np.append(starts[1:], n)
     out_i, out_j = [], []
@@ -112,7 +133,7 @@ def job_links(rows: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
     if not len(i):
         return i, j
     used, where = np.unique(np.concatenate([i, j]), return_inverse=True)
-    keys = bucket_keys(u[used]).astype(np.int32)
+    keys = bucket_keys(u[used], bits, tables)
     a, b = where[: len(i)], where[len(i) :]
     first = np.zeros(len(i), bool)
     for k in range(0, len(i), PAIRS // 4):
@@ -124,8 +145,8 @@ def job_links(rows: pa.Table, least: float) -> tuple[np.ndarray, np.ndarray]:
 def near_duplicates(vectors: DataFrame, ident: str = "vec_id", vector: str = "embedding", least: float = 0.9) -> DataFrame:
     """Per row of ``vectors``: its id, n_links, component_id and kept.
 
-    Equal vectors form a class at once. Representatives are dealt to buckets by ``TABLES`` keys of
-    sign bits; large buckets are cut into block pairs. Inside a job, one vector's binary code and
+    Equal vectors form a class at once. Representatives are dealt to buckets by keys of
+    sign bits (``keying``); large buckets are cut into block pairs. Inside a job, one vector's binary code and
     the other's rotated values give an unbiased estimate of the cosine; pairs whose upper bound
     reaches ``least`` are recomputed in double precision from the vectors themselves. A linked
     pair counts only in the first bucket it shares, so each task sends a number and one link per
@@ -133,25 +154,28 @@ def near_duplicates(vectors: DataFrame, ident: str = "vec_id", vector: str = "em
 
     Null, zero or non-finite vectors, and vectors of another length, link with nothing (of unequal
     lengths only equally long ones are compared). n_links counts rows, so rows that repeat a vector
-    count each other.
+    count each other. Rows that repeat an id with another vector are vectors of their own.
     """
     spark = vectors.sparkSession
     arrow_bounds(spark)
-    rows = vectors.select(F.col(ident).alias("id"), F.col(vector).alias("x")).withColumn("ok", usable(F.col("x")))
+    rows = vectors.select(F.col(ident).alias("id"), F.col(vector).alias("x"))
+    rows, names = apart(rows, "id", F.xxhash64("x"), "vector-ids")
+    rows = rows.withColumn("ok", usable(F.col("x")))
     rows = rows.withColumns({"k1": F.when(F.col("ok"), F.xxhash64("x")), "k2": F.when(F.col("ok"), F.xxhash64(F.lit(1), "x"))})
     good = rows.where("ok AND id IS NOT NULL")
     classes = written(good.groupBy("k1", "k2").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("w")), "classes")
     held = good.join(classes.select(F.col("rep").alias("id"), "k1", "k2", "w"), ["id", "k1", "k2"]).select("id", "w", "x")
     held = written(held.dropDuplicates(["id"]).withColumn("dim", F.size("x")), "vectors")
+    bits, tables = keying(held.count())
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, dims = batch.column("id").to_numpy(), batch.column("dim").to_numpy()
             for dim in np.unique(dims):
                 rows = pa.Table.from_batches([batch]).filter(pa.array(dims == dim))
-                keys = bucket_keys(unit_rows(rows)[0]) | (np.arange(TABLES) << KEY_BITS)
+                keys = bucket_keys(unit_rows(rows)[0], bits, tables) | (np.arange(tables) << bits)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids[dims == dim], TABLES)), pa.array(np.full(keys.size, dim, np.int32)), pa.array(keys.ravel())],
+                    [pa.array(np.repeat(ids[dims == dim], tables)), pa.array(np.full(keys.size, dim, np.int32)), pa.array(keys.ravel())],
                     ["id", "dim", "key"],
                 )
 
@@ -165,7 +189,7 @@ def near_duplicates(vectors: DataFrame, ident: str = "vec_id", vector: str = "em
             dims = whole.column("dim").to_numpy()
             for dim in np.unique(dims):
                 rows = whole.filter(pa.array(dims == dim)).combine_chunks()
-                i, j = job_links(rows, least)
+                i, j = job_links(rows, least, bits, tables)
                 ids, w = rows.column("id").to_numpy(), rows.column("w").to_numpy()
                 n = np.bincount(i, w[j], len(ids)) + np.bincount(j, w[i], len(ids))
                 seen = np.flatnonzero(n)
@@ -183,10 +207,13 @@ def near_duplicates(vectors: DataFrame, ident: str = "vec_id", vector: str = "em
     out = rows.join(told, ["k1", "k2"], "left")
     linked = F.col("ok") & F.col("id").isNotNull()
     out = out.withColumn("component_id", F.when(linked, F.col("_c")).otherwise(F.col("id")))
-    return out.select(
-        F.col("id").alias(ident), F.when(linked, F.col("n_links")).otherwise(F.lit(0)).cast("long").alias("n_links"),
-        "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"),
-    )
+    out = out.withColumn("n_links", F.when(linked, F.col("n_links")).otherwise(F.lit(0)).cast("long"))
+    if names is not None:
+        out = out.join(names, out["id"] == names["key"], "left").withColumn("id", F.coalesce("real", "id"))
+        least_id = out.groupBy(F.col("component_id").alias("_of")).agg(F.min("id").alias("_least"))
+        out = out.join(least_id, out["component_id"] == least_id["_of"], "left").withColumn("component_id", F.col("_least"))
+    kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(True))
+    return out.select(F.col("id").alias(ident), "n_links", "component_id", kept.alias("kept"))
 
 
 ORACLE = r"""

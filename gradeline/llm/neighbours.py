@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gradeline.llm.common import arrow_bounds, group_starts, pieces, written
+from gradeline.llm.common import apart, arrow_bounds, group_starts, pieces, written
 from gradeline.llm.embed_dedup import rotations, usable
 
 #: A code has so many bits, cut into substrings of 16 that are each indexed.
@@ -44,16 +44,15 @@ def learn(sample: np.ndarray, top: float, k: int, hit: float = 0.98, rounds: int
     turns = []
     for group in range(-(-BITS // dim)):
         r = rotations(dim, 1, 100 + group)
-        for _ in range(rounds if len(lifted) > dim else 0):
+        for _ in range(rounds):
             u, _, vt = np.linalg.svd(np.where(lifted @ r.T > 0, 1.0, -1.0).T @ lifted)
             r = u @ vt
         turns.append(r)
     model = CodeModel(np.concatenate(turns)[:BITS], top, BITS)
-    if len(sample) > 10 * k:
-        asked = sample[:: max(1, len(sample) // 300)]
-        near = np.argsort(-(asked @ sample.T), axis=1)[:, : k + 1]
-        apart = np.bitwise_count(model.codes(asked, False)[:, None, :] ^ model.codes(sample, True)[near]).sum(axis=2)
-        model.radius = int(np.quantile(apart, hit))
+    asked = sample[:: max(1, len(sample) // 300)]
+    near = np.argsort(-(asked @ sample.T), axis=1)[:, : k + 1]
+    away = np.bitwise_count(model.codes(asked, False)[:, None, :] ^ model.codes(sample, True)[near]).sum(axis=2)
+    model.radius = int(np.quantile(away, hit))
     return model
 
 
@@ -81,11 +80,11 @@ def probe(codes: np.ndarray, asked: np.ndarray, radius: int) -> tuple[np.ndarray
             hit = np.bitwise_count(asked[:, t, None] ^ buckets) <= reach
         seen |= hit[:, where]
     q, row = np.nonzero(seen)
-    apart = np.zeros(len(q), np.uint16)
+    away = np.zeros(len(q), np.uint16)
     wide_codes, wide_asked = codes.view(np.uint64), asked.view(np.uint64)
     for w in range(wide_codes.shape[1]):
-        apart += np.bitwise_count(wide_asked[q, w] ^ wide_codes[row, w])
-    near = apart <= radius
+        away += np.bitwise_count(wide_asked[q, w] ^ wide_codes[row, w])
+    near = away <= radius
     return q[near], row[near]
 
 
@@ -135,8 +134,13 @@ def _search(queries: DataFrame, rows: DataFrame, model: CodeModel, k: int) -> Da
     return jobs.mapInArrow(answer, "query_id long, vec_id long, score double")
 
 
-def _ranked(found: DataFrame, k: int) -> DataFrame:
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+def _ranked(found: DataFrame, k: int, names: DataFrame | None) -> DataFrame:
+    """The ``k`` best rows of each query, ties by the id that a row has in the table."""
+    found = found.withColumn("real", F.col("vec_id"))
+    if names is not None:
+        real = names.select(F.col("key").alias("vec_id"), F.col("real").alias("_real"))
+        found = found.join(real, "vec_id", "left").withColumn("real", F.coalesce("_real", "vec_id")).drop("_real")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "real", "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
@@ -151,7 +155,8 @@ def nearest(vectors: DataFrame, asks, k: int = 20, ident: str = "vec_id", vector
     there are. Scores are inner products in double precision.
 
     Null, zero and non-finite vectors, null ids, and vectors of another length than most take no
-    part. Rows that repeat an id count once.
+    part. Rows that repeat an id and vector count once; rows that repeat an id with another vector are
+    candidates (and queries) of their own.
     """
     spark = vectors.sparkSession
     arrow_bounds(spark)
@@ -164,7 +169,8 @@ def nearest(vectors: DataFrame, asks, k: int = 20, ident: str = "vec_id", vector
     if usual is None:
         return empty
     dim = usual["dim"]
-    rows = rows.where(F.size("x") == dim).dropDuplicates(["id"])
+    rows, names = apart(rows.where(F.size("x") == dim), "id", F.xxhash64("x"), "vector-ids")
+    rows = rows.dropDuplicates(["id"])
     few = rows.withColumn("_h", F.xxhash64("id")).orderBy("_h", "id").limit(sample).collect()
     model = learn(np.array([r.x for r in few], np.float64), float(np.sqrt(usual["top"])), k)
 
@@ -183,13 +189,16 @@ def nearest(vectors: DataFrame, asks, k: int = 20, ident: str = "vec_id", vector
 
     coded = written(rows.mapInArrow(encode, "id long, x binary, code binary, query boolean"), "codes")
     held, asked = coded.where("NOT query").drop("query"), coded.where("query").drop("query")
-    found = written(_ranked(_search(asked, held, model, k), k), "found")
+    found = written(_ranked(_search(asked, held, model, k), k, names), "found")
     short = found.groupBy("query_id").count().where(F.col("count") < k).select("query_id")
     lost = asked.join(found.select(F.col("query_id").alias("id")), "id", "left_anti").select(F.col("id").alias("query_id"))
     short = written(short.unionByName(lost), "short")
     if not short.isEmpty():
         again = asked.join(short.withColumnRenamed("query_id", "id"), "id", "left_semi")
         model = CodeModel(model.turn, model.top, BITS)
-        whole = _ranked(_search(again, held, model, k), k)
+        whole = _ranked(_search(again, held, model, k), k, names)
         found = found.join(short, "query_id", "left_anti").unionByName(whole)
-    return found.select("query_id", "rank", "vec_id", "score")
+    if names is not None:
+        real = names.select(F.col("key").alias("query_id"), F.col("real").alias("_asked"))
+        found = found.join(real, "query_id", "left").withColumn("query_id", F.coalesce("_asked", "query_id"))
+    return found.select("query_id", "rank", F.col("real").alias("vec_id"), "score")
