@@ -53,8 +53,9 @@ def live_accuracy(
 def collection_sessions(rows: DataFrame, *, gap: str = "7 days", delay: str = "1 day") -> DataFrame:
     """Bursts of collection per system, parted by a silence of ``gap``.
 
-    Meant for append mode: a session is written once the watermark has passed its end, and its state
-    is dropped; rows that arrive later than ``delay`` are left out.
+    In append mode a session is written once the watermark has passed its end, and its state is
+    dropped; rows that arrive later than ``delay`` are left out. In complete mode each batch writes
+    all sessions, open ones too, and state keeps one row per session.
     """
     return (
         rows.withWatermark("retrieved_at", delay)
@@ -86,6 +87,12 @@ def read_batches(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.option("basePath", f"{folder}/out").parquet(f"{folder}/out")
 
 
+def latest(batches: DataFrame) -> DataFrame:
+    """What the last batch of a complete-mode stream wrote."""
+    last = batches.agg(F.max("batch")).scalar()
+    return batches.where(F.col("batch") == last).drop("batch")
+
+
 def newest(batches: DataFrame, keys: list[str]) -> DataFrame:
     """The last written version of each key of an update-mode stream."""
     rest = [c for c in batches.columns if c not in keys and c != "batch"]

@@ -64,3 +64,30 @@ def test_ignoring_in_pages_is_ignoring_blocks(spark, sf):
         want = layout.page_pairs(*blocks, page_layout.PROCESSORS).where("size(gt) + size(pred) > 0").select(*columns)
         got = layout.ignore_in_pages(page_layout.pairs(spark, sf), mode, ["footer"]).where("size(gt) + size(pred) > 0").select(*columns)
         assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+
+
+def test_sessions_hold_every_event(spark, sf):
+    """Sessions that are still open at the end are given too."""
+    from gradeline.plans import intake, relations
+
+    got = intake.collection_sessions(spark, sf).agg({"n": "sum"}).first()[0]
+    assert got == relations.table(spark, sf, "events").count()
+
+
+def test_shown_answers_are_all_without_an_error(spark, sf):
+    from gradeline.plans import intake, relations
+    from gradeline.sources import files
+
+    got = intake.shown_answers(spark, sf).agg({"n": "sum"}).first()[0]
+    rows = relations.scored(spark, sf).where("q % 31 <> 0 AND q % 29 <> 0 AND has_answer AND error IS NULL")
+    assert got == rows.count()
+    held = spark.createDataFrame([('{"qid": "q1", "parser": "a", "answer": {}, "error": null}',)], "value string")
+    assert files.shown_answers(files.parse_answers(held)).isEmpty()
+
+
+def test_stored_rows_are_scored_again_without_joining_them_to_themselves(spark, sf):
+    from gradeline.plans import accuracy
+
+    plan = accuracy.rescore(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    # Lines to orders for stored rows and bank, bank to answers, and two tables of one row per system.
+    assert plan.count("Join ") <= 5
