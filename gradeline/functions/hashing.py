@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,26 @@ SECOND = (1 << 30) - 1
 
 def with_cluster_draw(df: DataFrame, out: str, seed: int, it: Column, cluster: str) -> DataFrame:
     """Add a 32-bit draw of (iteration, cluster); 62 bits tell the clusters apart."""
-    df = df.withColumn(f"{out}a", text_hash32(F.col(cluster), 1).bitwiseAND(F.lit(SECOND)) + it)
-    df = with_draw(df, out, seed, F.col(f"{out}a"), text_hash32(F.col(cluster)))
+    first, second = cluster_words(cluster)
+    df = df.withColumn(f"{out}a", first + it)
+    df = with_draw(df, out, seed, F.col(f"{out}a"), second)
     return df.drop(f"{out}a")
+
+
+def cluster_words(cluster: str) -> tuple[Column, Column]:
+    """The two words of a cluster's name that a draw mixes; an iteration is added to the first."""
+    return text_hash32(F.col(cluster), 1).bitwiseAND(F.lit(SECOND)), text_hash32(F.col(cluster))
+
+
+def mix_draws(a: np.ndarray, b: np.ndarray, seed: int) -> np.ndarray:
+    """:func:`with_draw` of whole arrays: all its steps are taken modulo 2^32."""
+    x = a * np.uint32(GOLDEN)
+    x += np.uint32(seed & MASK)
+    for stage in range(2):
+        for _ in range(2):
+            x ^= x >> np.uint32(16)
+            x *= np.uint32(MIX)
+        x ^= x >> np.uint32(16)
+        if stage == 0:
+            x ^= b
+    return x

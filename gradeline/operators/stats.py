@@ -7,17 +7,26 @@ aggregate grows with documents and not with fields.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import partial
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
-from gradeline.functions.hashing import with_cluster_draw
+from gradeline.functions.hashing import cluster_words, mix_draws, with_cluster_draw
 from gradeline.functions.ratio import count_if, share
 
 # Paired verdicts need at least this many documents; resamples; error level.
 MIN_CLUSTERS = 20
 ITERATIONS = 2000
 ALPHA = 0.05
+# Bounds of a task of the resampling: documents weighted at a time, and bytes of sums kept before they are sent.
+CHUNK = 256
+HELD = 64 << 20
 #: 32-bit upper ends of the Poisson distribution of mean 1, by value.
 POISSON = [
     math.floor(2**32 * math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)))
@@ -64,24 +73,100 @@ def resample(
     In each iteration a document counts as often as a Poisson draw of mean 1 says, a pure hash of
     (seed, iteration, document). So no join and no document numbers are needed, weights are made
     and summed where the document lies, any two legs see the same weights whatever else is in the
-    batch, and only tasks x legs x iterations sums are shuffled. Iteration ``PLAIN`` takes every
-    document once and yields the point estimate. An iteration that draws none of a leg's documents
-    has no row for it.
+    batch, and only tasks x legs x iterations sums are shuffled. The weights of a few documents are
+    one matrix, made once for all legs, and their sums are its product with the legs' columns; no
+    row per draw is made. Iteration ``PLAIN`` takes every document once and yields the point
+    estimate. An iteration that draws none of a leg's documents has no row for it.
     """
     docs = per_cluster(outcomes, [*by, "parser"], cluster)
-    wide = docs.groupBy(*by, cluster).agg(
-        F.collect_list(F.struct("parser", "n", "c")).alias("legs")
-    )
-    draws = spread(wide).withColumn("it", F.explode(iterations(iters, PLAIN)))
-    draws = with_cluster_draw(draws, "_h", seed, F.greatest("it", F.lit(0)), cluster)
-    times = sum(((F.col("_h") >= t).cast("bigint") for t in POISSON), F.lit(0).cast("bigint"))
-    draws = draws.withColumn("_w", F.when(F.col("it") == PLAIN, F.lit(1)).otherwise(times))
-    # Weights of zero are dropped after the sums: a filter on the weight itself would be pushed
-    # below the steps of the draw and repeat them many times over.
-    return draws.select(*by, "it", "_w", F.inline("legs")).groupBy(*by, "parser", "it").agg(
-        F.sum(F.col("_w") * F.col("n")).alias("n"), F.sum(F.col("_w") * F.col("c")).alias("c"),
-        count_if(F.col("_w") > 0).alias("n_docs"),
-    ).where("n_docs > 0")
+    names = [f"_b{i}" for i in range(len(by))]
+    wide = docs.groupBy(*by, cluster).agg(F.collect_list(F.struct("parser", "n", "c")).alias("legs"))
+    first, second = cluster_words(cluster)
+    legs = F.col("legs")
+    wide = spread(wide).select(
+        *[F.col(c).alias(n) for c, n in zip(by, names)], first.alias("first"), second.alias("second"),
+        *[legs[c].alias(c) for c in ("parser", "n", "c")],
+    )
+    keys = [*wide.schema.fields[: len(by)], docs.schema["parser"]]
+    made = StructType([*keys, *[StructField(c, LongType()) for c in ("it", "n", "c", "n_docs")]])
+    sums = wide.mapInArrow(partial(_weighted_sums, names, iters, seed), made)
+    return sums.groupBy(*names, "parser", "it").agg(
+        *[F.sum(c).alias(c) for c in ("n", "c", "n_docs")]
+    ).where("n_docs > 0").select(*[F.col(n).alias(c) for c, n in zip(by, names)], "parser", "it", "n", "c", "n_docs")
+
+
+def poisson_weights(first: np.ndarray, second: np.ndarray, iters: int, seed: int) -> np.ndarray:
+    """Weights (documents x iterations): Poisson values of :func:`hashing.with_cluster_draw`."""
+    h = mix_draws(first[:, None] + np.arange(iters, dtype=np.uint32), second[:, None], seed)
+    weights = np.zeros(h.shape, dtype=np.uint8)
+    for t in POISSON:
+        weights += h >= np.uint32(t)
+    return weights
+
+
+def _weighted_sums(names: list[str], iters: int, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's sums per (group, leg, iteration), each group's documents times their weights."""
+    held: dict[tuple, np.ndarray] = {}
+    its = np.arange(PLAIN, iters, dtype=np.int64)
+
+    def rows(schema: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+        for key, total in held.items():
+            seen = total[2] > 0
+            n = int(seen.sum())
+            keys = [pa.repeat(pa.scalar(v, t), n) for v, t in zip(key, schema)]
+            columns = [*keys, pa.array(its[seen]), *[pa.array(total[i][seen]) for i in range(3)]]
+            yield pa.RecordBatch.from_arrays(columns, names=[*names, "parser", "it", "n", "c", "n_docs"])
+        held.clear()
+
+    types: list[pa.DataType] = []
+    for batch in batches:
+        types = [*[batch.column(c).type for c in names], batch.column("parser").type.value_type]
+        groups = np.zeros(batch.num_rows, dtype=np.int64)
+        for c in names:
+            codes = pc.dictionary_encode(batch.column(c), null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            groups = np.unique(groups * (int(codes.max()) + 1) + codes, return_inverse=True)[1]
+        order = np.argsort(groups, kind="stable")
+        ends = np.append(np.flatnonzero(np.diff(groups[order])) + 1, len(order))
+        start = 0
+        for end in ends:
+            for at in range(start, end, CHUNK):
+                part = batch.take(pa.array(order[at : min(at + CHUNK, end)]))
+                group = tuple(part.column(c)[0].as_py() for c in names)
+                for leg, total in _chunk_sums(part, iters, seed):
+                    key = (*group, leg)
+                    if key in held:
+                        held[key] += total
+                    else:
+                        held[key] = total
+                if len(held) * 24 * len(its) > HELD:
+                    yield from rows(types)
+            start = end
+    yield from rows(types)
+
+
+def _chunk_sums(part: pa.RecordBatch, iters: int, seed: int) -> Iterator[tuple[object, np.ndarray]]:
+    """Legs of a few documents of one group with n, c and documents drawn, the plain iteration first."""
+    lists = part.column("parser")
+    legs = pc.dictionary_encode(lists.flatten(), null_encoding="encode")
+    at = (np.repeat(np.arange(len(part)), pc.list_value_length(lists).to_numpy()), legs.indices.to_numpy())
+    sums = np.zeros((3, len(part), len(legs.dictionary)), dtype=np.int64)
+    sums[0][at], sums[1][at] = (part.column(c).flatten().to_numpy() for c in ("n", "c"))
+    sums[2][at] = 1
+    first, second = (pc.fill_null(part.column(c), 0).to_numpy().astype(np.uint32) for c in ("first", "second"))
+    weights = poisson_weights(first, second, iters, seed)
+    # A document without a name is never drawn.
+    weights[~part.column("first").is_valid().to_numpy(zero_copy_only=False)] = 0
+    times = np.ascontiguousarray(weights.T, dtype=np.float64)
+    exact = int(sums[0].sum()) * len(POISSON) < 2**53
+    drawn = lambda w, x: (w @ x.astype(np.float64)).astype(np.int64) if exact else w.astype(np.int64) @ x
+    fields = drawn(times, np.concatenate([sums[0], sums[1]], axis=1))
+    docs = drawn((times > 0).astype(np.float64), sums[2])
+    k = len(legs.dictionary)
+    for j, leg in enumerate(legs.dictionary.to_pylist()):
+        total = np.empty((3, iters + 1), dtype=np.int64)
+        total[:, 0] = sums[:, :, j].sum(axis=1)
+        total[0, 1:], total[1, 1:], total[2, 1:] = fields[:, j], fields[:, k + j], docs[:, j]
+        yield leg, total
 
 
 def interval(

@@ -2,8 +2,11 @@
 
 import numpy as np
 
+from pyspark.sql import functions as F
+
 from gradeline.functions import pages as pg
-from gradeline.operators import layout
+from gradeline.functions.hashing import with_cluster_draw
+from gradeline.operators import layout, stats
 from gradeline.plans import page_layout
 
 
@@ -91,3 +94,21 @@ def test_stored_rows_are_scored_again_without_joining_them_to_themselves(spark,
     plan = accuracy.rescore(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
     # Lines to orders for stored rows and bank, bank to answers, and two tables of one row per system.
     assert plan.count("Join ") <= 5
+
+
+def test_resampling_makes_no_row_per_draw(spark):
+    """Weights are made as a matrix where the documents lie, and equal those of the column steps."""
+    rows = [(f"d{i}" if i else None, leg, dom, s) for i in range(60) for leg in ("a", "b", None) for dom in ("x", None)
+            for s in (["correct"] * (i % 3) + ["error"]) if (i + len(leg or "")) % 5]
+    out = spark.createDataFrame(rows, "doc string, parser string, domain string, status string")
+    got = stats.resample(out, ["domain"], iters=9, seed=3)
+    assert "Generate explode(sequence" not in got._jdf.queryExecution().optimizedPlan().toString()
+    docs = stats.per_cluster(out, ["domain", "parser"]).withColumn("it", F.explode(stats.iterations(9, stats.PLAIN)))
+    docs = with_cluster_draw(docs, "h", 3, F.greatest("it", F.lit(0)), "doc")
+    want = {}
+    for r in docs.collect():
+        w = 1 if r.it == stats.PLAIN else sum(r.h >= t for t in stats.POISSON) if r.h is not None else 0
+        total = want.setdefault((r.domain, r.parser, r.it), [0, 0, 0])
+        for i, v in enumerate((w * r.n, w * r.c, int(w > 0))):
+            total[i] += v
+    assert {(r.domain, r.parser, r.it): [r.n, r.c, r.n_docs] for r in got.collect()} == {k: v for k, v in want.items() if v[2]}
