@@ -7,6 +7,8 @@ Rounding is half-to-even.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,8 +136,8 @@ def last_entries(entries: Column, key: str) -> Column:
     The array is sorted by key and place once, then each entry is compared with the one after it.
     """
     placed = F.array_sort(F.transform(entries, lambda e, i: F.struct(e[key].alias("k"), i.alias("i"))))
-    after = F.zip_with(placed, F.slice(placed, F.lit(2), F.greatest(F.size(placed) - 1, F.lit(0))), lambda a, b: F.struct(
-        a["k"].alias("k"), a["i"].alias("i"), b["k"].alias("next")))
+    after = once(placed, lambda own: F.zip_with(own, F.slice(own, F.lit(2), F.greatest(F.size(own) - 1, F.lit(0))), lambda a, b: F.struct(
+        a["k"].alias("k"), a["i"].alias("i"), b["k"].alias("next"))))
     kept = F.filter(after, lambda e: e["k"].isNotNull() & ~e["k"].eqNullSafe(e["next"]))
     return F.transform(kept, lambda e: F.get(entries, e["i"]))
 
@@ -613,27 +615,38 @@ def joined(parts: Column, glue: str = "\n\n") -> Column:
     return F.array_join(F.filter(parts, lambda p: F.coalesce(p != "", F.lit(False))), glue)
 
 
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often ``use`` names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def grid_table(cells: Column) -> Column:
-    """Markdown of ``array<struct<r,c,text>>``, places counted from one; the last cell wins."""
-    n_rows = F.array_max(F.transform(cells, lambda c: c["r"]))
-    n_cols = F.array_max(F.transform(cells, lambda c: c["c"]))
+    """Markdown of ``array<struct<r,c,text>>``, places counted from one; the last cell wins.
+
+    Cells are worked out once, and each place looks only at the cells of its row.
+    """
 
-    def line(r: Column) -> Column:
+    def line(row: Column, n_cols: Column) -> Column:
         values = F.transform(
             F.sequence(F.lit(1), n_cols),
-            lambda c: F.coalesce(
-                F.try_element_at(
-                    F.filter(cells, lambda x: (x["r"] == r) & (x["c"] == c)), F.lit(-1)
-                )["text"],
-                F.lit(""),
-            ),
+            lambda c: F.coalesce(F.try_element_at(F.filter(row, lambda x: x["c"] == c), F.lit(-1))["text"], F.lit("")),
         )
         return F.concat(F.lit("| "), F.array_join(values, " | "), F.lit(" |"))
 
-    lines = F.transform(F.sequence(F.lit(1), n_rows), line)
-    rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), n_cols), "|"), F.lit("|"))
-    body = F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size(lines)))
-    return F.when(F.size(cells) > 0, F.array_join(body, "\n")).otherwise("")
+    def grid(own: Column, n_cols: Column) -> Column:
+        n_rows = F.array_max(F.transform(own, lambda c: c["r"]))
+        rows = F.transform(F.sequence(F.lit(1), n_rows), lambda r: F.filter(own, lambda x: x["r"] == r))
+        rule = F.concat(F.lit("|"), F.array_join(F.array_repeat(F.lit("---"), n_cols), "|"), F.lit("|"))
+        return once(
+            F.transform(rows, lambda row: line(row, n_cols)),
+            lambda lines: F.array_join(
+                F.concat(F.slice(lines, 1, 1), F.array(rule), F.slice(lines, F.lit(2), F.size(lines))), "\n"),
+        )
+
+    return once(cells, lambda own: F.when(
+        F.size(own) > 0,
+        once(F.array_max(F.transform(own, lambda c: c["c"])), lambda n_cols: grid(own, n_cols)),
+    ).otherwise(""))
 
 
 def textract_markdown(df: DataFrame, payload: str, out: str = "markdown") -> DataFrame:
@@ -695,16 +708,15 @@ def textract_markdown(df: DataFrame, payload: str, out: str = "markdown") -> Dat
             ),
             "\n",
         )
-        text = F.when(F.size(mine) > 0, "").otherwise(text)
         mark = F.coalesce(look_up(LAYOUT_HEADINGS, b["BlockType"]), F.lit(""))
-        text = F.when(text != "", F.concat(mark, text)).otherwise("")
+        headed = once(text, lambda t: F.when(t != "", F.concat(mark, t)).otherwise(""))
         return F.when(b["BlockType"].isin(SKIPPED_LAYOUT), "").otherwise(
-            joined(F.concat(F.array(text), mine))
+            once(mine, lambda m: joined(F.concat(F.array(F.when(F.size(m) > 0, "").otherwise(headed)), m)))
         )
 
     anchored = F.flatten(F.transform(layouts, child_ids))
     rest = F.transform(
-        F.filter(tables, lambda t: ~F.array_contains(anchored, t["Id"])),
+        once(anchored, lambda held: F.filter(tables, lambda t: ~F.array_contains(held, t["Id"]))),
         lambda t: F.element_at(F.col("_md"), t["Id"]),
     )
     bare = F.transform(

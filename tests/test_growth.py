@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from gradeline.functions import pages as pg
 from gradeline.functions.hashing import with_cluster_draw
-from gradeline.operators import layout, stats
+from gradeline.operators import layout, payloads, stats
 from gradeline.plans import page_layout
 
 
@@ -112,3 +112,12 @@ def test_resampling_makes_no_row_per_draw(spark):
         for i, v in enumerate((w * r.n, w * r.c, int(w > 0))):
             total[i] += v
     assert {(r.domain, r.parser, r.it): [r.n, r.c, r.n_docs] for r in got.collect()} == {k: v for k, v in want.items() if v[2]}
+
+
+def test_cells_of_a_table_are_worked_out_once(spark):
+    """Not again for every place of the grid; gaps stay empty and the last cell of a place wins."""
+    assert str(payloads.grid_table(F.col("heavy"))).count("heavy") == 1
+    rows = [([(1, 1, "a"), (3, 2, "x"), (1, 1, "b"), (2, 2, None)],), ([],), ([(1, 1, "one")],)]
+    df = spark.createDataFrame(rows, "cells array<struct<r:int,c:int,text:string>>")
+    got = [r.md for r in df.select(payloads.grid_table(F.col("cells")).alias("md")).collect()]
+    assert got == ["| b |  |\n|---|---|\n|  |  |\n|  | x |", "", "| one |\n|---|"]
