@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from gradeline.functions import pages as pg
 from gradeline.functions.hashing import with_cluster_draw
 from gradeline.operators import layout, payloads, stats
-from gradeline.plans import page_layout
+from gradeline.plans import page_layout, relations
 
 
 def test_pages_are_made_where_their_lines_lie(spark, sf):
@@ -121,3 +121,15 @@ def test_cells_of_a_table_are_worked_out_once(spark):
     df = spark.createDataFrame(rows, "cells array<struct<r:int,c:int,text:string>>")
     got = [r.md for r in df.select(payloads.grid_table(F.col("cells")).alias("md")).collect()]
     assert got == ["| b |  |\n|---|---|\n|  |  |\n|  | x |", "", "| one |\n|---|"]
+
+
+def test_parts_of_line_work_grow_with_the_table(spark, sf, monkeypatch):
+    """A larger table gets more parts, not larger ones, and scores by class need no other matching."""
+    monkeypatch.setattr(relations, "LINES_PER_TASK", 100)
+    lines = relations.table(spark, sf, "lineitem").count()
+    assert relations.line_parts(spark, sf) == -(-lines // 100) > relations.shuffle_parts(spark)
+    rows = page_layout.pairs(spark, sf)
+    dealt = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert "RepartitionByExpression [l_orderkey" in dealt and f"], {-(-lines // 100)}" in dealt
+    plan = layout.data_set_score(rows, ["processor"])["macro"]._jdf.queryExecution().optimizedPlan().toString()
+    assert "matched" not in plan and "classes" in plan
