@@ -8,6 +8,7 @@ from gradeline.functions import pages as pg
 from gradeline.functions.hashing import with_cluster_draw
 from gradeline.operators import layout, payloads, stats
 from gradeline.plans import page_layout, relations
+from gradeline.session import written
 
 
 def test_pages_are_made_where_their_lines_lie(spark, sf):
@@ -133,3 +134,13 @@ def test_parts_of_line_work_grow_with_the_table(spark, sf, monkeypatch):
     assert "RepartitionByExpression [l_orderkey" in dealt and f"], {-(-lines // 100)}" in dealt
     plan = layout.data_set_score(rows, ["processor"])["macro"]._jdf.queryExecution().optimizedPlan().toString()
     assert "matched" not in plan and "classes" in plan
+
+
+def test_pages_are_matched_once_for_average_precision(spark, sf, monkeypatch):
+    """The walk, its cut points and the names of the classes read what one pass of the kernel left."""
+    kept = []
+    monkeypatch.setattr(layout, "written", lambda df, name: kept.append(name) or written(df, name))
+    hits = layout.greedy_hits(page_layout.pairs(spark, sf))
+    ap = layout.average_precision(hits, page_layout.truth(spark, sf))
+    assert kept == ["hits"]
+    assert "EvalPython" not in ap._jdf.queryExecution().executedPlan().toString() and ap.count() > 0
