@@ -57,7 +57,15 @@ def field_outcomes(bank: DataFrame, scored: DataFrame, systems) -> DataFrame:
         "qid", "parser", "error", "has_answer", "is_object", "field_matches", "null_keys",
         F.lit(True).alias("has_row"),
     )
-    rows = cells(bank, stored, systems)
+    return expand_outcomes(cells(bank, stored, systems)).drop("at")
+
+
+def expand_outcomes(rows: DataFrame, *carry: str, outer: bool = False) -> DataFrame:
+    """:func:`field_outcomes` of joined cells, with the place ``at`` of each gold key.
+
+    ``carry`` names columns of the cell that go along with each field; with ``outer`` a cell without
+    gold fields keeps one row, whose ``at`` is NULL.
+    """
     rows = rows.withColumn(
         "scorable",
         F.coalesce(
@@ -65,10 +73,11 @@ def field_outcomes(bank: DataFrame, scored: DataFrame, systems) -> DataFrame:
             F.lit(False),
         ),
     )
-    keep = [c for c in ("doc", "domain", "capabilities") if c in bank.columns]
+    keep = [c for c in ("doc", "domain", "capabilities") if c in rows.columns]
+    expand = F.posexplode_outer if outer else F.posexplode
     flat = rows.select(
-        "parser", "qid", *keep, "scorable", "field_matches", "null_keys",
-        F.explode("fields").alias("field"),
+        "parser", "qid", *keep, *carry, "scorable", "field_matches", "null_keys",
+        expand("fields").alias("at", "field"),
     )
     key = F.col("field.key")
     hit = F.when(
@@ -80,10 +89,10 @@ def field_outcomes(bank: DataFrame, scored: DataFrame, systems) -> DataFrame:
         .otherwise("incorrect")
     )
     return flat.select(
-        "parser", "qid", key.alias("key"), *keep,
+        "parser", "qid", key.alias("key"), *keep, *carry,
         F.col("field.gold_kind").alias("gold_kind"),
         F.col("field.gold_true").alias("gold_true"),
-        status.alias("status"),
+        status.alias("status"), "at",
     )
 
 

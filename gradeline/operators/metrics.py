@@ -268,11 +268,11 @@ def strict_accuracy(bank: DataFrame, scored: DataFrame, systems) -> DataFrame:
     rows = across_systems(bank.select("qid"), systems).join(
         scored.select("qid", "parser", "match"), ["qid", "parser"], "left"
     )
-    return rows.groupBy("parser").agg(
-        share(count_if(F.coalesce("match", F.lit(False))), F.count("*")).alias(
-            "strict_question_acc"
-        )
-    )
+    return rows.groupBy("parser").agg(strict_share())
+
+
+def strict_share() -> Column:
+    return share(count_if(F.coalesce("match", F.lit(False))), F.count("*")).alias("strict_question_acc")
 
 
 def error_class(has_row: Column) -> Column:
@@ -383,12 +383,16 @@ def row_coverage(bank: DataFrame, scored: DataFrame, systems) -> DataFrame:
     rows = across_systems(bank.select("qid"), systems).join(
         scored.select("qid", "parser", F.lit(True).alias("has_row")), ["qid", "parser"], "left"
     )
+    return rows.groupBy("parser").agg(*coverage())
+
+
+def coverage() -> list[Column]:
     seen = count_if(F.col("has_row").isNotNull())
-    return rows.groupBy("parser").agg(
+    return [
         seen.alias("n_seen"),
         F.count("*").alias("n_expected"),
         (seen < F.count("*")).alias("incomplete"),
-    )
+    ]
 
 
 def parse_run_summary(meta: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from gradeline.functions.ratio import count_if, share
 from gradeline.functions.text import safe_entry_name
 from gradeline.operators import metrics, stats
-from gradeline.operators.cells import field_outcomes, section_of
+from gradeline.operators.cells import cells, expand_outcomes, section_of
 from gradeline.session import written
 
 # First public day of the data set, and the family of the answer extractor.
@@ -133,19 +133,28 @@ def row_metrics(
 ) -> DataFrame:
     """The wide row per system: checkbox, blank and general accuracy, coverage, intervals, verdict.
 
-    The outcomes are made once and written; one aggregate takes the point values and the checkbox
-    confusion (tt, tf, ft, ff, err) from them, one resampling both intervals, and one the verdict.
+    Bank and rows are joined once, and the outcomes written beside what their cells hold; one
+    aggregate takes the point values and the checkbox confusion (tt, tf, ft, ff, err) from them, one
+    the cells' values from each cell's first row, one resampling both intervals, and one the verdict.
     ``error_classes`` maps the classes of a system's cells to their counts.
     """
     s, kind = F.col("status"), F.col("gold_kind")
-    tagged = metrics.has_any_tag(F.col("capabilities"), metrics.CHECKBOX_TAGS)
-    out = written(
-        field_outcomes(bank, scored, systems).select(
+    stored = scored.select(
+        "qid", "parser", "error", "error_class", "has_answer", "is_object", "field_matches", "null_keys",
+        "match", F.lit(True).alias("has_row"),
+    )
+    gold = bank.select("qid", "doc", metrics.has_any_tag(F.col("capabilities"), metrics.CHECKBOX_TAGS).alias("tagged"), "fields")
+    joined = cells(gold, stored, systems).withColumn("class", metrics.error_class(F.coalesce("has_row", F.lit(False))))
+    kept = written(
+        expand_outcomes(joined, "tagged", "match", "has_row", "class", outer=True).select(
             "parser", "qid", "key", "doc", "gold_kind", "gold_true", "status",
-            F.when(tagged & (kind == "bool"), "checkbox").when(kind == "null", "null").alias("flag"),
+            F.when(F.col("tagged") & (kind == "bool"), "checkbox").when(kind == "null", "null").alias("flag"),
+            "at", "match", "has_row", "class",
         ),
         "row-metrics",
     )
+    out = kept.where(F.col("at").isNotNull())
+    once = kept.where(F.coalesce("at", F.lit(0)) == 0)
     box, null = (F.coalesce(F.col("flag") == f, F.lit(False)) for f in ("checkbox", "null"))
     right, off = s == "correct", s == "incorrect"
     t = F.coalesce("gold_true", F.lit(False))
@@ -168,16 +177,16 @@ def row_metrics(
     bounds = both.groupBy("parser").agg(*[
         F.max(F.when(F.col("flag") == f, F.col(c))).alias(f"{f}_{c}") for f in ("checkbox", "null") for c in ("lo", "hi")
     ])
+    # Each system has all gold fields, so those of one are the bank's.
+    golds = out.where(box & (F.col("parser") == kept.agg(F.min("parser")).scalar()))
     beats = stats.beats_majority(
-        out.where(box), metrics.majority_leg(metrics.boolean_golds(bank)), iters=iters, seed=seed,
-        alpha=alpha,
+        out.where(box), metrics.majority_leg(golds), iters=iters, seed=seed, alpha=alpha,
     ).select("parser", F.col("verdict").alias("beats_majority"))
-    classes = metrics.error_class_counts(bank, scored, systems).groupBy("parser").agg(
+    classes = once.groupBy("parser", "class").agg(F.count("*").alias("n")).groupBy("parser").agg(
         F.map_from_entries(F.collect_list(F.struct("class", "n"))).alias("error_classes")
     )
     return (
-        wide.join(metrics.strict_accuracy(bank, scored, systems), "parser")
-        .join(metrics.row_coverage(bank, scored, systems), "parser")
+        wide.join(once.groupBy("parser").agg(metrics.strict_share(), *metrics.coverage()), "parser")
         .join(classes, "parser", "left")
         .join(bounds, "parser", "left")
         .join(beats, "parser", "left")

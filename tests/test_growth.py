@@ -144,3 +144,20 @@ def test_pages_are_matched_once_for_average_precision(spark, sf, monkeypatch):
     ap = layout.average_precision(hits, page_layout.truth(spark, sf))
     assert kept == ["hits"]
     assert "EvalPython" not in ap._jdf.queryExecution().executedPlan().toString() and ap.count() > 0
+
+
+def test_wide_rows_join_bank_and_cells_once(spark, sf):
+    """All values of a system come from one written join, cells without gold fields too."""
+    from gradeline.operators import metrics, reports
+
+    bank, scored = relations.bank(spark, sf), relations.scored(spark, sf)
+    bank = bank.withColumn("fields", F.when(F.col("q") % 5 == 0, F.slice("fields", 1, 0)).otherwise(F.col("fields")))
+    rows = reports.row_metrics(bank, scored, relations.SYSTEMS, iters=20)
+    assert "l_orderkey" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.parser: r for r in rows.collect()}
+    assert len(got) == len(relations.SYSTEMS)
+    for want in (metrics.strict_accuracy, metrics.row_coverage):
+        for r in want(bank, scored, relations.SYSTEMS).collect():
+            assert all(got[r.parser][c] == r[c] for c in r.asDict())
+    for r in metrics.error_class_counts(bank, scored, relations.SYSTEMS).collect():
+        assert got[r.parser].error_classes[r["class"]] == r.n
