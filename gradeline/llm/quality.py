@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 from zlib import crc32
@@ -21,8 +21,8 @@ from gradeline.llm.tokens import Bounded
 UNITS, DIM, SIGNS, REACH = 1 << 13, 48, 6, 3
 #: Slices in which partial vector sums travel.
 PARTS = 16
-#: Units pooled at once in a worker.
-CHUNK = 1 << 17
+#: Units pooled at once in a worker, and units whose pairs are counted at once.
+CHUNK, PAIRED = 1 << 17, 1 << 19
 
 _SHAPES = [(re.compile(p), r) for p, r in (
     (r"[A-Z\xc0-\xd6\xd8-\xde]+", "A"), (r"[a-z\xdf-\xf6\xf8-\xff]+", "a"), (r"[0-9]+", "0"), (r"([^A-Za-z0-9])\1+", r"\1"),
@@ -61,29 +61,38 @@ def index_vectors() -> tuple[np.ndarray, np.ndarray]:
     return places, rng.choice([-1.0, 1.0], size=(UNITS, SIGNS))
 
 
-def context_sums(texts: list[bytes], places: np.ndarray, signs: np.ndarray) -> np.ndarray:
-    """Sum, for each unit of the texts, of the index vectors of the units near it in its text."""
+def context_sums(texts: Iterable[bytes], places: np.ndarray, signs: np.ndarray) -> np.ndarray:
+    """Sum, for each unit of the texts, of the index vectors of the units near it in its text.
+
+    Equal pairs of near units are counted first, as a few make up most of them; each distinct pair
+    then adds its count times the signs. All sums are whole numbers, so their order does not matter.
+    """
     total = np.zeros((UNITS + 1) * DIM)
     # Rows of zeros for a unit that parts texts, so that all are gone through at once.
     places = np.vstack([places, np.zeros((1, SIGNS), places.dtype)])
     signs = np.vstack([signs, np.zeros((1, SIGNS))])
-    gap_units = np.full(REACH, UNITS)
+    gap_units = np.full(REACH, UNITS, np.uint32)
+    base = np.uint32(UNITS + 1)
     held: list[np.ndarray] = []
     size = 0
 
     def add(seq: np.ndarray) -> None:
-        for at in range(0, len(seq), CHUNK):
-            part = seq[at : at + CHUNK + REACH]
-            for gap in range(1, REACH + 1):
-                a, b = part[:-gap][:CHUNK], part[gap:][:CHUNK]
-                for k in range(SIGNS):
-                    total[:] += np.bincount(a * DIM + places[b, k], signs[b, k], len(total))
-                    total[:] += np.bincount(b * DIM + places[a, k], signs[a, k], len(total))
+        for at in range(0, len(seq), PAIRED):
+            part = seq[at : at + PAIRED + REACH]
+            near = [(part[:-gap][:PAIRED], part[gap:][:PAIRED]) for gap in range(1, REACH + 1)]
+            keys = np.concatenate([np.minimum(a, b) * base + np.maximum(a, b) for a, b in near])
+            keys.sort()
+            first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])[: len(keys)])
+            times = np.diff(np.append(first, len(keys)))
+            a, b = (x.astype(np.int64) for x in np.divmod(keys[first], base))
+            for k in range(SIGNS):
+                total[:] += np.bincount(a * DIM + places[b, k], times * signs[b, k], len(total))
+                total[:] += np.bincount(b * DIM + places[a, k], times * signs[a, k], len(total))
 
     for data in texts:
-        held += [units(data)[0], gap_units]
+        held += [units(data)[0].astype(np.uint32), gap_units]
         size += len(held[-2]) + REACH
-        if size >= CHUNK:
+        if size >= PAIRED:
             add(np.concatenate(held))
             held, size = [], 0
     if held:
@@ -172,10 +181,8 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "qu
     rows = docs.select(ident, F.coalesce(text, F.lit("")).cast("binary").alias("text")).join(keep, ident)
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        places, signs = index_vectors()
-        total = np.zeros(UNITS * DIM)
-        for batch in batches:
-            total += context_sums(batch.column(0).to_pylist(), places, signs)
+        texts = (data for batch in batches for data in batch.column(0).to_pylist())
+        total = context_sums(texts, *index_vectors())
         yield pa.RecordBatch.from_arrays(
             [pa.array(range(PARTS), pa.int32()), pa.array([x.tobytes() for x in np.split(total, PARTS)], pa.binary())],
             ["part", "sums"],

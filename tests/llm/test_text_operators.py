@@ -487,6 +487,21 @@ def test_word_vectors_cover_rows_without_a_label(spark):
     assert np.array_equal(quality.context_sums(texts, places, signs), alone)
 
 
+def test_equal_pairs_of_near_units_are_summed_once(monkeypatch):
+    """A text that repeats its words adds one count per distinct pair, not one per place."""
+    places, signs = quality.index_vectors()
+    text = b"alpha Beta 17 " * 3000
+    seq, want = quality.units(text)[0], np.zeros((quality.UNITS, quality.DIM))
+    for gap in range(1, quality.REACH + 1):
+        for a, b in ((seq[:-gap], seq[gap:]), (seq[gap:], seq[:-gap])):
+            for k in range(quality.SIGNS):
+                np.add.at(want, (a, places[b, k]), signs[b, k])
+    added, plain = [], np.bincount
+    monkeypatch.setattr(np, "bincount", lambda x, *a: added.append(len(x)) or plain(x, *a))
+    assert np.array_equal(quality.context_sums([text], places, signs), want.ravel())
+    assert max(added) <= 200
+
+
 def test_quality_edges(spark, odd_docs, no_docs):
     labels = spark.createDataFrame([(1, 1), (3, 0), (5, None), (None, 1), (7, 0)], "doc_id long, quality int")
     model = quality.fit(odd_docs, labels)
