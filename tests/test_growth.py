@@ -161,3 +161,34 @@ def test_wide_rows_join_bank_and_cells_once(spark, sf):
             assert all(got[r.parser][c] == r[c] for c in r.asDict())
     for r in metrics.error_class_counts(bank, scored, relations.SYSTEMS).collect():
         assert got[r.parser].error_classes[r["class"]] == r.n
+
+
+def test_verdicts_run_compiled(spark, sf):
+    """No generated method of the field verdicts is longer than what the JVM compiles (8,000 bytes)."""
+    import re
+
+    from gradeline.plans import accuracy
+
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        plan = accuracy.field_verdicts(spark, sf)._jdf.queryExecution().executedPlan()
+        debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+        sizes = [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", debug.codegenString(plan))]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert 0 < max(sizes) < 8000
+
+
+def test_bare_text_is_the_normal_form_without_space(spark):
+    """One form of each side decides as the normal form and its spaceless form did."""
+    import random
+
+    from gradeline.functions import text
+
+    rng = random.Random(3)
+    parts = ["a", "B", " ", "\u00a0", "\u2009", "\t", "*", "**", "_", "__", "`", "<", ">", "<br/>", "<b>", "</i >", "-", "\u2013", "\u2212", "/", ":", ",", "\u2019", "\u201d", "\u00e9", "\U0001f600"]
+    rows = [("".join(rng.choice(parts) for _ in range(rng.randint(0, 9))),) for _ in range(3000)]
+    df = spark.createDataFrame(rows, "t string")
+    same = (text.bare_text(F.col("t")) == text.remove_space(text.normalize_text(F.col("t"))))
+    assert df.where(~same).isEmpty()
