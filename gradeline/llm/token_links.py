@@ -28,10 +28,17 @@ from pyspark.sql import functions as F
 from gradeline.llm.common import arrow_bounds, written
 from gradeline.llm.tokens import byte_letters
 
-#: Pieces of a lane, characters of text merged at once, characters of text of a block.
-LANE, AT_ONCE, BLOCK = 600, 4 << 20, 4 << 20
+#: Pieces of a lane, characters of text read at once, characters of text of a block.
+LANE, AT_ONCE, BLOCK = 150, 4 << 20, 4 << 20
+#: Pieces whose tokens are merged at once, and distinct pieces that the libraries read at once: what a worker
+#: holds beside its text follows these numbers.
+PART, READ = 170_000, 2048
 #: Documents of a block.
 BLOCK_DOCS = 50_000
+#: A block is a row of megabytes. Parquet's writer would look at its buffer every 100 rows only, and its
+#: reader decodes a row group's blocks together: row groups of a few blocks keep both small, however many
+#: blocks a task has.
+FEW_BLOCKS = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 1}
 #: Tokens beyond which a lane is cut at ends that the two sequences happen to share.
 LONG_LANE = 4096
 #: A single blank between such characters starts a token of either kind.
@@ -78,20 +85,24 @@ class Sides:
         a blank and the piece; for either tokenizer the ids of all distinct pieces and how many each has."""
         coded = pa.array(pieces, pa.string()).dictionary_encode()
         distinct = coded.dictionary.to_pylist()
-        whole = [" " + p for p in distinct]
+        odd = np.zeros(len(distinct), dtype=bool)
+        parts: list[tuple[list, list]] = [([], []), ([], [])]
         # Many short-lived lists: looking for cycles among them would take longer than they live.
         gc.disable()
         try:
-            found = [e.ids for e in self.a.encode_batch_fast(whole, add_special_tokens=False)], self.b.encode(distinct, num_threads=1)
-            odd = np.zeros(len(distinct), dtype=bool)
-            sides = []
-            for ids, known in zip(found, (self.a_bytes, self.b_bytes)):
-                flat = list(chain.from_iterable(ids))
-                if b"".join(map(known.__getitem__, flat)) != "".join(whole).encode():
-                    odd |= [b"".join([known[i] for i in own]) != p.encode() for own, p in zip(ids, whole)]
-                sides.append((np.array(flat, dtype=np.int64), np.fromiter(map(len, ids), np.int64, len(ids))))
+            for at in range(0, len(distinct), READ):
+                some = distinct[at : at + READ]
+                whole = [" " + p for p in some]
+                found = [e.ids for e in self.a.encode_batch_fast(whole, add_special_tokens=False)], self.b.encode(some, num_threads=1)
+                for ids, known, (flats, sizes) in zip(found, (self.a_bytes, self.b_bytes), parts):
+                    flat = list(chain.from_iterable(ids))
+                    if b"".join(map(known.__getitem__, flat)) != "".join(whole).encode():
+                        odd[at : at + READ] |= [b"".join([known[i] for i in own]) != p.encode() for own, p in zip(ids, whole)]
+                    flats.append(np.array(flat, dtype=np.int64))
+                    sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
         finally:
             gc.enable()
+        sides = [(np.concatenate(flats), np.concatenate(sizes)) for flats, sizes in parts]
         return coded.indices.to_numpy(), odd, sides
 
 
@@ -193,16 +204,26 @@ class Block:
         self.pending, self.waiting = [], 0
         if not lanes:
             return
-        number, odd, sides = both.read([p for _, pieces in lanes for p in pieces])
-        lane = np.repeat(np.arange(len(lanes)), [len(pieces) for _, pieces in lanes])
+        per_lane = np.array([len(pieces) for _, pieces in lanes])
         docs = np.array([doc for doc, _ in lanes])
-        for doc in np.unique(docs[lane[odd[number]]]):
+        number, odd, sides = both.read(list(chain.from_iterable(pieces for _, pieces in lanes)))
+        del lanes
+        for doc in np.unique(np.repeat(docs, per_lane)[odd[number]]):
             self.void[doc] = True
+        ends = np.cumsum(per_lane)
+        cuts = np.unique(np.append(np.searchsorted(ends, np.arange(PART, ends[-1], PART)) + 1, len(docs)))
+        for i, j in zip([0, *cuts], cuts):
+            self._merge_part(number[ends[i] - per_lane[i] : ends[j - 1]], sides, docs[i:j], per_lane[i:j])
+
+    def _merge_part(self, number: np.ndarray, sides: list, docs: np.ndarray, per_lane: np.ndarray) -> None:
+        """Merge some of the lanes that were read: numbers of their pieces, and their documents."""
+        both = self.both
         good = ~np.array(self.void, dtype=bool)[docs]
-        number, lane = number[good[lane]], (np.cumsum(good) - 1)[lane[good[lane]]]
-        docs = docs[good]
+        number = number[np.repeat(good, per_lane)]
+        docs, per_lane = docs[good], per_lane[good]
         if not len(docs):
             return
+        lane = np.repeat(np.arange(len(docs)), per_lane)
         (a, per_a), (b, per_b) = (gathered(*side, number, lane, len(docs)) for side in sides)
         a_start, b_start = np.cumsum(per_a) - per_a, np.cumsum(per_b) - per_b
         a_size, b_size = both.a_size[a], both.b_size[b]
@@ -312,30 +333,29 @@ def align(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     """
     spark = docs.sparkSession
     arrow_bounds(spark)
-    blocks = written(blocks_of(docs, path_a, path_b), "token-blocks")
+    blocks = written(blocks_of(docs, path_a, path_b), "token-blocks", FEW_BLOCKS)
     counts = written(link_counts(blocks), "token-links")
-    own = blocks.select("block", F.posexplode("pairs").alias("at", "pair")).join(counts, "pair")
-    known = own.groupBy("block").agg(F.sort_array(F.collect_list(F.struct("at", "n", "best"))).alias("s"))
-    both = blocks.drop("pairs", "docs").join(known, "block", "left").select("*", F.col("s.n").alias("n"), F.col("s.best").alias("best")).drop("s")
+    own = blocks.select("block", F.posexplode("pairs").alias("at", "pair")).join(counts, "pair").select(F.col("block").alias("of"), "at", "n", "best")
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
     arrow = _arrow_schema(docs, schema)
 
-    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                row = batch.slice(i, 1)
-                ids, n_a, n_b, n_groups, n_links, shas, ends, places, times, n, best = (
-                    row.column(c).flatten() for c in ("ids", "n_a", "n_b", "n_groups", "n_links", "shas", "ends", "places", "times", "n", "best")
-                )
-                places, times, ends = places.to_numpy(), times.to_numpy().astype(np.int64), ends.to_numpy()
-                n, best = n.to_numpy(), best.to_numpy(zero_copy_only=False)
-
-                def per_doc(values: np.ndarray) -> pa.Array:
-                    sums = np.concatenate([[0], np.cumsum(values)])
-                    return pa.array(np.diff(sums[ends], prepend=0))
-
-                columns = [ids, n_a, n_b, n_groups, n_links, per_doc(times * best[places]), per_doc(times * n[places]), shas]
-                yield pa.RecordBatch.from_arrays(columns, schema=arrow)
-
-    return both.mapInArrow(total, schema)
+    def total(block: pa.Table, known: pa.Table) -> pa.Table:
+        """The documents of one block, given what is known of each pair of its dictionary."""
+        ids, n_a, n_b, n_groups, n_links, shas, ends, places, times = (
+            block.column(c).combine_chunks().flatten() for c in ("ids", "n_a", "n_b", "n_groups", "n_links", "shas", "ends", "places", "times")
+        )
+        places, times, ends = places.to_numpy(), times.to_numpy().astype(np.int64), ends.to_numpy()
+        at = known.column("at").to_numpy()
+        n, best = np.zeros(len(at), dtype=np.int64), np.zeros(len(at), dtype=bool)
+        n[at], best[at] = known.column("n").to_numpy(), known.column("best").to_numpy()
+
+        def per_doc(values: np.ndarray) -> pa.Array:
+            sums = np.concatenate([[0], np.cumsum(values)])
+            return pa.array(np.diff(sums[ends], prepend=0))
+
+        columns = [ids, n_a, n_b, n_groups, n_links, per_doc(times * best[places]), per_doc(times * n[places]), shas]
+        return pa.Table.from_arrays(columns, schema=arrow)
+
+    # Rows of pairs are sorted by block on disk where need be; gathered into arrays they would be objects in the heap.
+    return blocks.drop("pairs", "docs").groupBy("block").cogroup(own.groupBy("of")).applyInArrow(total, schema)

@@ -6,6 +6,7 @@ import random
 from collections import Counter, defaultdict
 from zlib import crc32
 
+import numpy as np
 import pytest
 
 from gradeline.llm import exact_topk, queries, repair, token_links
@@ -165,6 +166,29 @@ def floats(rows):
     return [(i, None if v is None else [None if x is None else float(np.float32(x)) for x in v]) for i, v in rows]
 
 
+def test_a_task_of_many_blocks_keeps_few_of_them(spark, monkeypatch):
+    """Blocks are written in small row groups, met by sorted rows, and read by the libraries a part at a time."""
+    import pyarrow.parquet as pq
+    from gradeline.llm.common import written
+
+    rng = np.random.default_rng(1)
+    rows = [(i, rng.integers(0, 1 << 30, 300_000).tolist()) for i in range(60)]
+    table = written(spark.createDataFrame(rows, "block long, places array<int>").coalesce(1), "few", token_links.FEW_BLOCKS)
+    files = [pq.ParquetFile(f.removeprefix("file:")) for f in table.inputFiles()]
+    groups = [f.metadata.row_group(i).num_rows for f in files for i in range(f.metadata.num_row_groups)]
+    assert sum(groups) == 60 and max(groups) <= 20
+    docs = spark.createDataFrame([(i, f"some words {i % 3} here") for i in range(9)], "doc_id long, text string")
+    plan = token_links.align(docs, *FILES)._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan
+    taken, merged = [], token_links.merged
+    monkeypatch.setattr(token_links, "merged", lambda a, *rest: taken.append(len(a)) or merged(a, *rest))
+    block = token_links.Block(token_links.sides(*FILES))
+    for i in range(8):
+        block.add(i, " ".join(f"word{n}" for n in range(i, 50_000)))
+    block.record(0)
+    assert len(taken) > 1 and max(taken) < 0.6 * sum(taken)
+
+
 @pytest.mark.parametrize("block", [60, 2048])
 def test_topk_with_ties_copies_and_odd_vectors(spark, monkeypatch, block):
     monkeypatch.setattr(exact_topk, "ROW_BLOCK", block)
