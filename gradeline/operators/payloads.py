@@ -299,6 +299,9 @@ def azure_blocks(df: DataFrame, payload: str, keys: list[str]) -> DataFrame:
 TEXTRACT_SCHEMA = """Blocks array<struct<Id:string,BlockType:string,Text:string,RowIndex:int,
   ColumnIndex:int,Geometry:struct<BoundingBox:struct<Left:double,Top:double,Width:double,
   Height:double>>,Relationships:array<struct<Type:string,Ids:array<string>>>>>"""
+#: What :func:`lines_in_tables` looks at: the parser skips the rest of each block.
+TEXTRACT_PLACES = """Blocks array<struct<Id:string,BlockType:string,Geometry:struct<BoundingBox:struct<
+  Left:double,Top:double,Width:double,Height:double>>>>"""
 
 
 def textract_blocks(
@@ -601,14 +604,20 @@ def _inside(inner: Column, outer: Column) -> Column:
 def lines_in_tables(blocks: Column) -> Column:
     """Ids of text lines whose box lies in a table's box."""
     at = lambda b: b["Geometry"]["BoundingBox"]
-    tables = F.filter(blocks, lambda b: (b["BlockType"] == "TABLE") & at(b).isNotNull())
-    lines = F.filter(
-        blocks,
-        lambda b: (b["BlockType"] == "LINE") & F.exists(
-            tables, lambda t: F.coalesce(_inside(at(b), at(t)), F.lit(False))
-        ),
-    )
-    return F.transform(lines, lambda b: b["Id"])
+
+    def inside(all_: Column, boxes: Column) -> Column:
+        lines = F.filter(
+            all_,
+            lambda b: (b["BlockType"] == "LINE") & F.exists(boxes, lambda t: F.coalesce(_inside(at(b), t), F.lit(False))),
+        )
+        return F.transform(lines, lambda b: b["Id"])
+
+    def boxes_of(all_: Column) -> Column:
+        tables = F.filter(all_, lambda b: (b["BlockType"] == "TABLE") & at(b).isNotNull())
+        return F.transform(tables, at)
+
+    # Blocks may be a payload still to be parsed: they and the tables' boxes are worked out once a row, not once a line.
+    return once(blocks, lambda all_: once(boxes_of(all_), lambda boxes: inside(all_, boxes)))
 
 
 def joined(parts: Column, glue: str = "\n\n") -> Column:

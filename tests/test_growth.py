@@ -192,3 +192,21 @@ def test_bare_text_is_the_normal_form_without_space(spark):
     df = spark.createDataFrame(rows, "t string")
     same = (text.bare_text(F.col("t")) == text.remove_space(text.normalize_text(F.col("t"))))
     assert df.where(~same).isEmpty()
+
+
+def test_blocks_are_parsed_once_for_all_lines(spark):
+    """The tables of a payload are found once, not once for each of its lines."""
+    box = lambda top: f'"Geometry":{{"BoundingBox":{{"Left":0.2,"Top":{top},"Width":0.1,"Height":0.1}}}}'
+    block = lambda i, kind, more: f'{{"Id":{i},"BlockType":"{kind}"{more}}}'
+    blocks = [
+        block('"L1"', "LINE", "," + box(0.2)), block('"L2"', "LINE", "," + box(0.8)), block('"L3"', "LINE", ""), block("null", "LINE", "," + box(0.3)),
+        block('"T1"', "TABLE", ""), block('"T2"', "TABLE", ',"Geometry":{"BoundingBox":{"Left":0,"Top":0,"Width":0.9,"Height":0.5}}'),
+    ]
+    rows = [(0, '{"Blocks":[' + ",".join(blocks) + "]}"), (1, '{"Blocks":[]}'), (2, "{}"), (3, None), (4, '{"Blocks":[' + blocks[0] + "]}")]
+    df = spark.createDataFrame(rows, "i int, payload string").repartition(1)
+    got = []
+    for schema in (payloads.TEXTRACT_SCHEMA, payloads.TEXTRACT_PLACES):
+        found = df.select("i", payloads.lines_in_tables(F.from_json("payload", schema)["Blocks"]).alias("ids"))
+        assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
+        got.append({r.i: r.ids for r in found.collect()})
+    assert got[0] == got[1] == {0: ["L1", None], 1: [], 2: None, 3: None, 4: []}
