@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from gradeline.functions.hashing import cluster_words, mix_draws, with_cluster_draw
+from gradeline.functions.hashing import cluster_words, mix_draws
 from gradeline.functions.ratio import count_if, share
 
 # Paired verdicts need at least this many documents; resamples; error level.
@@ -486,30 +486,72 @@ def permutation_test(
 ) -> DataFrame:
     """Document-level paired permutation: the sign of each document's difference is flipped.
 
-    Signs come from hash bits of (iteration, document), and differences add up per iteration before
-    the shuffle.
+    Signs come from hash bits of (iteration, document). They are made as a matrix of a few documents at
+    a time, for all pairs at once, and multiplied with the documents' differences: no row per draw, and
+    only tasks x pairs x iterations sums are shuffled. ``pairs`` travels as one array value.
     """
     check_parameters(iters, ALPHA)
-    keys = ["a", "b"]
-    docs = paired_clusters(outcomes, pairs, []).withColumn("d", F.col("ca") - F.col("cb"))
-    flips = spread(docs.where("d <> 0")).withColumn("it", F.explode(iterations(iters)))
-    flips = with_cluster_draw(flips, "_h", seed, F.col("it"), "doc")
-    signed = F.when(F.col("_h").bitwiseAND(F.lit(65536)) == 0, F.col("d")).otherwise(-F.col("d"))
-    stats = flips.groupBy(*keys, "it").agg(F.sum(signed).alias("s"))
-    observed = docs.groupBy(*keys).agg(
-        F.sum("d").alias("observed"), F.count("*").alias("n_docs"),
-        count_if(F.col("d") != 0).alias("n_moved"),
-    )
-    hits = stats.join(observed.select(*keys, "observed"), keys).groupBy(*keys).agg(
-        count_if(F.abs("s") >= F.abs("observed")).alias("extreme")
-    )
-    # Legs that never differ have no flips: every iteration ties with the observed zero.
-    extreme = F.coalesce("extreme", F.lit(iters))
-    return observed.join(hits, keys, "left").select(
-        *keys, "observed", "n_docs", "n_moved", ((extreme + 1) / (iters + 1)).alias("p")
+    every = pairs.agg(F.array_sort(F.collect_set(F.struct("a", "b")))).scalar()
+    docs = per_cluster(outcomes, ["parser"]).where("parser IS NOT NULL")
+    wide = docs.groupBy("doc").agg(F.map_from_entries(F.collect_list(F.struct("parser", "c"))).alias("legs"))
+    wide = wide.withColumn("every", every).withColumn("pairs", F.transform("every", lambda p: F.struct(
+        F.element_at("legs", p["a"]).alias("a"), F.element_at("legs", p["b"]).alias("b"))))
+    zero = F.lit(0).cast("bigint")
+    flag = lambda c: F.coalesce(c.cast("bigint"), zero)
+    right = lambda c: F.coalesce(c, zero)
+    # A document without a name is not the same one on both sides.
+    own = lambda alone, both: F.when(F.col("doc").isNull(), alone).otherwise(both)
+    parts = {
+        "d": lambda p: right(p["a"]) - right(p["b"]),
+        "n": lambda p: own(flag(p["a"].isNotNull()) + flag(p["b"].isNotNull()), flag(p["a"].isNotNull() | p["b"].isNotNull())),
+        "moved": lambda p: own(flag(p["a"] != 0) + flag(p["b"] != 0), flag(right(p["a"]) != right(p["b"]))),
+    }
+    first, second = cluster_words("doc")
+    rows = spread(wide).select(
+        first.alias("first"), second.alias("second"), *[F.transform("pairs", f).alias(name) for name, f in parts.items()]
+    )
+    sums = rows.mapInArrow(partial(_flipped_sums, iters, seed), "pair int, it long, s long, n long, moved long")
+    sums = sums.groupBy("pair", "it").agg(*[F.sum(c).alias(c) for c in ("s", "n", "moved")])
+    plain = F.col("it") == PLAIN
+    tests = sums.groupBy("pair").agg(
+        *[F.max(F.when(plain, F.col(c))).alias(name) for c, name in (("s", "observed"), ("n", "n_docs"), ("moved", "n_moved"))],
+        F.collect_list(F.when(~plain, F.abs("s"))).alias("flipped"),
+    ).where("n_docs > 0")
+    extreme = F.size(F.filter("flipped", lambda s: s >= F.abs("observed")))
+    # Legs that never differ tie with the observed zero in every iteration.
+    return tests.withColumn("_p", F.get(every, F.col("pair"))).select(
+        "_p.a", "_p.b", "observed", "n_docs", "n_moved", ((extreme + 1) / (iters + 1)).alias("p")
     )
 
 
+def _flipped_sums(iters: int, seed: int, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A task's sums per (pair, iteration) of differences with flipped signs; the plain iteration first, with counts."""
+    total, counts = None, None
+    its = np.arange(iters, dtype=np.uint32)
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        d, n, moved = (batch.column(c).flatten().to_numpy().reshape(batch.num_rows, -1) for c in ("d", "n", "moved"))
+        if total is None:
+            total, counts = np.zeros((iters + 1, d.shape[1]), dtype=np.int64), np.zeros((2, d.shape[1]), dtype=np.int64)
+        total[0] += d.sum(axis=0)
+        counts += np.stack([n.sum(axis=0), moved.sum(axis=0)])
+        named = batch.column("first").is_valid().to_numpy(zero_copy_only=False)
+        first, second = (pc.fill_null(batch.column(c), 0).to_numpy().astype(np.uint32) for c in ("first", "second"))
+        some = np.flatnonzero((d != 0).any(axis=1))
+        for at in range(0, len(some), CHUNK):
+            i = some[at : at + CHUNK]
+            flip = mix_draws(first[i, None] + its, second[i, None], seed) & np.uint32(65536) != 0
+            flip |= ~named[i, None]
+            signs = np.where(flip.T, -1.0, 1.0)
+            exact = int(np.abs(d[i]).sum()) < 2**53
+            total[1:] += (signs @ d[i].astype(np.float64)).astype(np.int64) if exact else signs.astype(np.int64) @ d[i]
+    for k in range(0 if total is None else total.shape[1]):
+        head = lambda v: np.append(v, np.zeros(iters, dtype=np.int64))
+        columns = [np.full(iters + 1, k, dtype=np.int32), np.arange(PLAIN, iters, dtype=np.int64), total[:, k], head(counts[0, k]), head(counts[1, k])]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["pair", "it", "s", "n", "moved"])
+
+
 def holm(tests: DataFrame, by: list[str] = ()) -> DataFrame:
     """Holm-adjusted p over a family of tests (one row per compared pair)."""
     part = Window.partitionBy(*by)

@@ -210,3 +210,23 @@ def test_blocks_are_parsed_once_for_all_lines(spark):
         assert found._jdf.queryExecution().optimizedPlan().toString().count("from_json") == 1
         got.append({r.i: r.ids for r in found.collect()})
     assert got[0] == got[1] == {0: ["L1", None], 1: [], 2: None, 3: None, 4: []}
+
+
+def test_permutations_make_no_row_per_draw(spark):
+    """Signs are made as a matrix where the documents lie, and sums equal those of the column steps."""
+    rows = [(f"d{i}" if i else None, leg, s) for i in range(60) for leg in ("a", "b", "c", None)
+            for s in (["correct"] * ((i * 7 + len(leg or "xx") + ord((leg or "z")[0])) % 4) + ["error"]) if (i + ord((leg or "z")[0])) % 5]
+    out = spark.createDataFrame(rows, "doc string, parser string, status string")
+    pairs = spark.createDataFrame([("a", "b"), ("a", "c"), ("c", "gone"), ("a", "a"), ("no", "none")], "a string, b string")
+    tests = stats.permutation_test(out, pairs, iters=40, seed=5)
+    assert "Generate explode(sequence" not in tests._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r.a, r.b): (r.observed, r.n_docs, r.n_moved, round(r.p * 41) - 1) for r in tests.collect()}
+    docs = stats.paired_clusters(out, pairs, []).withColumn("d", F.col("ca") - F.col("cb"))
+    draws = with_cluster_draw(docs.withColumn("it", F.explode(stats.iterations(40))), "h", 5, F.col("it"), "doc")
+    want = {}
+    for r in docs.collect():
+        w = want.setdefault((r.a, r.b), [0, 0, 0, [0] * 40])
+        w[0], w[1], w[2] = w[0] + r.d, w[1] + 1, w[2] + (r.d != 0)
+    for r in draws.collect():
+        want[r.a, r.b][3][r.it] += r.d if r.h is not None and r.h & 65536 == 0 else -r.d
+    assert got == {k: (o, n, m, sum(abs(x) >= abs(o) for x in s)) for k, (o, n, m, s) in want.items()} and len(got) == 4
