@@ -210,32 +210,41 @@ def question_browser(bank: DataFrame, scored: DataFrame, answers: DataFrame) ->
     ``answers`` (qid, parser, answer) holds the answers as VARIANT. ``given`` maps a system to its
     value and verdict; a system without the key has a NULL value, one without a shown row no entry.
     ``place`` numbers the questions 0, 1, 2, … hardest first: by the number of systems that have
-    the whole question right, then by qid.
+    the whole question right, then by qid. Stored rows and answers are gathered by question once and
+    meet there; keys are expanded last, so no row per key is shuffled.
     """
-    shown = dashboard_rows(scored)
-    values = F.try_variant_get("answer", "$", "map<string,variant>")
-    rows = shown.select("qid", "parser", "field_matches").join(
-        answers.select("qid", "parser", values.alias("_values")), ["qid", "parser"], "left"
+    shown = dashboard_rows(scored).groupBy("qid").agg(F.collect_list(F.struct("parser", "field_matches")).alias("_rows"))
+    # Answers travel as they are: as a map, every value would have its own copy of the answer's names.
+    answered = answers.where("parser IS NOT NULL").groupBy("qid").agg(
+        F.map_from_entries(F.collect_list(F.struct("parser", "answer"))).alias("_answers")
     )
     fields = bank.select("qid", "doc", "domain", F.transform("fields", lambda f: f["key"]).alias("_keys"))
-    cell = rows.join(fields, "qid").select("qid", "parser", "field_matches", "_values", F.explode("_keys").alias("key"))
-    given = F.struct(
-        F.try_element_at("_values", F.col("key")).alias("value"),
-        F.coalesce(F.try_element_at("field_matches", F.col("key")), F.lit(False)).alias("right"),
-    )
-    per_key = cell.select("qid", "key", "parser", given.alias("given")).groupBy("qid", "key").agg(
-        F.count("*").cast("bigint").alias("n_answers"),
-        count_if(F.col("given.right")).alias("n_key_ok"),
-        F.array_join(
-            F.array_sort(F.collect_list(F.when(F.col("given.right"), F.col("parser")))), ","
-        ).alias("right_systems"),
-        F.map_from_entries(F.collect_list(F.struct("parser", "given"))).alias("given"),
-    )
     votes = question_votes(scored).select(
         "qid", F.col("n_with").alias("n_parsers"), F.col("n_right").alias("n_correct")
     )
-    asked = fields.select("qid", "doc", "domain").join(votes, "qid")
-    return per_key.join(dense_numbers(asked, ["n_correct", "qid"], "place"), "qid")
+    placed = dense_numbers(bank.select("qid").join(votes, "qid"), ["n_correct", "qid"], "place")
+    asked = shown.join(fields, "qid").join(placed, "qid").join(answered, "qid", "left")
+
+    def with_values(row: Column) -> Column:
+        values = F.try_variant_get(F.try_element_at("_answers", row["parser"]), "$", "map<string,variant>")
+        return F.struct(row["parser"].alias("parser"), row["field_matches"].alias("marks"), values.alias("values"))
+
+    about = ["doc", "domain", "n_parsers", "n_correct", "place"]
+    per_key = asked.withColumn("_rows", F.transform("_rows", with_values)).select("qid", *about, "_rows", F.explode("_keys").alias("key"))
+
+    def entry(row: Column) -> Column:
+        given = F.struct(
+            F.try_element_at(row["values"], F.col("key")).alias("value"),
+            F.coalesce(F.try_element_at(row["marks"], F.col("key")), F.lit(False)).alias("right"),
+        )
+        return F.struct(row["parser"].alias("parser"), given.alias("given"))
+
+    per_key = per_key.withColumn("_given", F.transform("_rows", entry)).drop("_rows")
+    right = F.transform(F.filter("_given", lambda e: e["given"]["right"]), lambda e: e["parser"])
+    return per_key.select(
+        "qid", "key", F.size("_given").cast("bigint").alias("n_answers"), F.size(right).cast("bigint").alias("n_key_ok"),
+        F.array_join(F.array_sort(right), ",").alias("right_systems"), F.map_from_entries("_given").alias("given"), *about,
+    )
 
 
 def header_totals(bank: DataFrame, scored: DataFrame) -> DataFrame:

@@ -230,3 +230,12 @@ def test_permutations_make_no_row_per_draw(spark):
     for r in draws.collect():
         want[r.a, r.b][3][r.it] += r.d if r.h is not None and r.h & 65536 == 0 else -r.d
     assert got == {k: (o, n, m, sum(abs(x) >= abs(o) for x in s)) for k, (o, n, m, s) in want.items()} and len(got) == 4
+
+
+def test_no_row_per_key_is_shuffled_for_the_browser(spark, sf):
+    """Keys are expanded last: nothing is joined or grouped above that step."""
+    from gradeline.plans import accuracy
+
+    plan = accuracy.question_browser(spark, sf)._jdf.queryExecution().optimizedPlan().toString()
+    above = plan[: plan.index("Generate explode")]
+    assert "Join" not in above and "Aggregate" not in above
