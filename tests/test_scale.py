@@ -322,3 +322,34 @@ def test_a_broken_replacement_is_ended_by_the_next_run(spark, tmp_path, monkeypa
     assert {k: n for k, n in now.items() if k[1] != "vlm__a"} == {k: n for k, n in before.items() if k[1] != "vlm__a"}
     assert {k[2] for k in now if k[1] == "vlm__a"} == set(range(100, 120))
     assert not rewrite.finish_replacement(spark, table, ["parser"])
+
+
+def test_a_replacement_broken_between_its_files_is_ended(spark, tmp_path, monkeypatch):
+    """Staged files are moved, not written again; some moved and some not is no harm."""
+    table = tmp_path / "t"
+    files.write_snapshot(stored_rows(spark), str(table))
+    before = contents(spark, str(table))
+    fresh = spark.read.parquet(str(table)).where("parser = 'ocr b/c' OR parser IS NULL").withColumn("v", F.col("v") + 100).repartition(3)
+    monkeypatch.setattr(rewrite, "remove", lambda *a: (_ for _ in ()).throw(OSError("lost")))
+    with pytest.raises(OSError):
+        rewrite.replace_partitions(fresh, str(table), ["parser"])
+    monkeypatch.undo()
+    staged = tmp_path / "t.pending" / "rows"
+    place = next(p for p in table.iterdir() if "ocr" in p.name)
+    moved = sorted(place.glob("part-*"))
+    assert len(moved) == 3 and not list(staged.glob("*/part-*"))
+    moved[0].rename(staged / place.name / moved[0].name)
+    (place / "part-old.parquet").write_bytes(moved[1].read_bytes())
+    assert rewrite.finish_replacement(spark, str(table), ["parser"])
+    now = contents(spark, str(table))
+    assert now == Counter({(q, p, v if p == "vlm__a" else v + 100, g): n for (q, p, v, g), n in before.items()})
+    assert not rewrite.exists(spark, rewrite.pending(str(table)))
+
+
+def test_stored_answers_are_scored_once_for_counts_and_rewrite(spark, sf, monkeypatch):
+    from gradeline.operators import cells
+    from gradeline.plans import intake
+
+    calls, real = [], cells.rescore
+    monkeypatch.setattr(cells, "rescore", lambda *a: calls.append(a) or real(*a))
+    assert intake.rescored_table(spark, sf).count() == 6 and len(calls) == 1
